@@ -152,36 +152,60 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return out
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs, lang_pred and score: the best language's share of the likelihood of all, 0 to 1."""
-    fields = [docs.schema[c] for c in keep]
+def _scored(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The best language's number and its share of the likelihood of all, for each text."""
+    offsets, data = _text.buffers(column)
+    best, score = np.zeros(len(column), np.int64), np.zeros(len(column))
+    for i, j in _text.slices(offsets):
+        lo, hi = offsets[i], offsets[j]
+        bits = code_lengths(model, data[lo:hi], offsets[i : j + 1] - lo)
+        best[i:j] = bits.argmin(axis=1)
+        score[i:j] = 1 / np.exp2(np.maximum(-1000, bits.min(axis=1, keepdims=True) - bits)).sum(axis=1)
+    return best, score
+
+
+def _letters() -> F.Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred and score: the best language's share of the likelihood of all, 0 to 1."""
+    if not model.languages:
+        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        own = shared.value
         for batch in batches:
-            offsets, data = _text.buffers(batch.column("_text"))
-            best, score = [], []
-            for i, j in _text.slices(offsets):
-                lo, hi = offsets[i], offsets[j]
-                bits = code_lengths(own, data[lo:hi], offsets[i : j + 1] - lo)
-                least = bits.argmin(axis=1)
-                best += [own.languages[x] for x in least]
-                score += (1 / np.exp2(np.minimum(0, bits.min(axis=1, keepdims=True) - bits)).sum(axis=1)).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"]
-            )
-
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+            best, score = _scored(shared.value, batch.column("text"))
+            names = pa.array([shared.value.languages[x] for x in best], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("und"), names, pa.array(score)], names=["doc_id", "und", "lang_pred", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select("doc_id", F.when(_letters(), F.col("text")).alias("text"), (~_letters()).alias("und")).mapInArrow(
+        run, f"doc_id {kind}, und boolean, lang_pred string, score double"
+    )
+    return out.select("doc_id", F.when(F.col("und"), "und").otherwise(F.col("lang_pred")).alias("lang_pred"), F.when(F.col("und"), 0.0).otherwise(F.col("score")).alias("score"))
+
+
+def accept(docs: DataFrame, sample_rows: int = 1500, least: float = 0.5) -> DataFrame:
+    """The documents in a known language, with that language as lang: those of `und` or with a score below `least` go.
+
+    Without any labelled text to learn from, documents with letters keep the label they have.
+    """
+    model = fit(docs, sample_rows)
+    lettered = docs.where(_letters())
     if not model.languages:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    scored = docs.select(*keep, F.when(letters, F.col("text")).alias("_text"), (~letters).cast("boolean").alias("_und"))
-    keep = (*keep, "_und")
-    schema += ", `_und` boolean"
-    out = scored.mapInArrow(run, f"{schema}, lang_pred string, score double")
-    und = F.col("_und")
-    return out.select(*keep[:-1], F.when(und, "und").otherwise(F.col("lang_pred")).alias("lang_pred"), F.when(und, 0.0).otherwise(F.col("score")).alias("score"))
+        return lettered
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            best, score = _scored(shared.value, batch.column("text"))
+            place = batch.schema.get_field_index("lang")
+            names = pa.array([shared.value.languages[x] for x in best], batch.schema.field(place).type)
+            yield batch.set_column(place, batch.schema.field(place), names).filter(pa.array(score >= least))
+
+    return lettered.mapInArrow(run, docs.schema)
 
 
 def is_held_out(doc_id) -> F.Column:
