@@ -101,7 +101,7 @@ def shards(benchmark: DataFrame, shard_items: int = 4096) -> list[Shard]:
     for s in range(count):
         part = F.pmod(F.xxhash64("item_id"), F.lit(count)) == s
         texts = items.where(part).orderBy("item_id").collect()  # about shard_items rows
-        rows = impacts.where(part).toPandas()
+        rows = impacts.where(part).toArrow().to_pandas()
         found.append(_shard(stride, texts, rows))
     return found
 

@@ -86,7 +86,7 @@ def _count_grams(symbol: np.ndarray):
     return run
 
 
-def fit(labelled: DataFrame, sample_rows: int = 1500) -> Model:
+def fit(labelled: DataFrame, sample_rows: int = 800) -> Model:
     """A model of the languages of labelled (doc_id, text, lang), from about sample_rows rows of each."""
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
@@ -100,25 +100,31 @@ def fit(labelled: DataFrame, sample_rows: int = 1500) -> Model:
     for place, r in enumerate(sorted(common, key=lambda r: (-r["n"], r["byte"]))[: SYMBOLS - 2]):
         symbol[r["byte"]] = place + 1
     symbol[65:91] = symbol[97:123]
-    counts = sample.select("text", "lang").mapInArrow(_count_grams(symbol), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.select("text", "lang").mapInArrow(_count_grams(symbol), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = counts.join(F.broadcast(_numbers(labelled, languages)), "lang").select("number", "code", "n").toArrow()
+    number, code, n = (counts.column(c).to_numpy() for c in ("number", "code", "n"))
+    codes = np.unique(code)
+    last, tail = codes // SYMBOLS, codes % SYMBOLS**ORDER
     bits, shorter, escape = [], [], []
-    codes = np.unique(counts["code"].to_numpy())
-    for lang in languages:
-        own = counts[counts["lang"] == lang]
+    for x in range(len(languages)):
+        own, seen = code[number == x], n[number == x].astype(np.float64)
+        suffix = np.bincount(own % SYMBOLS**ORDER, weights=seen, minlength=SYMBOLS**ORDER).reshape(-1, SYMBOLS)
         below = np.full(SYMBOLS, math.log2(SYMBOLS))
-        full = np.bincount(own["code"], weights=own["n"], minlength=SYMBOLS ** (ORDER + 1)).reshape(-1, SYMBOLS)
         for order in range(ORDER):
-            n = full.reshape(SYMBOLS ** (ORDER - order), -1, SYMBOLS).sum(axis=0)
-            below = _lengths(n, below)
-        n = full[codes // SYMBOLS, codes % SYMBOLS]
-        total, kinds = full.sum(axis=1), (full > 0).sum(axis=1)
-        leave = np.where(total > 0, np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0.0)
+            below = _lengths(suffix.reshape(-1, SYMBOLS**order, SYMBOLS).sum(axis=0), below)
         flat = below.ravel()
-        seen = np.log2(np.maximum(total + kinds, 1)[codes // SYMBOLS] / np.maximum(n, 1))
-        bits.append(np.where(n > 0, seen, leave[codes // SYMBOLS] + flat[codes % SYMBOLS**ORDER]))
+        total, kinds = np.bincount(own // SYMBOLS, weights=seen, minlength=SYMBOLS**ORDER), np.bincount(own // SYMBOLS, minlength=SYMBOLS**ORDER)
+        leave = np.where(total > 0, np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0.0)
+        times = np.zeros(len(codes))
+        times[np.searchsorted(codes, own)] = seen
+        bits.append(np.where(times > 0, np.log2(np.maximum(total + kinds, 1)[last] / np.maximum(times, 1)), leave[last] + flat[tail]))
         escape.append(leave)
         shorter.append(flat)
-    return Model(languages, symbol, codes.astype(np.int32), *(np.stack(x, axis=1) for x in (bits, escape, shorter)))
+    return Model(languages, symbol, codes.astype(np.int32), *(np.stack(v, axis=1) for v in (bits, escape, shorter)))
+
+
+def _numbers(labelled: DataFrame, languages: list[str]) -> DataFrame:
+    return labelled.sparkSession.createDataFrame(list(enumerate(languages)), "number int, lang string")
 
 
 def _lengths(n: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -187,7 +193,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return out.select("doc_id", F.when(F.col("und"), "und").otherwise(F.col("lang_pred")).alias("lang_pred"), F.when(F.col("und"), 0.0).otherwise(F.col("score")).alias("score"))
 
 
-def accept(docs: DataFrame, sample_rows: int = 1500, least: float = 0.5) -> DataFrame:
+def accept(docs: DataFrame, sample_rows: int = 800, least: float = 0.5) -> DataFrame:
     """The documents in a known language, with that language as lang: those of `und` or with a score below `least` go.
 
     Without any labelled text to learn from, documents with letters keep the label they have.
@@ -213,7 +219,7 @@ def is_held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def identify(docs: DataFrame, sample_rows: int = 1500) -> DataFrame:
+def identify(docs: DataFrame, sample_rows: int = 800) -> DataFrame:
     """doc_id, held_out, lang_pred, score: fitted on the documents that are not held out, applied to all."""
     model = fit(docs.where(~is_held_out("doc_id")), sample_rows)
     return predict(docs, model).select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
