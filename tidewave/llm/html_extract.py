@@ -24,6 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.llm._spark import cut
+
+#: Hosts with at least one in so many pages do not go through a shuffle; there are at most so many of them.
+HOT_HOSTS = 200
+
 # Fixed values of HTML: elements without content, with raw text, and those that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template svg math".split())
@@ -256,9 +261,15 @@ def extract(pages: DataFrame, least: int = 4) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     own = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")).alias("host"))
     found = own.where("host <> '' and length(html) > 0").select("host", "html").mapInArrow(_subtrees, "host string, page long, subtree long").distinct()
+    found = cut(found)
     held = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     size = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     gone = held.join(size, "host").where("2 * n >= pages").groupBy("host").agg(F.collect_list("subtree").alias("gone"))
+    rows = cut(own.groupBy("host").agg(F.count("*").alias("rows")))
+    total = rows.agg(F.sum("rows")).first()[0] or 0
+    hot = rows.where((F.col("host") == "") | (F.col("rows") * HOT_HOSTS >= total)).select("host")  # at most HOT_HOSTS and one
+    few, many = F.broadcast(hot.join(gone, "host", "left")), F.broadcast(hot)
+    joined = own.join(few, "host").unionByName(own.join(many, "host", "left_anti").join(gone, "host", "left"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    out = own.join(gone, "host", "left").select("page_id", "url", "html", "gone").mapInArrow(_extract, f"page_id {kind}, url string, text string")
+    out = joined.select("page_id", "url", "html", "gone").mapInArrow(_extract, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
