@@ -20,9 +20,15 @@ def query(sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from tidewave.plans import crops, detection, signals, spans  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return {k: sql for k, (_, sql) in _found.items() if sql}
