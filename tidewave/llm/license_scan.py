@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.llm._spark import cut
+
 #: The short notices that these licences prescribe or are commonly given by.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -44,11 +46,11 @@ def header(text: str = "text") -> F.Column:
     return F.when(F.col(text).rlike(CUE), F.array_join(lines, "\n"))
 
 
-def own_licences(files: DataFrame, least: float = 0.5) -> DataFrame:
-    """path, own, cosine of the files (path, text) with a licence of their own; one row for each distinct path and header."""
-    spark = files.sparkSession
+def own_licences(headed: DataFrame, least: float = 0.5) -> DataFrame:
+    """path, own, cosine of the files (path, notice) with a licence of their own; one row for each distinct path and header."""
+    spark = headed.sparkSession
     templates = spark.createDataFrame(sorted(TEMPLATES.items()), "own string, notice string")
-    headers = files.select("path", header().alias("notice")).where("notice is not null").withColumn("key", F.xxhash64("notice"))
+    headers = headed.select("path", "notice").where("notice is not null").withColumn("key", F.xxhash64("notice"))
     texts = headers.groupBy("key").agg(F.min("notice").alias("notice"), F.count("*").alias("files"))  # equal headers are scanned once
     terms = texts.select("key", "files", F.explode(_terms("notice")).alias("term")).groupBy("key", "files", "term").agg(F.count("*").alias("tf"))
     total = texts.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("total"))
@@ -68,8 +70,9 @@ def own_licences(files: DataFrame, least: float = 0.5) -> DataFrame:
 
 def scan(files: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, path, licence, how (own, inherited or none), cosine and from_path for each row of files (doc_id, path, text)."""
-    found = own_licences(files, least)
-    own = files.select("doc_id", "path", F.xxhash64(header()).alias("key"), F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
+    headed = cut(files.select("doc_id", "path", header().alias("notice")))  # the texts are read once
+    found = cut(own_licences(headed, least))
+    own = headed.select("doc_id", "path", F.xxhash64("notice").alias("key"), F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
     named = own.join(found, ["path", "key"], "left")
     rank = F.struct((-F.col("cosine")).alias("c"), "path", "own")
     licensed = found.where(F.regexp_extract("path", "[^/]*$", 0).rlike(FILES)).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
