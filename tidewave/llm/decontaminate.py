@@ -157,6 +157,8 @@ def leaks(shard: Shard, column: pa.Array, threshold: float, overlap: float) -> l
     """(row, item, score, question overlap, answer overlap) of each leak, once for each text and item."""
     offsets, data = _text.buffers(column)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    if not len(shard.words):
+        return []
     for i, j in _text.slices(offsets):
         lo, hi = offsets[i], offsets[j]
         hashes, first = _text.word_hashes(data[lo:hi], offsets[i : j + 1] - lo, _text.LETTERS_DIGITS)

@@ -103,7 +103,7 @@ def deduplicate(docs: DataFrame, words: int = 5) -> DataFrame:
     )
     hashed = cut(hashed)
     line = hashed.select("doc_id", "key", F.explode(F.expr("array_distinct(filter(transform(lines, (x, i) -> if(long[i], x, null)), x -> x is not null))")).alias("h"))
-    half = hashed.select("doc_id").distinct().count() / 2
+    half = own.where("doc_id is not null").select("doc_id").distinct().count() / 2
     first = line.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where(F.col("n").between(2, max(2, half))).select("h", "first")
     pairs = line.join(first, "h").where("first < doc_id").groupBy("doc_id", "key", "first").agg(F.collect_list("h").alias("rare"))
     one = hashed.groupBy("doc_id").agg(F.min(F.struct("key", "lines")).alias("x")).select(F.col("doc_id").alias("first"), F.col("x.lines").alias("early"))

@@ -54,7 +54,7 @@ def first_map(sizes: dict[int, int], shards: int, slots: int = SLOTS) -> dict[in
 
 
 def rebalance(old: dict[int, int], sizes: dict[int, int], shards: int, tolerance: float = 0.01) -> dict[int, int]:
-    """An edited map for `shards` shards: few slots move, from shards over their share to the emptiest."""
+    """An edited map for `shards` shards: few slots move, from shards over their share by more than the tolerance to the emptiest."""
     out = dict(old)
     held: dict[int, list[int]] = {s: [] for s in range(shards)}
     for slot, shard in out.items():
@@ -62,9 +62,9 @@ def rebalance(old: dict[int, int], sizes: dict[int, int], shards: int, tolerance
     full = {s: sum(sizes.get(x, 0) for x in held[s]) for s in held}
     share = sum(full.values()) / shards
     loose = [x for s in held if s >= shards for x in held[s]]
-    for s in range(shards):
+    for s in (s for s in range(shards) if full[s] > share * (1 + tolerance)):
         for slot in sorted(held[s], key=lambda x: (sizes.get(x, 0), x)):
-            if full[s] <= share * (1 + tolerance):
+            if full[s] <= share:
                 break
             full[s] -= sizes.get(slot, 0)
             loose.append(slot)
