@@ -1,8 +1,9 @@
-"""Small shared parts: checkpoints and connected components."""
+"""Small shared parts: checkpoints, Arrow batches and connected components."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_ROWS = 1000
+
+
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow over batches of at most BATCH_ROWS rows: a batch of long texts is held on both sides of the pipe to Python.
+
+    Spark reads the limit when the plan runs, so it stays set in the session, unless that has a lower one.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over undirected edges (a, b), for every id that has one.
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.llm import _text
+from tidewave.llm._spark import map_texts
 
 K1, B, BLOCK = 1.2, 0.75, 16
 
@@ -223,7 +224,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap:
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                 )
 
-        out = out.unionByName(texts.mapInArrow(run, schema))
+        out = out.unionByName(map_texts(texts, run, schema))
     return out
 
 
@@ -238,5 +239,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
                 good[[x[0] for x in leaks(shared.value, batch.column("text"), threshold, overlap)]] = False
                 yield batch.filter(pa.array(good))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_texts(docs, run, docs.schema)
     return docs

@@ -28,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.llm import _text
+from tidewave.llm._spark import map_texts
 
 ORDER = 3
 SYMBOLS = 64
+#: A byte takes about 100 bytes while it is scored.
+SCORED_BYTES = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -95,12 +98,12 @@ def fit(labelled: DataFrame, sample_rows: int = 800) -> Model:
         return Model([], np.zeros(256, np.uint8), np.zeros(0, np.int32), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((0, 0)))
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, sample_rows / n))) for x, n in sizes.items()])
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    common = sample.select("text").mapInArrow(_count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows
+    common = map_texts(sample.select("text"), _count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows
     symbol = np.full(256, SYMBOLS - 1, dtype=np.uint8)
     for place, r in enumerate(sorted(common, key=lambda r: (-r["n"], r["byte"]))[: SYMBOLS - 2]):
         symbol[r["byte"]] = place + 1
     symbol[65:91] = symbol[97:123]
-    counts = sample.select("text", "lang").mapInArrow(_count_grams(symbol), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = map_texts(sample.select("text", "lang"), _count_grams(symbol), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts = counts.join(F.broadcast(_numbers(labelled, languages)), "lang").select("number", "code", "n").toArrow()
     number, code, n = (counts.column(c).to_numpy() for c in ("number", "code", "n"))
     codes = np.unique(code)
@@ -162,7 +165,7 @@ def _scored(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The best language's number and its share of the likelihood of all, for each text."""
     offsets, data = _text.buffers(column)
     best, score = np.zeros(len(column), np.int64), np.zeros(len(column))
-    for i, j in _text.slices(offsets):
+    for i, j in _text.slices(offsets, SCORED_BYTES):
         lo, hi = offsets[i], offsets[j]
         bits = code_lengths(model, data[lo:hi], offsets[i : j + 1] - lo)
         best[i:j] = bits.argmin(axis=1)
@@ -187,9 +190,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("und"), names, pa.array(score)], names=["doc_id", "und", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.when(_letters(), F.col("text")).alias("text"), (~_letters()).alias("und")).mapInArrow(
-        run, f"doc_id {kind}, und boolean, lang_pred string, score double"
-    )
+    texts = docs.select("doc_id", F.when(_letters(), F.col("text")).alias("text"), (~_letters()).alias("und"))
+    out = map_texts(texts, run, f"doc_id {kind}, und boolean, lang_pred string, score double")
     return out.select("doc_id", F.when(F.col("und"), "und").otherwise(F.col("lang_pred")).alias("lang_pred"), F.when(F.col("und"), 0.0).otherwise(F.col("score")).alias("score"))
 
 
@@ -211,7 +213,7 @@ def accept(docs: DataFrame, sample_rows: int = 800, least: float = 0.5) -> DataF
             names = pa.array([shared.value.languages[x] for x in best], batch.schema.field(place).type)
             yield batch.set_column(place, batch.schema.field(place), names).filter(pa.array(score >= least))
 
-    return lettered.mapInArrow(run, docs.schema)
+    return map_texts(lettered, run, docs.schema)
 
 
 def is_held_out(doc_id) -> F.Column:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.llm import _text
-from tidewave.llm._spark import components, cut
+from tidewave.llm._spark import components, cut, map_texts
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BLOCK = 128
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     `words` words (blank-separated, A-Z in lower case).
     """
     m = rows * bands
-    signed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign(words, m), "doc_id long, key binary, n_shingles long, registers binary"))
+    signed = cut(map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _sign(words, m), "doc_id long, key binary, n_shingles long, registers binary"))
     classes = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
     heads = signed.join(classes, ["key", "doc_id"]).select("doc_id", "n_shingles", "registers")
     width = 2 * rows
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         .repartition("unit", "i", "j")
         .sortWithinPartitions("unit", "i", "j", "doc_id")
     )
-    links = tasks.mapInArrow(_confirm(words, percent, m), "a long, b long")
+    links = map_texts(tasks, _confirm(words, percent, m), "a long, b long")
     merged = components(cut(links))
     named = classes.join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("component"))
     alone = "key is null or doc_id is null"
