@@ -40,3 +40,32 @@ def auc(df: DataFrame, score: str, positive: str, keys: list[str]) -> DataFrame:
 def reweighted(rho: Column, chisq: Column) -> Column:
     """The signal-to-noise ratio, lowered where the reduced chi-square exceeds 1."""
     return F.when(chisq <= 1, rho).otherwise(rho / F.pow((1 + F.pow(chisq, 3)) / 2, F.lit(1 / 6)))
+
+
+def roc_curve(df: DataFrame, score: str, positive: str, keys: list[str]) -> DataFrame:
+    """True and false positives at or above each different score, by key; null scores do not count."""
+    by = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return by.select(*keys, score, F.sum("p").over(order).alias("tp"), F.sum("n").over(order).alias("fp"))
+
+
+def early_stop(epochs: DataFrame, keys: list[str], epoch: str, metric: str, patience: int = 6) -> DataFrame:
+    """best_epoch, best and stopped_at by key: training ends after `patience` epochs that did not beat the best before (strictly)."""
+    order = Window.partitionBy(*keys).orderBy(epoch)
+    before = F.max(metric).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    better = F.when(before.isNull() | (F.col(metric) > before), F.col(epoch))
+    marked = epochs.withColumn("_better", better).withColumn("_last", F.max("_better").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ended = marked.withColumn("_end", F.max((F.col(epoch) - F.col("_last") >= patience).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    run = ended.where(F.coalesce("_end", F.lit(0)) == 0)
+    return run.groupBy(*keys).agg(F.max("_last").alias("best_epoch"), F.max(metric).alias("best"), F.max(epoch).alias("stopped_at"))
+
+
+def differing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(name, n): rows whose values differ, for each shared column, and rows of one side only; nulls equal nulls."""
+    shared = [c for c in left.columns if c in right.columns and c not in keys]
+    a, b = left.select(*keys, F.struct(*shared).alias("_a")), right.select(*keys, F.struct(*shared).alias("_b"))
+    both = a.join(b, keys, "full")
+    only = lambda c: F.count_if(F.col(c).isNull())
+    met = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    counts = both.agg(only("_b").alias("left only"), only("_a").alias("right only"), *(F.count_if(met & ~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))).alias(c) for c in shared))
+    return counts.unpivot([], counts.columns, "name", "n")
