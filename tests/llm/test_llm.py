@@ -104,6 +104,26 @@ def test_leaks_are_those_of_brute_force(spark):
     assert decontaminate.hits(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_with_words_between_question_and_answer(spark):
+    asked, told = sentence(40, 10).capitalize(), sentence(41, 6).capitalize()
+    tiny = "Why. " + sentence(43, 12).capitalize()
+    bench = spark.createDataFrame([(1, f"{asked}. {told}."), (2, tiny)], "item_id long, text string")
+    fill = lambda seed, n: sentence(seed, n).capitalize()
+    texts = [
+        f"{fill(50, 200)}. {asked}. Answer: {told}. {fill(51, 200)}.",
+        f"{asked}. {fill(52, 30)}. {told}.",
+        f"{asked}. {fill(53, 3000)}. {told}.",
+        f"{told}. {fill(54, 900)}. {asked}.",
+        f"{asked}. {fill(55, 3000)}.",
+        f"{fill(56, 300)}. {told}.",
+        "Why. " + " ".join(reversed(tiny.split()[1:])),
+    ]
+    docs = table(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    got = {(r.doc_id, r.item_id): (r.question_overlap, r.answer_overlap) for r in decontaminate.hits(docs, bench).collect()}
+    assert got == {(i, 1): (1.0, 1.0) for i in range(4)}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {4, 5, 6}
+
+
 def test_block_max_retrieval_loses_nothing():
     texts = [sentence(i, 25) + " the of" for i in range(60)]
     import pandas as pd

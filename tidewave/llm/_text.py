@@ -118,6 +118,14 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def short_shingles(rows: np.ndarray) -> np.ndarray:
+    """The hash that shingles() gives each row of words, if a row has fewer than k of them."""
+    total = np.full(len(rows), rows.shape[1], dtype=np.uint64)
+    for i in range(rows.shape[1]):
+        total = mix(total * _BASE + rows[:, i])
+    return total
+
+
 def sequence_key(words: np.ndarray) -> bytes:
     """128 bits that name a sequence of words."""
     place = np.arange(1, len(words) + 1, dtype=np.uint64)

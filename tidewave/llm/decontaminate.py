@@ -8,12 +8,16 @@ longest item's length). Each passage queries the index with its distinct words:
 2. The largest impacts over blocks of items bound each block; only blocks that may reach the
    threshold are opened.
 3. Their items are scored exactly. All items at or above the threshold are retrieved.
-4. A retrieved item is a leak if at least `overlap` of its five-word shingles stand in the passage
-   and at least half of its answer's words do. The last sentence of an item counts as its
-   answer, what comes before as its question; both overlaps are returned.
+4. The last sentence of a retrieved item counts as its answer, what comes before as its question. It is a
+   leak in each of these cases: at least `overlap` of the item's five-word shingles and half of its
+   answer's words stand in the passage; `overlap` of the question's shingles (of five words or more) and
+   half of the answer's words stand in the passage, whatever is between them; or `overlap` of the question's
+   and of the answer's shingles stand in the text, however far apart. Both overlaps are returned.
 
 Impacts are BM25 weights over all items, divided by the item's score for its own text: a passage
-with the whole item scores 1, whatever the item's length.
+with the whole item scores 1, whatever the item's length. Of a question and an answer that stand whole
+but far apart, one has half of the item's weight, so a threshold of 0.5 retrieves the item; with a
+higher one, or with parts far apart that are not whole, either has to reach the threshold by itself.
 
 The index is built in Spark and broadcast in shards of at most `shard_items` items, so what one
 task holds is bounded; statistics are over all items. Texts and items that are null or have no
@@ -41,7 +45,9 @@ class Shard:
     stride: int
     items: list[int]
     questions: list[np.ndarray]  # shingles
+    long: list[bool]  # whether the question has five words
     answers: list[np.ndarray]  # words
+    answer_shingles: list[np.ndarray]
     wholes: list[np.ndarray]  # shingles
     words: np.ndarray  # ascending hashes
     most: np.ndarray  # largest impact of each word
@@ -123,8 +129,9 @@ def _shard(stride: int, texts: list, rows) -> Shard:
     block_impact = np.maximum.reduceat(impact, start) if len(key) else np.zeros(0)
     block_word = keys // (len(ids) // BLOCK + 1)
     parts = [question_answer(r["text"]) for r in texts]
+    questions, answers = words_of([q for q, _ in parts]), words_of([a for _, a in parts])
     return Shard(
-        stride, ids, [_text.shingles(w, 5) for w in words_of([q for q, _ in parts])], [np.unique(w) for w in words_of([a for _, a in parts])],
+        stride, ids, [_text.shingles(w, 5) for w in questions], [len(w) >= 5 for w in questions], [np.unique(w) for w in answers], [_text.shingles(w, 5) for w in answers],
         [_text.shingles(w, 5) for w in words_of([r["text"] for r in texts])], words, most, first, item, impact,
         np.searchsorted(block_word, np.arange(len(words) + 1)), keys % (len(ids) // BLOCK + 1), block_impact,
     )
@@ -179,6 +186,7 @@ def leaks(shard: Shard, column: pa.Array, threshold: float, overlap: float) -> l
         last[base[1:] - 1] = True
         pair = bound[:-1] + np.where(last[:-1], 0, bound[1:])
         at = np.searchsorted(half, np.arange(base[-1] + 2))
+        texts: dict[int, dict] = {}  # the shingles and words of the last text that was looked at whole
         for h in np.flatnonzero(pair >= threshold - 1e-9):
             end = h + 1 if last[h] else h + 2
             found, score = retrieve(shard, np.unique(term[at[h] : at[end]]), threshold)
@@ -189,10 +197,16 @@ def leaks(shard: Shard, column: pa.Array, threshold: float, overlap: float) -> l
             passage = hashes[start : min(start + 2 * shard.stride, first[text + 1])]
             there = {5: _text.shingles(passage, 5), 1: np.unique(passage)}
             for x, s in zip(found.tolist(), score.tolist(), strict=True):
-                whole = shard.wholes[x]
-                if _share_any(whole, there, passage) < overlap or _share(shard.answers[x], there[1]) < 0.5:
-                    continue
-                seen = (s, _share_any(shard.questions[x], there, passage), _share(shard.answers[x], there[1]))
+                asked, told = _share_any(shard.questions[x], there, passage), _share(shard.answers[x], there[1])
+                near = told >= 0.5 and (_share_any(shard.wholes[x], there, passage) >= overlap or shard.long[x] and asked >= overlap)
+                if not near:
+                    full = hashes[first[text] : first[text + 1]]
+                    if text not in texts:
+                        texts = {text: {5: _text.shingles(full, 5), 1: np.unique(full)}}
+                    asked, told = _share_any(shard.questions[x], texts[text], full), _share(shard.answers[x], texts[text][1])
+                    if asked < overlap or _share_any(shard.answer_shingles[x], texts[text], full) < overlap:
+                        continue
+                seen = (s, asked, told)
                 best[i + text, x] = max(best.get((i + text, x), seen), seen)
     return [(r, x, *v) for (r, x), v in sorted(best.items())]
 
@@ -202,7 +216,7 @@ def _share_any(own: np.ndarray, there: dict, passage: np.ndarray) -> float:
     if len(own) == 1 and len(passage) >= 5:
         for k in range(1, 5):
             windows = np.lib.stride_tricks.sliding_window_view(passage, k)
-            if any(_text.shingles(w, 5)[0] == own[0] for w in windows):
+            if (_text.short_shingles(windows) == own[0]).any():
                 return 1.0
     return _share(own, there[5])
 
