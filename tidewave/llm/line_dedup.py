@@ -1,14 +1,18 @@
 """Line deduplication by pairwise alignment (operator 6).
 
-1. Lines are hashed (trimmed, in lower case). A line is rare if it has at least `words` words and
-   stands in no more than half of all documents.
+1. Lines are hashed (trimmed, in lower case). A line is rare if it has at least `words` words or `chars`
+   characters and stands in no more than half of all documents.
 2. Overlapping documents are found through shared rare line hashes: each document is paired with the
-   earliest document (smallest id) of every rare line in it. So a line costs one pair for each document, not
-   one for each two, and still every rare line with an earlier occurrence is aligned with its first one.
+   earliest document (smallest id) of every rare line in it, and with the earliest one that holds the line
+   once. So a line costs at most two pairs for each document, not one for each two.
 3. Each pair is aligned with patience diff: lines that are unique in both and in the same order in both
-   (a longest increasing run) are anchors, and equal neighbours extend them to blocks.
+   (a longest increasing run) are anchors, and equal neighbours extend them to blocks. Unique lines that
+   this leaves stand in another order: they are anchors of moved blocks. So every rare line that its
+   document and an earlier one hold once is aligned.
 4. Aligned blocks that hold a rare line are deleted from the later document.
 
+A line that its document repeats, or that every earlier document repeats, goes only as an anchor's neighbour.
+
 The first occurrence of a line is never deleted, and a document of which all lines go becomes an empty text.
 Texts that are null or empty stay as they are; rows with a null doc_id are not compared; of rows that repeat a
 doc_id, none is earlier, so they are not compared with each other, and each is aligned as its own;
@@ -67,6 +71,28 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def moved(a: list[int], b: list[int], pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Blocks of the unique common lines that are not in pairs, extended by equal neighbours that are not either."""
+    many_a, many_b, at = Counter(a), Counter(b), {x: i for i, x in enumerate(a)}
+    used_a, used_b = {i for i, _ in pairs}, {j for _, j in pairs}
+    out = []
+    for j, x in enumerate(b):
+        i = at.get(x, -1)
+        if j in used_b or i in used_a or many_a[x] != 1 or many_b[x] != 1:
+            continue
+        ends = []
+        for step in (-1, 1):
+            n = step
+            while 0 <= i + n < len(a) and 0 <= j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                n += step
+            ends.append(n)
+        block = [(i + n, j + n) for n in range(ends[0] + 1, ends[1])]
+        used_a.update(i for i, _ in block)
+        used_b.update(j for _, j in block)
+        out.append(block)
+    return out
+
+
 def blocks(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Runs of neighbours on both sides."""
     out: list[list[tuple[int, int]]] = []
@@ -83,7 +109,8 @@ def _align(batches):
         ids, places = [], []
         for doc_id, key, early, late, rare in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "early", "late", "rare")), strict=True):
             seeds = set(rare)
-            for block in blocks(patience(early, late)):
+            pairs = patience(early, late)
+            for block in blocks(pairs) + moved(early, late, pairs):
                 if any(late[j] in seeds for _, j in block):
                     ids += [(doc_id, key)] * len(block)
                     places += [j for _, j in block]
@@ -92,22 +119,28 @@ def _align(batches):
         )
 
 
-def deduplicate(docs: DataFrame, words: int = 5) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, chars: int = 40) -> DataFrame:
     """doc_id, text without the deleted lines, n_lines, n_deleted for each row of docs (doc_id, text)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text"))
     hashed = own.where("doc_id is not null and length(text) > 0").select(
         "doc_id",
         "key",
         F.expr("transform(split(text, '\\n', -1), l -> xxhash64(lower(trim(l))))").alias("lines"),
-        F.expr(f"transform(split(text, '\\n', -1), l -> length(trim(l)) - length(replace(trim(l), ' ', '')) + 1 >= {words} and length(trim(l)) > 0)").alias("long"),
+        F.expr(f"transform(split(text, '\\n', -1), l -> length(trim(l)) - length(replace(trim(l), ' ', '')) + 1 >= {words} and length(trim(l)) > 0 or length(trim(l)) >= {chars})").alias("long"),
     )
     hashed = cut(hashed)
-    line = hashed.select("doc_id", "key", F.explode(F.expr("array_distinct(filter(transform(lines, (x, i) -> if(long[i], x, null)), x -> x is not null))")).alias("h"))
+    ordered = hashed.select("doc_id", "key", F.expr("array_sort(filter(transform(lines, (x, i) -> if(long[i], x, null)), x -> x is not null))").alias("own"))
+    once = "transform(own, (x, i) -> if(get(own, i - 1) <=> x, null, struct(x as h, not (get(own, i + 1) <=> x) as once)))"
+    line = ordered.select("doc_id", "key", F.inline(F.expr(f"filter({once}, x -> x is not null)")))
     half = own.where("doc_id is not null").select("doc_id").distinct().count() / 2
-    first = line.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where(F.col("n").between(2, max(2, half))).select("h", "first")
-    pairs = line.join(first, "h").where("first < doc_id").groupBy("doc_id", "key", "first").agg(F.collect_list("h").alias("rare"))
-    one = hashed.groupBy("doc_id").agg(F.min(F.struct("key", "lines")).alias("x")).select(F.col("doc_id").alias("first"), F.col("x.lines").alias("early"))
-    both = pairs.join(hashed.select("doc_id", "key", F.col("lines").alias("late")).dropDuplicates(["doc_id", "key"]), ["doc_id", "key"]).join(one, "first")
+    holder = F.struct("doc_id", "key")
+    first = line.groupBy("h").agg(F.min(holder).alias("any"), F.min(F.when(F.col("once"), holder)).alias("single"), F.count("*").alias("n"))
+    first = first.where(F.col("n").between(2, max(2, half))).select("h", F.array_distinct(F.array_compact(F.array("any", "single"))).alias("holders"))
+    pairs = line.join(first, "h").select("doc_id", "key", "h", F.explode("holders").alias("x")).where("x.doc_id < doc_id")
+    pairs = pairs.groupBy("doc_id", "key", F.col("x.doc_id").alias("first"), F.col("x.key").alias("first_key")).agg(F.collect_list("h").alias("rare"))
+    texts = hashed.select("doc_id", "key", "lines").dropDuplicates(["doc_id", "key"])
+    one = texts.select(F.col("doc_id").alias("first"), F.col("key").alias("first_key"), F.col("lines").alias("early"))
+    both = pairs.join(texts.withColumnRenamed("lines", "late"), ["doc_id", "key"]).join(one, ["first", "first_key"])
     deleted = both.select("doc_id", "key", "early", "late", "rare").mapInArrow(_align, "doc_id long, key long, place int")
     deleted = deleted.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
     out = own.join(deleted, ["doc_id", "key"], "left")
