@@ -4,10 +4,13 @@ Every training text is cut into half-passages of `stride` words; two neighbours
 so that each item of at most `stride` words lies whole in some passage (stride is at least the
 longest item's length). Each passage queries the index with its distinct words:
 
-1. The largest impact of each word over all items bounds a passage; below the threshold it is done.
-2. The largest impacts over blocks of items bound each block; only blocks that may reach the
-   threshold are opened.
-3. Their items are scored exactly. All items at or above the threshold are retrieved.
+1. The largest impact of each word over all items bounds a passage, then its words' largest impacts in
+   each block of items do; a passage without a block that may reach the threshold is done.
+2. The others run block-max WAND: cursors stand in the words' postings, in the order of their items. The
+   pivot is the first item that the words so far can lift to the threshold by their largest impacts. If
+   the impacts of its block cannot, the cursors skip to the end of the block, else to the pivot.
+3. An item that all cursors before the pivot have reached is scored exactly. All items at or above the
+   threshold are retrieved.
 4. The last sentence of a retrieved item counts as its answer, what comes before as its question. It is a
    leak in each of these cases: at least `overlap` of the item's five-word shingles and half of its
    answer's words stand in the passage; `overlap` of the question's shingles (of five words or more) and
@@ -19,15 +22,18 @@ with the whole item scores 1, whatever the item's length. Of a question and an a
 but far apart, one has half of the item's weight, so a threshold of 0.5 retrieves the item; with a
 higher one, or with parts far apart that are not whole, either has to reach the threshold by itself.
 
-The index is built in Spark and broadcast in shards of at most `shard_items` items, so what one
-task holds is bounded; statistics are over all items. Texts and items that are null or have no
-words match nothing; repeated rows match again; extra columns are kept by clean() and ignored by hits().
+The index is built in Spark and broadcast in shards of about `shard_bytes` of postings and item texts, so what
+one task holds is bounded: there is one scan of the passages for each shard, and one shard at a time. Statistics
+are over all items. Texts and items that are null or have no words match nothing; repeated rows of docs match
+again; one item_id with several texts stands for each of them, and a row of it gives the best match of a document;
+equal items count once; extra columns are kept by clean() and ignored by hits().
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from bisect import bisect_left
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +41,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.llm import _text
-from tidewave.llm._spark import map_texts
+from tidewave.llm._spark import cut, map_texts
 
-K1, B, BLOCK = 1.2, 0.75, 16
+K1, B = 1.2, 0.75
+#: A shard has about so many blocks of items, of two items at least.
+BLOCKS = 128
+#: Block bounds are summed for so many cells (half-passages by blocks) at once.
+_CELLS = 1 << 22
 
 
 @dataclass
 class Shard:
     stride: int
+    width: int  # items of a block
     items: list[int]
     questions: list[np.ndarray]  # shingles
     long: list[bool]  # whether the question has five words
@@ -57,6 +68,7 @@ class Shard:
     block_first: np.ndarray
     block: np.ndarray
     block_impact: np.ndarray
+    lists: dict = field(default_factory=dict)  # each word's postings as lists, as far as they were used
 
 
 def words_of(texts: list[str]) -> list[np.ndarray]:
@@ -72,7 +84,7 @@ def question_answer(text: str) -> tuple[str, str]:
 def _postings(batches):
     for batch in batches:
         ids, found, counts, lengths = [], [], [], []
-        column = batch.column("item_id").to_pylist()
+        column = batch.column("item").to_pylist()
         for row, words in _text.texts_in(batch.column("text"), _text.LETTERS_DIGITS):
             word, n = np.unique(words, return_counts=True)
             ids += [column[row]] * len(word)
@@ -82,58 +94,59 @@ def _postings(batches):
         flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(flat(found), pa.int64()), pa.array(flat(counts), pa.int64()), pa.array(lengths, pa.int64())],
-            names=["item_id", "word", "tf", "length"],
+            names=["item", "word", "tf", "length"],
         )
 
 
-def shards(benchmark: DataFrame, shard_items: int = 4096) -> list[Shard]:
-    """The index of benchmark (item_id, text), in shards of about shard_items items."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["item_id"])
-    postings = items.mapInArrow(_postings, "item_id long, word long, tf long, length long")
-    by_item = postings.groupBy("item_id").agg(F.max("length").alias("length"))
-    total = by_item.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
+def shards(benchmark: DataFrame, shard_bytes: int = 64 << 20):
+    """The shards of the index of benchmark (item_id, text), one at a time: each holds about shard_bytes."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = cut(items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text"))
+    postings = cut(map_texts(items.select("item", "text"), _postings, "item long, word long, tf long, length long"))
+    by_item = postings.groupBy("item").agg(F.max("length").alias("length"), F.count("*").alias("words"))
+    total = by_item.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest"), F.sum("words").alias("words")).first()
     if not total["n"]:
-        return []
-    stride = max(64, total["longest"])
+        return
     df = postings.groupBy("word").agg(F.count("*").alias("df"))
     weighed = postings.join(df, "word").withColumn(
         "weight",
         F.log(1 + (F.lit(total["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / total["mean"]))),
     )
-    own = weighed.groupBy("item_id").agg(F.sum("weight").alias("own"))
-    impacts = weighed.join(own, "item_id").select("item_id", "word", (F.col("weight") / F.col("own")).alias("impact"))
-    count = -(-total["n"] // shard_items)
-    found = []
+    own = weighed.groupBy("item").agg(F.sum("weight").alias("own"))
+    impacts = cut(weighed.join(own, "item").select("item", "word", (F.col("weight") / F.col("own")).alias("impact")))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    count = -(-(64 * total["words"] + 2 * size) // shard_bytes)
     for s in range(count):
         part = F.pmod(F.xxhash64("item_id"), F.lit(count)) == s
-        texts = items.where(part).orderBy("item_id").collect()  # about shard_items rows
-        rows = impacts.where(part).toArrow().to_pandas()
-        found.append(_shard(stride, texts, rows))
-    return found
+        own = items.where(part)
+        texts = own.orderBy("item_id", "text").collect()  # about shard_bytes
+        rows = impacts.join(own.select("item"), "item", "left_semi").toArrow().to_pandas()
+        if len(rows):
+            yield _shard(max(64, total["longest"]), texts, rows)
 
 
 def _shard(stride: int, texts: list, rows) -> Shard:
+    width = max(2, -(-len(texts) // BLOCKS))
     ids = [r["item_id"] for r in texts]
-    number = {x: i for i, x in enumerate(ids)}
-    item = rows["item_id"].map(number).to_numpy(dtype=np.int64)
+    number = {r["item"]: i for i, r in enumerate(texts)}
+    item = rows["item"].map(number).to_numpy(dtype=np.int64)
     word = rows["word"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.lexsort((item, word))
     item, word, impact = item[order], word[order], rows["impact"].to_numpy(dtype=np.float64)[order]
     words, first = np.unique(word, return_index=True)
     first = np.append(first, len(word))
-    most = np.maximum.reduceat(impact, first[:-1]) if len(word) else np.zeros(0)
+    most = np.maximum.reduceat(impact, first[:-1])
     place = np.searchsorted(words, word)
-    key = place * (len(ids) // BLOCK + 1) + item // BLOCK
-    keys, start = np.unique(key, return_index=True)
-    block_impact = np.maximum.reduceat(impact, start) if len(key) else np.zeros(0)
-    block_word = keys // (len(ids) // BLOCK + 1)
+    blocks = len(ids) // width + 1
+    keys, start = np.unique(place * blocks + item // width, return_index=True)
+    block_impact = np.maximum.reduceat(impact, start)
     parts = [question_answer(r["text"]) for r in texts]
     questions, answers = words_of([q for q, _ in parts]), words_of([a for _, a in parts])
     return Shard(
-        stride, ids, [_text.shingles(w, 5) for w in questions], [len(w) >= 5 for w in questions], [np.unique(w) for w in answers], [_text.shingles(w, 5) for w in answers],
+        stride, width, ids, [_text.shingles(w, 5) for w in questions], [len(w) >= 5 for w in questions], [np.unique(w) for w in answers], [_text.shingles(w, 5) for w in answers],
         [_text.shingles(w, 5) for w in words_of([r["text"] for r in texts])], words, most, first, item, impact,
-        np.searchsorted(block_word, np.arange(len(words) + 1)), keys % (len(ids) // BLOCK + 1), block_impact,
+        np.searchsorted(keys // blocks, np.arange(len(words) + 1)), keys % blocks, block_impact,
     )
 
 
@@ -143,18 +156,86 @@ def _gather(first: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return np.repeat(first[terms] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(terms) else np.zeros(0, np.int64)
 
 
-def retrieve(shard: Shard, terms: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All items that a passage with these distinct terms scores at or above the threshold, and their scores."""
-    at = _gather(shard.block_first, terms)
-    bound = np.bincount(shard.block[at], weights=shard.block_impact[at], minlength=len(shard.items) // BLOCK + 1)
-    open_block = bound >= threshold - 1e-9
-    if not open_block.any():
-        return np.zeros(0, np.int64), np.zeros(0)
-    at = _gather(shard.first, terms)
-    at = at[open_block[shard.item[at] // BLOCK]]
-    score = np.bincount(shard.item[at], weights=shard.impact[at], minlength=len(shard.items))
-    found = np.flatnonzero(score >= threshold - 1e-9)
-    return found, score[found]
+def _lists(shard: Shard, term: int) -> tuple:
+    """A word's items (ending with one beyond all), impacts, and largest impact by block."""
+    if term not in shard.lists:
+        lo, hi = shard.first[term], shard.first[term + 1]
+        a, b = shard.block_first[term], shard.block_first[term + 1]
+        blocks = dict(zip(shard.block[a:b].tolist(), shard.block_impact[a:b].tolist(), strict=True))
+        shard.lists[term] = ([*shard.item[lo:hi].tolist(), len(shard.items)], shard.impact[lo:hi].tolist(), blocks)
+    return shard.lists[term]
+
+
+def retrieve(shard: Shard, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+    """Block-max WAND: all items that a passage with these distinct terms scores at or above the threshold, and their scores."""
+    threshold -= 1e-9
+    none = len(shard.items)
+    # one cursor for each term: its item now, largest impact, place, items, impacts, largest impacts by block
+    cursors = [[own[0][0], float(shard.most[t]), 0, *own] for t in terms.tolist() for own in (_lists(shard, t),)]
+    found = []
+
+    def to(c: list, item: int) -> None:
+        c[2] = bisect_left(c[3], item, c[2])
+        c[0] = c[3][c[2]]
+
+    while True:
+        cursors.sort(key=_item_of)
+        most, pivot = 0.0, -1
+        for pivot, c in enumerate(cursors):  # noqa: B007
+            most += c[1]
+            if most >= threshold or c[0] == none:
+                break
+        if most < threshold or cursors[pivot][0] == none:
+            return found
+        item = cursors[pivot][0]
+        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+            pivot += 1
+        block = item // shard.width
+        if sum(c[5].get(block, 0.0) for c in cursors[: pivot + 1]) < threshold:
+            end = min((block + 1) * shard.width, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else none)
+            for c in cursors[: pivot + 1]:
+                to(c, end)
+        elif cursors[0][0] == item:
+            score = sum(c[4][c[2]] for c in cursors[: pivot + 1])
+            if score >= threshold:
+                found.append((item, score))
+            for c in cursors[: pivot + 1]:
+                to(c, item + 1)
+        else:
+            for c in cursors[: pivot + 1]:
+                if c[0] < item:
+                    to(c, item)
+
+
+def _item_of(cursor: list) -> int:
+    return cursor[0]
+
+
+def _may_reach(shard: Shard, half: np.ndarray, term: np.ndarray, last: np.ndarray, threshold: float) -> np.ndarray:
+    """The half-passages h that make, with h + 1 unless h is a text's last, a passage that some block of items may lift to the threshold."""
+    n = len(last)
+    bound = np.bincount(half, weights=shard.most[term], minlength=n + 1)
+    pair = bound[:n] + np.where(last, 0, bound[1:])
+    first = np.flatnonzero(pair >= threshold - 1e-9)
+    if not len(first):
+        return first
+    blocks = len(shard.items) // shard.width + 1
+    step = max(2, _CELLS // blocks)
+    at = np.searchsorted(half, np.arange(n + 2))
+    good = []
+    for lo in range(0, n, step):
+        hi = min(lo + step, n)
+        own = first[(first >= lo) & (first < hi)]
+        if not len(own):
+            continue
+        part = slice(at[lo], at[hi + 1])
+        size = shard.block_first[term[part] + 1] - shard.block_first[term[part]]
+        places = _gather(shard.block_first, term[part])
+        cells = (np.repeat(half[part], size) - lo) * blocks + shard.block[places]
+        sums = np.bincount(cells, weights=shard.block_impact[places], minlength=(hi - lo + 1) * blocks).reshape(-1, blocks)
+        both = sums[own - lo] + np.where(last[own, None], 0, sums[own - lo + 1])
+        good.append(own[both.max(axis=1) >= threshold - 1e-9])
+    return np.concatenate(good) if good else first[:0]
 
 
 def _share(own: np.ndarray, there: np.ndarray) -> float:
@@ -181,22 +262,20 @@ def leaks(shard: Shard, column: pa.Array, threshold: float, overlap: float) -> l
         half = base[text_of] + (hit - first[text_of]) // shard.stride
         keys = np.unique(half * len(shard.words) + place[hit])
         half, term = np.divmod(keys, len(shard.words))
-        bound = np.bincount(half, weights=shard.most[term], minlength=base[-1] + 1)
-        last = np.zeros(base[-1] + 1, dtype=bool)
-        last[base[1:] - 1] = True
-        pair = bound[:-1] + np.where(last[:-1], 0, bound[1:])
+        last = np.zeros(base[-1], dtype=bool)
+        last[base[1:][halves > 0] - 1] = True
         at = np.searchsorted(half, np.arange(base[-1] + 2))
         texts: dict[int, dict] = {}  # the shingles and words of the last text that was looked at whole
-        for h in np.flatnonzero(pair >= threshold - 1e-9):
+        for h in _may_reach(shard, half, term, last, threshold):
             end = h + 1 if last[h] else h + 2
-            found, score = retrieve(shard, np.unique(term[at[h] : at[end]]), threshold)
-            if not len(found):
+            found = retrieve(shard, np.unique(term[at[h] : at[end]]), threshold)
+            if not found:
                 continue
             text = int(np.searchsorted(base, h, side="right")) - 1
             start = first[text] + (h - base[text]) * shard.stride
             passage = hashes[start : min(start + 2 * shard.stride, first[text + 1])]
             there = {5: _text.shingles(passage, 5), 1: np.unique(passage)}
-            for x, s in zip(found.tolist(), score.tolist(), strict=True):
+            for x, s in found:
                 asked, told = _share_any(shard.questions[x], there, passage), _share(shard.answers[x], there[1])
                 near = told >= 0.5 and (_share_any(shard.wholes[x], there, passage) >= overlap or shard.long[x] and asked >= overlap)
                 if not near:
@@ -221,30 +300,38 @@ def _share_any(own: np.ndarray, there: dict, passage: np.ndarray) -> float:
     return _share(own, there[5])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, shard_items: int = 4096) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap: one row for each leak."""
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, shard_bytes: int = 64 << 20) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap: one row for each leak, for each row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = docs.sparkSession.createDataFrame([], schema)
-    for own in shards(benchmark, shard_items):
+    out = None
+    for own in shards(benchmark, shard_bytes):
+        out = out if out is None else cut(out)  # so one shard at a time is in memory
         shared = docs.sparkSession.sparkContext.broadcast(own)
 
         def run(batches, shared=shared):
             for batch in batches:
-                found = leaks(shared.value, batch.column("text"), threshold, overlap)
-                ids = batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
+                best: dict[tuple[int, int], tuple] = {}
+                for row, x, *seen in leaks(shared.value, batch.column("text"), threshold, overlap):
+                    key = row, shared.value.items[x]
+                    best[key] = max(best.get(key, tuple(seen)), tuple(seen))
+                ids = batch.column("doc_id").take(pa.array([row for row, _ in best], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([shared.value.items[x[1]] for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.float64()) for k in (2, 3, 4))],
+                    [ids, pa.array([x for _, x in best], pa.int64()), *(pa.array([v[k] for v in best.values()], pa.float64()) for k in range(3))],
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                 )
 
-        out = out.unionByName(map_texts(texts, run, schema))
-    return out
+        part = map_texts(texts, run, SCHEMA)
+        out = part if out is None else out.unionByName(part)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, shard_items: int = 4096) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, shard_bytes: int = 64 << 20) -> DataFrame:
     """The rows of docs without a leak, all columns."""
-    for own in shards(benchmark, shard_items):
+    for number, own in enumerate(shards(benchmark, shard_bytes)):
+        docs = cut(docs) if number else docs
         shared = docs.sparkSession.sparkContext.broadcast(own)
 
         def run(batches, shared=shared):

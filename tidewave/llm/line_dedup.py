@@ -1,19 +1,20 @@
 """Line deduplication by pairwise alignment (operator 6).
 
-1. Lines are hashed (trimmed, in lower case). A line is rare if it has at least `words` words or `chars`
-   characters and stands in no more than half of all documents.
-2. Overlapping documents are found through shared rare line hashes: each document is paired with the
-   earliest document (smallest id) of every rare line in it, and with the earliest one that holds the line
-   once. So a line costs at most two pairs for each document, not one for each two.
+1. Lines are hashed (trimmed, in lower case). A line is sought if it has at least `words` words or `chars`
+   characters: such lines are rare by themselves. One that stands in very many documents is sought like any
+   other, since a line costs at most two pairs for each document that holds it, however many those are.
+2. Overlapping documents are found through shared line hashes: each document is paired with the
+   earliest document (smallest id) of every such line in it, and with the earliest one that holds the line
+   once. No two later documents are paired with each other for it.
 3. Each pair is aligned with patience diff: lines that are unique in both and in the same order in both
    (a longest increasing run) are anchors, and equal neighbours extend them to blocks. Unique lines that
-   this leaves stand in another order: they are anchors of moved blocks. So every rare line that its
-   document and an earlier one hold once is aligned.
-4. Aligned blocks that hold a rare line are deleted from the later document.
+   this leaves stand in another order: they are anchors of moved blocks. Sought lines that are left are
+   repeated in one of the two texts: each of their places is a block of its own.
+4. Aligned blocks that hold a sought line are deleted from the later document.
 
-A line that its document repeats, or that every earlier document repeats, goes only as an anchor's neighbour.
-
-The first occurrence of a line is never deleted, and a document of which all lines go becomes an empty text.
+So a sought line goes from every document but the earliest that holds it, whatever its order and number;
+shorter lines go only beside one. The first occurrence of a line is never deleted (a document's own repeats
+stay), and a document of which all lines go becomes an empty text.
 Texts that are null or empty stay as they are; rows with a null doc_id are not compared; of rows that repeat a
 doc_id, none is earlier, so they are not compared with each other, and each is aligned as its own;
 extra columns are ignored.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._spark import cut
+from tidewave.llm._spark import cut, map_texts
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -93,6 +94,12 @@ def moved(a: list[int], b: list[int], pairs: list[tuple[int, int]]) -> list[list
     return out
 
 
+def repeated(late: list[int], early: list[int], seeds: set[int], used: set[int]) -> list[int]:
+    """Places in late, not in used, of sought lines that early holds too."""
+    there = seeds.intersection(early)
+    return [j for j, x in enumerate(late) if x in there and j not in used]
+
+
 def blocks(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Runs of neighbours on both sides."""
     out: list[list[tuple[int, int]]] = []
@@ -110,10 +117,11 @@ def _align(batches):
         for doc_id, key, early, late, rare in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "early", "late", "rare")), strict=True):
             seeds = set(rare)
             pairs = patience(early, late)
-            for block in blocks(pairs) + moved(early, late, pairs):
-                if any(late[j] in seeds for _, j in block):
-                    ids += [(doc_id, key)] * len(block)
-                    places += [j for _, j in block]
+            aligned = [[j for _, j in block] for block in blocks(pairs) + moved(early, late, pairs)]
+            gone = {j for block in aligned if any(late[j] in seeds for j in block) for j in block}
+            gone.update(repeated(late, early, seeds, gone))
+            ids += [(doc_id, key)] * len(gone)
+            places += sorted(gone)
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array(places, pa.int32())], names=["doc_id", "key", "place"]
         )
@@ -132,16 +140,16 @@ def deduplicate(docs: DataFrame, words: int = 5, chars: int = 40) -> DataFrame:
     ordered = hashed.select("doc_id", "key", F.expr("array_sort(filter(transform(lines, (x, i) -> if(long[i], x, null)), x -> x is not null))").alias("own"))
     once = "transform(own, (x, i) -> if(get(own, i - 1) <=> x, null, struct(x as h, not (get(own, i + 1) <=> x) as once)))"
     line = ordered.select("doc_id", "key", F.inline(F.expr(f"filter({once}, x -> x is not null)")))
-    half = own.where("doc_id is not null").select("doc_id").distinct().count() / 2
     holder = F.struct("doc_id", "key")
     first = line.groupBy("h").agg(F.min(holder).alias("any"), F.min(F.when(F.col("once"), holder)).alias("single"), F.count("*").alias("n"))
-    first = first.where(F.col("n").between(2, max(2, half))).select("h", F.array_distinct(F.array_compact(F.array("any", "single"))).alias("holders"))
+    # cut, so that the lines are shuffled to it anew and a very common line's rows can be split
+    first = cut(first.where("n > 1").select("h", F.array_distinct(F.array_compact(F.array("any", "single"))).alias("holders")))
     pairs = line.join(first, "h").select("doc_id", "key", "h", F.explode("holders").alias("x")).where("x.doc_id < doc_id")
     pairs = pairs.groupBy("doc_id", "key", F.col("x.doc_id").alias("first"), F.col("x.key").alias("first_key")).agg(F.collect_list("h").alias("rare"))
     texts = hashed.select("doc_id", "key", "lines").dropDuplicates(["doc_id", "key"])
     one = texts.select(F.col("doc_id").alias("first"), F.col("key").alias("first_key"), F.col("lines").alias("early"))
     both = pairs.join(texts.withColumnRenamed("lines", "late"), ["doc_id", "key"]).join(one, ["first", "first_key"])
-    deleted = both.select("doc_id", "key", "early", "late", "rare").mapInArrow(_align, "doc_id long, key long, place int")
+    deleted = map_texts(both.select("doc_id", "key", "early", "late", "rare"), _align, "doc_id long, key long, place int")
     deleted = deleted.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
     out = own.join(deleted, ["doc_id", "key"], "left")
     rest = F.array_join(F.expr("filter(split(text, '\\n', -1), (l, i) -> not array_contains(places, i))"), "\n")
