@@ -239,12 +239,41 @@ def test_search_is_exact_and_like_its_sql(spark):
     want = sorted(db.sql(queries.oracle_sql()["op5_topk_search"]).fetchall())
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in queries.queries()["op5_topk_search"](spark, SF).collect())
     assert got == want
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [0.5, 0.5]), (6, [1.0]), (7, []), (8, [1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [0.5, 0.5]), (6, [1.0]), (7, []), (8, [1.0, 0.0]), (9, [float("inf"), 1.0]), (None, [1.0, 0.0]), (10, [-1e16, 1.0])]
     odd = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert [(r["rank"], r.vec_id, r.score) for r in topk_search.search(odd.where("vec_id = 0"), odd, 3).orderBy("rank").collect()] == [(1, 1, 65536), (2, 8, 65536), (3, 5, 32768)]
     assert topk_search.search(odd.limit(0), odd, 3).count() == 0
 
 
+def test_huge_components_take_part():
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.standard_normal((60, 8)) * np.power(10.0, rng.integers(0, 18, (60, 1))))
+    want = [[max(-(2**63), min(2**63 - 1, sum(int(e) * int(f) for e, f in zip(a, b, strict=True)))) for b in x] for a in x]
+    best = topk_search.Best(np.arange(60), x, 4, topk_search.rotation(x))
+    for i in range(0, 60, 7):
+        best.feed(np.arange(60)[i : i + 7], x[i : i + 7])
+    for q in range(60):
+        order = sorted((i for i in range(60) if i != q), key=lambda i: (-want[q][i], i))[:4]
+        assert best.vec[q].tolist() == order and best.score[q].tolist() == [want[q][i] for i in order]
+
+
+def test_bounds_prune_where_vectors_lie_in_few_directions():
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((20, 64))
+    v = np.floor(256 * (centres[rng.integers(0, 20, 4000)] + 0.05 * rng.standard_normal((4000, 64))))
+    turn = topk_search.rotation(v[:500])
+    best = topk_search.Best(np.arange(100), v[:100], 5, turn)
+    for i in range(0, 4000, 500):
+        best.feed(np.arange(4000)[i : i + 500], v[i : i + 500])
+    assert best.scored < 0.25 * best.pairs
+    full = v[:100] @ v.T
+    full[np.arange(100), np.arange(100)] = -np.inf
+    assert (best.score == -np.sort(-full, axis=1)[:, :5]).all()
+    for shares in topk_search.SEGMENTS:
+        bound = topk_search.upper_bounds(topk_search.statistics(v[:100] @ turn, shares), topk_search.statistics(v @ turn, shares))
+        assert (bound >= full).all()
+
+
 def test_patience_and_line_deletion(spark):
     assert line_dedup.patience([1, 2, 3, 4, 9], [7, 1, 2, 4, 9]) == [(0, 1), (1, 2), (3, 3), (4, 4)]
     a, b, c = (sentence(i, 8) for i in (1, 2, 3))
