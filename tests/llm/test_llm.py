@@ -81,6 +81,33 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
 
 
+def test_code_lengths_are_those_of_the_definition(spark):
+    rows = [(1, "the cat and THE hat", "en"), (2, "der hut und die Katze \u00e4\u8a9e", "de"), (3, "", "de"), (4, "und \u8a9e\u8a9e", "de")]
+    model = language_id.fit(table(spark, rows))
+    low = lambda t: [x + 32 if 65 <= x <= 90 else x for x in t.encode()]
+    counts = {}
+    for _, text, lang in rows:
+        data = [None] * 3 + low(text)
+        for i in range(3, len(data)):
+            for k in range(4):
+                counts.setdefault((lang, *data[i - k : i]), Counter())[data[i]] += 1
+
+    def bits(lang, context, byte):
+        seen = counts.get((lang, *context), Counter())
+        total, kinds = sum(seen.values()), len(seen)
+        if seen[byte]:
+            return np.log2((total + kinds) / seen[byte])
+        return (np.log2((total + kinds) / kinds) if total else 0.0) + (bits(lang, context[1:], byte) if context else 8.0)
+
+    texts = ["the hut", "", "A\u8a9eb\u3042", "katze und cat", "zzz\x00", "\u00e4"]
+    raw = [t.encode() for t in texts]
+    got = language_id.code_lengths(model, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for text, own in zip(texts, got, strict=True):
+        data = [None] * 3 + low(text)
+        want = [sum(bits(lang, tuple(data[i - 3 : i]), data[i]) for i in range(3, len(data))) for lang in ("de", "en")]
+        assert own.tolist() == pytest.approx(want)
+
+
 def test_language_of_odd_rows(spark):
     rows = [(i, t, g) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "en"), ("", "de"), ("123 !", "en"), ("the the " * 20000, "en"), ("und", None)])]
     model = language_id.fit(table(spark, rows))
@@ -191,19 +218,43 @@ def test_items_that_repeat_an_id_each_count(spark):
 
 def test_mixture_has_the_target_marginals(spark):
     cells = {(s, g, t): float(7 + 13 * i + 50 * (s == "a")) for i, (s, g, t) in enumerate((s, g, t) for s in "abc" for g in ("en", "de") for t in ("x", "y"))}
-    out = mixing.rake(cells, 0.7, 50)
+    frame = spark.createDataFrame([*((*c, int(n)) for c, n in cells.items()), ("a", "fr", "x", 0)], "source string, lang string, topic string, tokens long")
     total = sum(cells.values())
-    for d in range(3):
-        share = {k: sum(n for c, n in cells.items() if c[d] == k) / total for k in {c[d] for c in cells}}
-        want = mixing.tempered(share, 0.7)
-        for k, v in want.items():
-            assert sum(out[c] * cells[c] for c in cells if c[d] == k) / total == pytest.approx(v, rel=1e-6)
-    frame = spark.createDataFrame([(*c, int(n)) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
-    for r in mixing.rake_in_spark(frame, 0.7, 50).collect():
-        assert r.multiplier == pytest.approx(out[r.source, r.lang, r.topic], rel=1e-9)
-    odd = mixing.probabilities(table(spark, [(1, None, None), (2, "", "en"), (2, "", "en"), (3, "a b\nc", "en")]).withColumn("topic", mixing.topic())).collect()
-    assert Counter(r.tokens for r in odd) == Counter([0, 0, 0, 3])
+    shares = [{k: sum(n for c, n in cells.items() if c[d] == k) / total for k in {c[d] for c in cells}} for d in range(3)]
+    tempered = [{k: v**0.7 / sum(x**0.7 for x in own.values()) for k, v in own.items()} for own in shares]
+    given = {"source": {"a": 5, "b": 3, "c": 2, "z": 9}, "lang": spark.createDataFrame([("en", 0.8), ("de", 0.2)], "l string, s double")}
+    for targets, want in ((None, tempered), (given, [{"a": 0.5, "b": 0.3, "c": 0.2}, {"en": 0.8, "de": 0.2}, tempered[2]])):
+        table, gap = mixing.rake(frame, targets, 0.7)
+        out = {(r.source, r.lang, r.topic): r.multiplier for r in table.collect()}
+        assert gap <= 1e-10 and out["a", "fr", "x"] == 1.0
+        for d in range(3):
+            for k, v in want[d].items():
+                assert sum(out[c] * cells[c] for c in cells if c[d] == k) / total == pytest.approx(v, rel=1e-6)
+    barred, _ = mixing.rake(frame, {"source": {"a": 1, "b": 1}}, 0.7)
+    assert all((r.multiplier == 0) == (r.source == "c") for r in barred.collect())
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.rake(frame, given, rounds=1)
+    with pytest.raises(ValueError):
+        mixing.rake(frame, {"lang": {"fr": 1}})
+
+
+def test_mixture_of_odd_rows(spark):
+    odd = table(spark, [(1, None, None), (2, "", "en"), (2, "", "en"), (3, "a b\nc", "en")]).withColumn("topic", mixing.topic()).withColumn("tokens", mixing.F.lit("x"))
+    out = mixing.probabilities(odd)
+    assert Counter(r.tokens for r in out.collect()) == Counter([0, 0, 0, 3]) and len(set(out.columns)) == len(out.columns)
+    clash = table(spark, [(1, "a b", "en")]).withColumn("topic", mixing.F.lit("own")).withColumn("tokens", mixing.F.lit("x"))
+    (row,) = mixing.sample(clash).collect()
+    assert mixing.sample(clash).columns == clash.columns and (row.topic, row.tokens) == ("own", "x")
     assert mixing.sample(table(spark, [])).count() == 0
+    assert mixing.sample(table(spark, [(1, None, None), (2, "", "en")])).count() == 2
+
+
+def test_mixture_is_like_its_sql(spark):
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = db.sql(queries.oracle_sql()["op10_mixing"])
+    got = queries.queries()["op10_mixing"](spark, SF).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
 def test_sharding(spark):

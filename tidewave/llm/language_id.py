@@ -1,16 +1,17 @@
 """Language identification by prediction by partial matching (operator 8).
 
-For each language, byte contexts of up to three bytes are counted with the bytes that follow
-(A-Z in lower case; bytes that the sample lacks share one symbol). A context of total t with d
-different followers gives a follower seen n times the chance n / (t + d) and escapes to the next
-shorter context with d / (t + d) (escape method C); below the empty context all symbols are
-equally likely. The statistics are frozen, so each byte's exact code length in bits depends on
-four bytes alone, and a text's is the sum over the whole text. The language with the shortest
-code wins, ties to the smaller name.
+For each language, byte contexts of up to three bytes are counted with the bytes that follow (A-Z in lower
+case). A context of total t with d different followers gives a follower seen n times the chance n / (t + d) and
+escapes to the next shorter context with d / (t + d) (escape method C); below the empty context all 256 bytes are
+equally likely. The statistics are frozen, so each byte's exact code length in bits depends on four bytes alone, and
+a text's is the sum over the whole text. The language with the shortest code wins, ties to the smaller name.
+
+The contexts of all languages make one tree: a node is a byte string that the sample holds, with its code length
+and its escape under each language. A byte is coded by the deepest node that ends with it.
 
 The counts come from a bounded sample of labelled rows: about `sample_rows` for each language
 (all, if fewer), drawn by a hash of the row. They are summed in Spark; what comes to the driver
-and is broadcast is bounded by symbols^4 and, in practice, by the sample.
+and is broadcast is bounded by the sample's different four-byte strings.
 
 `und` with score 0.0: text null, or without any letter. A text without a sampled language to
 compare gets `und` too. Labels that are null or empty tables teach nothing.
@@ -18,8 +19,7 @@ compare gets `und` too. Labels that are null or empty tables teach nothing.
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -31,62 +31,61 @@ from tidewave.llm import _text
 from tidewave.llm._spark import map_texts
 
 ORDER = 3
-SYMBOLS = 64
-#: A byte takes about 100 bytes while it is scored.
+#: Bytes, and what lies before a text.
+SYMBOLS, START = 257, 256
+#: A byte takes about 200 bytes while it is scored.
 SCORED_BYTES = 1 << 18
-_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER = np.arange(256, dtype=np.uint16)
 _LOWER[65:91] += 32
 
 
 @dataclass
 class Model:
-    languages: list[str]
-    symbol: np.ndarray  # of each byte
-    codes: np.ndarray  # of the sampled four-byte strings, ascending
-    bits: np.ndarray  # code length of each, by language
-    escape: np.ndarray  # bits to leave each context of three, by language
-    shorter: np.ndarray  # code length of each three-byte string, by language
-
-
-def _grams(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each position's last four symbols as one number; what lies before a text is symbol 0."""
-    code = symbols.astype(np.int32)
-    out = code.copy()
-    for back in range(1, ORDER + 1):
-        shifted = np.zeros_like(code)
-        shifted[back:] = code[:-back]
-        first = (offsets[:-1, None] + np.arange(back)[None, :]).ravel()
-        limit = np.repeat(offsets[1:], back)
-        shifted[first[first < limit]] = 0
-        out += shifted * SYMBOLS**back
-    return out
+    """Level k has the strings of k + 1 symbols, as (number of the string without its last symbol) * width + last symbol.
 
+    At level 0 the symbols themselves are the numbers; all bytes that the sample lacks are one symbol.
+    """
 
-def _count_bytes(batches):
+    languages: list[str]
+    symbol: np.ndarray  # of each byte and of START, below `width`
+    width: int
+    strings: list[np.ndarray]  # of levels 1 to ORDER, ascending
+    bits: list[np.ndarray]  # code lengths of levels 0 to ORDER, by language
+    escape: list[np.ndarray]  # bits to leave the contexts of levels 0 to ORDER - 1, by language
+    tables: list = field(default_factory=list)
+
+    def numbers(self) -> list[np.ndarray]:
+        """For levels 1 to ORDER, the number of each string in a table of all contexts and symbols, -1 if the sample lacks it."""
+        if not self.tables:
+            contexts = self.width
+            for own in self.strings:
+                table = np.full((contexts + 1) * self.width, -1, dtype=np.int32)  # the last row is that of unknown contexts, number -1
+                table[own] = np.arange(len(own), dtype=np.int32)
+                self.tables.append(table)
+                contexts = len(own)
+        return self.tables
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": []}
+
+
+def _grams(symbols: np.ndarray) -> np.ndarray:
+    """Each place's last four symbols of a text as one number."""
+    code = np.concatenate((np.full(ORDER, START), symbols)).astype(np.int64)
+    return sum(code[ORDER - back : len(code) - back] * SYMBOLS**back for back in range(ORDER + 1))
+
+
+def _count_grams(batches):
     for batch in batches:
         offsets, data = _text.buffers(batch.column("text"))
-        counts = np.bincount(_LOWER[data[offsets[0] : offsets[-1]]], minlength=256)
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], names=["byte", "n"])
-
-
-def _count_grams(symbol: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            offsets, data = _text.buffers(batch.column("text"))
-            by = pd.Series(batch.column("lang").to_pylist())
-            for lang, rows in by.groupby(by).groups.items():
-                total: dict = {}
-                for r in rows:
-                    part = data[offsets[r] : offsets[r + 1]]
-                    found, n = np.unique(_grams(symbol[part], np.asarray([0, len(part)])), return_counts=True)
-                    for c, k in zip(found.tolist(), n.tolist(), strict=True):
-                        total[c] = total.get(c, 0) + k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(total), pa.string()), pa.array(total.keys(), pa.int32()), pa.array(total.values(), pa.int64())], names=["lang", "code", "n"]
-                )
-
-    return run
+        by = pd.Series(batch.column("lang").to_pylist())
+        for lang, rows in by.groupby(by).groups.items():
+            total: dict = {}
+            for r in rows:
+                found, n = np.unique(_grams(_LOWER[data[offsets[r] : offsets[r + 1]]]), return_counts=True)
+                for c, k in zip(found.tolist(), n.tolist(), strict=True):
+                    total[c] = total.get(c, 0) + k
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["lang", "code", "n"])
 
 
 def fit(labelled: DataFrame, sample_rows: int = 800) -> Model:
@@ -95,69 +94,90 @@ def fit(labelled: DataFrame, sample_rows: int = 800) -> Model:
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros(256, np.uint8), np.zeros(0, np.int32), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((0, 0)))
+        return Model([], np.zeros(SYMBOLS, np.int64), 1, [], [], [])
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, sample_rows / n))) for x, n in sizes.items()])
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    common = map_texts(sample.select("text"), _count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows
-    symbol = np.full(256, SYMBOLS - 1, dtype=np.uint8)
-    for place, r in enumerate(sorted(common, key=lambda r: (-r["n"], r["byte"]))[: SYMBOLS - 2]):
-        symbol[r["byte"]] = place + 1
-    symbol[65:91] = symbol[97:123]
-    counts = map_texts(sample.select("text", "lang"), _count_grams(symbol), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    counts = counts.join(F.broadcast(_numbers(labelled, languages)), "lang").select("number", "code", "n").toArrow()
-    number, code, n = (counts.column(c).to_numpy() for c in ("number", "code", "n"))
-    codes = np.unique(code)
-    last, tail = codes // SYMBOLS, codes % SYMBOLS**ORDER
-    bits, shorter, escape = [], [], []
-    for x in range(len(languages)):
-        own, seen = code[number == x], n[number == x].astype(np.float64)
-        suffix = np.bincount(own % SYMBOLS**ORDER, weights=seen, minlength=SYMBOLS**ORDER).reshape(-1, SYMBOLS)
-        below = np.full(SYMBOLS, math.log2(SYMBOLS))
-        for order in range(ORDER):
-            below = _lengths(suffix.reshape(-1, SYMBOLS**order, SYMBOLS).sum(axis=0), below)
-        flat = below.ravel()
-        total, kinds = np.bincount(own // SYMBOLS, weights=seen, minlength=SYMBOLS**ORDER), np.bincount(own // SYMBOLS, minlength=SYMBOLS**ORDER)
+    counts = map_texts(sample.select("text", "lang"), _count_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = counts.toArrow()
+    return from_counts(languages, *(counts.column(c).to_numpy() for c in ("lang", "code", "n")))
+
+
+def from_counts(languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray) -> Model:
+    """The model of counted strings of four symbols, numbers in base SYMBOLS with the last symbol lowest."""
+    number = np.append(np.searchsorted(np.asarray(languages), lang.astype(str)) if len(lang) else np.zeros(0, np.int64), 0)
+    code = np.append(code, sum(START * SYMBOLS**k for k in range(ORDER + 1)))  # what lies before a text is a context too
+    n = np.append(n, 0)
+    parts = [code // SYMBOLS**back % SYMBOLS for back in range(ORDER + 1)]
+    seen = np.unique(parts[0][:-1])
+    width = len(seen) + 2
+    symbol = np.full(SYMBOLS, width - 2, dtype=np.int64)
+    symbol[seen] = np.arange(len(seen))
+    symbol[START] = width - 1
+    parts = [symbol[p] for p in parts]
+    strings, bits, escape = [], [], []
+    ids, contexts, above, under = parts[0], np.zeros(width, np.int64), 1, np.full((width, len(languages)), 8.0)
+    for level in range(ORDER + 1):
+        if level:
+            own, ids = np.unique(_number(strings, width, parts[1 : level + 1]) * width + parts[0], return_inverse=True)
+            contexts, above = own // width, len(bits[level - 1])
+            under = bits[level - 1][_number(strings, width, _spelt(strings, width, own, level)[:level])]  # without the first symbol
+            strings.append(own)
+        each = range(len(languages))
+        times = np.stack([np.bincount(ids[number == x], weights=n[number == x], minlength=len(contexts)) for x in each], axis=1)
+        total = np.stack([np.bincount(contexts, weights=times[:, x], minlength=above) for x in each], axis=1)
+        kinds = np.stack([np.bincount(contexts, weights=times[:, x] > 0, minlength=above) for x in each], axis=1)
         leave = np.where(total > 0, np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0.0)
-        times = np.zeros(len(codes))
-        times[np.searchsorted(codes, own)] = seen
-        bits.append(np.where(times > 0, np.log2(np.maximum(total + kinds, 1)[last] / np.maximum(times, 1)), leave[last] + flat[tail]))
-        escape.append(leave)
-        shorter.append(flat)
-    return Model(languages, symbol, codes.astype(np.int32), *(np.stack(v, axis=1) for v in (bits, escape, shorter)))
-
-
-def _numbers(labelled: DataFrame, languages: list[str]) -> DataFrame:
-    return labelled.sparkSession.createDataFrame(list(enumerate(languages)), "number int, lang string")
+        bits.append(np.where(times > 0, np.log2(np.maximum(total + kinds, 1)[contexts] / np.maximum(times, 1)), leave[contexts] + under))
+        if level:
+            escape.append(leave)
+    return Model(languages, symbol, width, strings, bits, escape)
 
 
-def _lengths(n: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Code lengths [context, symbol] from counts, where `below` has those of the contexts one byte shorter."""
-    total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-    leave = np.where(total > 0, np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0.0)
-    under = np.tile(below.reshape(-1, n.shape[1]), (n.shape[0] // max(1, below.size // n.shape[1]), 1))
-    return np.where(n > 0, np.log2(np.maximum(total + kinds, 1) / np.maximum(n, 1)), leave + under)
+def _number(strings: list[np.ndarray], width: int, parts: list[np.ndarray]) -> np.ndarray:
+    """The number of the strings whose symbols, the last first, are in parts; all are known."""
+    at = parts[-1]
+    for level, p in enumerate(reversed(parts[:-1])):
+        at = np.searchsorted(strings[level], at * width + p)
+    return at
 
 
-_places: dict[int, np.ndarray] = {}
+def _spelt(strings: list[np.ndarray], width: int, own: np.ndarray, level: int) -> list[np.ndarray]:
+    """The symbols of a level's strings, the last first."""
+    out = []
+    for k in range(level, 0, -1):
+        out.append(own % width)
+        own = own // width
+        own = strings[k - 2][own] if k > 1 else own
+    return [*out, own]
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text under each language."""
-    key = hash((model.codes.size, int(model.codes.sum(dtype=np.int64))))
-    if key not in _places:
-        _places.clear()
-        place = np.full(SYMBOLS ** (ORDER + 1), -1, dtype=np.int32)
-        place[model.codes] = np.arange(len(model.codes), dtype=np.int32)
-        _places[key] = place
-    code = _grams(model.symbol[data], offsets)
-    place = _places[key][code]
-    each = model.bits[place]
-    new = np.flatnonzero(place < 0)
-    each[new] = model.escape[code[new] // SYMBOLS] + model.shorter[code[new] % SYMBOLS**ORDER]
-    some = np.flatnonzero(np.diff(offsets))
+    last = model.symbol[_LOWER[data]]
+    starts = offsets[:-1][np.diff(offsets) > 0]
     out = np.zeros((len(offsets) - 1, len(model.languages)))
-    if len(some):
-        out[some] = np.add.reduceat(each, offsets[some], axis=0)
+    if not len(starts):
+        return out
+    ends, before, start = [last], [], int(model.symbol[START])
+    for level, table in enumerate(model.numbers()):
+        context = np.empty_like(ends[level])
+        context[1:] = ends[level][:-1]
+        context[starts] = start
+        before.append(context)
+        rows = len(table) // model.width - 1
+        ends.append(table[np.where(context < 0, rows, context) * model.width + last].astype(np.int64))
+        start = int(table[start * model.width + model.symbol[START]])
+    each = np.zeros((len(last), len(model.languages)))
+    rest = np.arange(len(last))
+    for level in range(ORDER, -1, -1):
+        found = ends[level][rest] >= 0
+        there = rest[found]
+        each[there] += model.bits[level][ends[level][there]]
+        rest = rest[~found]
+        if level:
+            known = rest[before[level - 1][rest] >= 0]
+            each[known] += model.escape[level - 1][before[level - 1][known]]
+    out[np.diff(offsets) > 0] = np.add.reduceat(each, starts, axis=0)
     return out
 
 

@@ -1,21 +1,28 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 10).
 
 Token counts are summed by cell (source, language, topic). Raking multiplies the cells' weights by
-target / present share for one marginal after another until all hold. A document's probability is
-its cell's multiplier over the largest one, so every probability is at most 1 and expected kept
-tokens have the target marginals; a document is kept if a uniform number from its id's md5 is
-below it. Copies of an id are kept or dropped together.
+target / present share for one marginal after another until all hold within `tolerance` (the largest relative
+gap of a category), or for `rounds` rounds at most; the gap that is left is returned, and warned of. A
+document's probability is its cell's multiplier over the largest one, so every probability is at most 1 and
+expected kept tokens have the target marginals; a document is kept if a uniform number from its id's md5
+is below it. Copies of an id are kept or dropped together.
 
-The fit runs on the driver while there are at most DRIVER_CELLS cells (their number is counted
-first) and by window sums in Spark beyond, with the same arithmetic. Null source, language or
-topic make a category of their own; a null or empty text has no tokens, and a cell without
-tokens keeps the multiplier 1. Extra columns are kept.
+Targets are given for each marginal as a dict or a table of category and share; shares are scaled to 1 over the
+categories that have tokens, and a category without one gets none. A marginal without targets is tempered: share ** power.
+
+The fit runs in Spark by sums over the table of cells, whatever their number. Documents are joined with the fitted
+cells by a broadcast if these are counted to be at most BROADCAST_CELLS, else by a shuffle.
+
+Null source, language or topic make a category of their own; a null or empty text has no tokens, and a cell without
+tokens keeps the multiplier 1 (or 0, if one of its categories has tokens but no target). Extra columns are kept, unless
+a result's column has their name.
 
 Only DataFrame functions: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +30,10 @@ from pyspark.sql import functions as F
 
 from tidewave.llm._spark import cut
 
-DRIVER_CELLS = 50_000
+BROADCAST_CELLS = 100_000
+POWER, TOLERANCE, ROUNDS = 0.9, 1e-10, 50
+#: Rounds between two looks at the gap.
+ROUNDS_EACH = 5
 NONE = "(none)"
 MARGINALS = ("source", "lang", "topic")
 
@@ -41,80 +51,74 @@ def topic(text: str = "text") -> Column:
     return F.when(t.rlike("[Ll]icensed|[Cc]opyright|[Rr]ights reserved"), "legal").when(t.rlike("[0-9]{5}"), "records").otherwise("prose")
 
 
-def tempered(shares: dict, power: float) -> dict:
-    """Target shares in proportion to share ** power: below 1 flattens a marginal."""
-    raised = {k: v**power for k, v in shares.items() if v > 0}
-    total = sum(raised.values())
-    return {k: v / total for k, v in raised.items()}
-
-
-def rake(cells: dict[tuple, float], power: float, rounds: int) -> dict[tuple, float]:
-    """Multipliers of the cells' token counts."""
-    total = sum(cells.values())
-    now = {c: n / total for c, n in cells.items() if n > 0}
-
-    def marginal(w: dict, d: int) -> dict:
-        out: dict = {}
-        for c in sorted(w):
-            out[c[d]] = out.get(c[d], 0.0) + w[c]
-        return out
-
-    targets = [tempered(marginal(now, d), power) for d in range(len(MARGINALS))]
-    fitted = dict(now)
-    for _ in range(rounds):
-        for d, target in enumerate(targets):
-            have = marginal(fitted, d)
-            fitted = {c: w * target[c[d]] / have[c[d]] for c, w in fitted.items()}
-    return {c: fitted[c] / now[c] if c in now else 1.0 for c in cells}
-
-
-def rake_in_spark(cells: DataFrame, power: float, rounds: int) -> DataFrame:
-    """The same over a table of cells (*MARGINALS, tokens), with a column multiplier."""
-    total = cells.agg(F.sum("tokens")).first()[0]
-    own = cells.where("tokens > 0").withColumn("now", F.col("tokens") / F.lit(float(total))).withColumn("fitted", F.col("now"))
+def _targets(own: DataFrame, d: str, given, power: float) -> DataFrame:
+    """(d, target): the shares of the categories of own, given or tempered, with the sum 1."""
+    if given is None:
+        raised = own.groupBy(d).agg((F.sum("now") ** power).alias("raised"))
+    else:
+        if isinstance(given, dict):
+            given = own.sparkSession.createDataFrame([(str(k), float(v)) for k, v in given.items()], f"{d} string, raised double")
+        given = given.toDF(d, "raised").select(F.col(d).cast("string").alias(d), F.col("raised").cast("double").alias("raised"))
+        raised = own.select(d).distinct().join(given.groupBy(d).agg(F.sum("raised").alias("raised")), d, "left").fillna(0.0, ["raised"])
+    whole = raised.agg(F.sum("raised")).first()[0]
+    if not whole:
+        raise ValueError(f"no category of {d} has a target")
+    return raised.select(d, (F.col("raised") / whole).alias("target"))
+
+
+def rake(cells: DataFrame, targets: dict | None = None, power: float = POWER, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
+    """cells (*MARGINALS, tokens) with multiplier, and the largest relative gap to a target that is left."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    if not total:
+        return cells.withColumn("multiplier", F.lit(1.0)), 0.0
+    own = cut(cells.where("tokens > 0").withColumn("now", F.col("tokens") / F.lit(float(total))).withColumn("fitted", F.col("now")))
+    wanted = {d: cut(_targets(own, d, (targets or {}).get(d), power)) for d in MARGINALS}
     for d in MARGINALS:
-        target = own.groupBy(d).agg(F.sum("now").alias("share")).withColumn("raised", F.col("share") ** power)
-        whole = target.agg(F.sum("raised")).first()[0]
-        own = own.join(target.select(d, (F.col("raised") / whole).alias(f"target_{d}")), d)
-    own = cut(own)
-    for _ in range(rounds):
-        for d in MARGINALS:
-            own = own.withColumn("fitted", F.col("fitted") * F.col(f"target_{d}") / F.sum("fitted").over(Window.partitionBy(d)))
+        own = own.join(wanted[d].withColumnRenamed("target", f"target_{d}"), d)
+    own, gap, done = cut(own), float("inf"), 0
+    while gap > tolerance and done < rounds:
+        for last in reversed(range(min(ROUNDS_EACH, rounds - done))):
+            for d in MARGINALS:  # windows over cells, not documents
+                have, target = F.sum("fitted").over(Window.partitionBy(d)), F.col(f"target_{d}")
+                if not last:
+                    own = own.withColumn(f"gap_{d}", F.when(target > 0, F.abs(have / target - 1)).otherwise(have))
+                own = own.withColumn("fitted", F.when((target > 0) & (have > 0), F.col("fitted") * target / have).otherwise(0.0))
+            done += 1
         own = cut(own)
+        gap = own.agg(F.greatest(*(F.max(f"gap_{d}") for d in MARGINALS))).first()[0]
+        own = own.drop(*(f"gap_{d}" for d in MARGINALS))
+    if gap > tolerance:
+        warnings.warn(f"the marginals are off by up to {gap:.3g} of a target after {rounds} rounds", stacklevel=2)
     fitted = own.select(*MARGINALS, (F.col("fitted") / F.col("now")).alias("multiplier"))
-    return cells.join(fitted, list(MARGINALS), "left").select(*MARGINALS, F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"))
+    barred = [wanted[d].where("target = 0").select(F.col(d), F.lit(True).alias(f"no_{d}")) for d in MARGINALS]
+    out = reduce(lambda t, b: t.join(b, b.columns[0], "left"), barred, cells.join(fitted, list(MARGINALS), "left"))
+    empty = F.when(reduce(lambda a, b: a | b, (F.coalesce(f"no_{d}", F.lit(False)) for d in MARGINALS)), 0.0).otherwise(1.0)
+    return out.select(*MARGINALS, "tokens", F.coalesce("multiplier", empty).alias("multiplier")), gap
 
 
-def probabilities(docs: DataFrame, power: float = 0.9, rounds: int = 20) -> DataFrame:
+def probabilities(docs: DataFrame, targets: dict | None = None, power: float = POWER, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """docs (doc_id, text, source, lang, topic, ...) with tokens, multiplier, probability and kept added."""
-    spark = docs.sparkSession
+    docs = docs.drop("tokens", "multiplier", "probability", "kept")
     keyed = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(f"_cell_{c}") for c in MARGINALS]
     own = docs.select("*", *keyed, tokens().alias("tokens"))
     sums = cut(own.groupBy(*(F.col(f"_cell_{c}").alias(c) for c in MARGINALS)).agg(F.sum("tokens").alias("tokens")))
-    few = sums.limit(DRIVER_CELLS + 1).collect()
-    if not sum(r["tokens"] for r in few):
-        table = sums.select(*MARGINALS, F.lit(1.0).alias("multiplier"))
-        top = 1.0
-    elif len(few) <= DRIVER_CELLS:
-        fitted = rake({tuple(r[c] for c in MARGINALS): float(r["tokens"]) for r in few}, power, rounds)
-        table = spark.createDataFrame([(*c, m) for c, m in sorted(fitted.items())], ", ".join(f"{c} string" for c in MARGINALS) + ", multiplier double")
-        top = max(fitted.values())
-    else:
-        table = cut(rake_in_spark(sums, power, rounds))
-        top = table.agg(F.max("multiplier")).first()[0]
+    table = cut(rake(sums, targets, power, tolerance, rounds)[0])
+    most = table.agg(F.count("*").alias("n"), F.max("multiplier").alias("top")).first()
+    cells = table.select(*(F.col(c).alias(f"_of_{c}") for c in MARGINALS), "multiplier")
     same = reduce(lambda a, b: a & b, [F.col(f"_cell_{c}") == F.col(f"_of_{c}") for c in MARGINALS])
-    joined = own.join(table.select(*(F.col(c).alias(f"_of_{c}") for c in MARGINALS), "multiplier"), same)
+    joined = own.join(F.broadcast(cells) if most["n"] <= BROADCAST_CELLS else cells, same)
     uniform = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
-    out = joined.withColumn("probability", F.col("multiplier") / F.lit(top)).withColumn("kept", uniform < F.col("probability"))
+    out = joined.withColumn("probability", F.col("multiplier") / F.lit(most["top"] or 1.0)).withColumn("kept", uniform < F.col("probability"))
     return out.drop(*(f"_cell_{c}" for c in MARGINALS), *(f"_of_{c}" for c in MARGINALS))
 
 
-def sample(docs: DataFrame, power: float = 0.9, rounds: int = 20) -> DataFrame:
-    """The kept rows of docs (doc_id, text, source, lang), with its own columns; the topic is that of topic()."""
-    return probabilities(docs.withColumn("topic", topic()), power, rounds).where("kept").select(*docs.columns)
+def sample(docs: DataFrame, targets: dict | None = None, power: float = POWER) -> DataFrame:
+    """The kept rows of docs (doc_id, text, source, lang), with its own columns; the topic is that of topic(), whatever column has that name."""
+    own = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "doc_id", "text", "source", "lang", topic().alias("topic"))
+    return probabilities(own, targets, power).where("kept").select("_row.*")
 
 
-def oracle(rounds: int = 20, power: float = 0.9) -> str:
+def oracle(rounds: int = 30, power: float = POWER) -> str:
     """DuckDB SQL for the rows of the query."""
     steps, last = [], "c"
     for r in range(rounds):
@@ -137,6 +141,6 @@ s AS (SELECT source, lang, topic, tokens / (SELECT sum(tokens) FROM t) AS n FROM
 c AS MATERIALIZED (SELECT s.*, s.n AS fitted, t_source, t_lang, t_topic FROM s JOIN m_source USING (source) JOIN m_lang USING (lang) JOIN m_topic USING (topic)),
 {", ".join(steps)},
 x AS (SELECT t.source, t.lang, t.topic, coalesce(fitted / n, 1.0) AS multiplier FROM t LEFT JOIN {last} USING (source, lang, topic))
-SELECT doc_id, source, lang, topic, CAST(tokens AS BIGINT) AS tokens, round(multiplier, 9) AS multiplier,
-  round(multiplier / (SELECT max(multiplier) FROM x), 9) AS probability, u < multiplier / (SELECT max(multiplier) FROM x) AS kept
+SELECT doc_id, source, lang, topic, CAST(tokens AS BIGINT) AS tokens, round(multiplier, 6) AS multiplier,
+  round(multiplier / (SELECT max(multiplier) FROM x), 6) AS probability, u < multiplier / (SELECT max(multiplier) FROM x) AS kept
 FROM d JOIN x USING (source, lang, topic)"""

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tidewave.llm import decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, pii, sharding, topk_search
 
-
-
 #: A deployment takes its own from where it keeps secrets.
 PII_KEY = "example key"
 
@@ -64,8 +62,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("topic", mixing.topic())
     none = lambda c: F.coalesce(c, F.lit(mixing.NONE)).alias(c)
-    nine = lambda c: F.round(c, 9).alias(c)
-    return mixing.probabilities(docs).select("doc_id", none("source"), none("lang"), "topic", "tokens", nine("multiplier"), nine("probability"), "kept")
+    six = lambda c: F.round(c, 6).alias(c)
+    return mixing.probabilities(docs).select("doc_id", none("source"), none("lang"), "topic", "tokens", six("multiplier"), six("probability"), "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
