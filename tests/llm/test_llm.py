@@ -64,6 +64,29 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicates(table(spark, rows[:0])).count() == 0
 
 
+def variants(seed, n, share, words=60):
+    """n texts about a common one, each with about share of its words changed at random."""
+    rng = np.random.default_rng(seed)
+    base = sentence(seed, words).split()
+    return [" ".join(f"v{rng.integers(1 << 30)}" if rng.random() < share else w for w in base) for _ in range(n)]
+
+
+def test_large_units_are_the_brute_force_components(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    texts = [*variants(1, 60, 0.02), *variants(2, 50, 0.05), *variants(3, 30, 0.1), *(t + " " + u for t, u in zip(variants(1, 20, 0.0), variants(4, 20, 0.0, 15), strict=True)), sentence(1, 60)]
+    docs = table(spark, [(i, t, None) for i, t in enumerate(texts)])
+    want = linked(sets(dict(enumerate(texts)), 4), 80)
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, words=4, bands=60).collect()}
+    assert out == want and len(set(want.values())) > 20
+
+
+def test_one_row_stays_where_rows_repeat_an_id(spark):
+    a, b, c = variants(5, 3, 0.0)[0], sentence(6, 50), sentence(7, 50)
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "y"), (2, a, None), (3, c, None), (3, c, None), (4, None, None), (4, None, None), (None, a, None), (None, a, None)]
+    out = near_dedup.deduplicate(table(spark, rows)).collect()
+    assert Counter(r.doc_id for r in out) == Counter([1, 3, 4, None, None])
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)
@@ -271,7 +294,31 @@ def test_sharding(spark):
     assert len(rows) == len(texts) and set(full) == set(range(24)) and max(full.values()) < 1.05 * min(full.values())
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
     assert sharding.shard(table(spark, [])).count() == 0
-    assert sorted(r.slot for r in sharding.shard(table(spark, [(None, None, None), (None, "a", None), (None, "a", None)])).collect()) == [0, 1, 2]
+    odd = sharding.shard(table(spark, [(None, None, None), (None, "a", None), (None, "a", None)])).collect()
+    assert Counter((r.vslot, r.slot) for r in odd).most_common(1)[0][1] == 1 and sorted((r.size, r.slot) for r in odd if r.size == 9) == [(9, 0), (9, 1)]
+
+
+def test_a_stored_map_is_read_edited_and_read_again(spark, tmp_path):
+    rows = [(i if i % 3 else None, sentence(i, 20) if i % 50 else None, None) for i in range(2000)]
+    docs, path = table(spark, rows), str(tmp_path / "map")
+    first = sharding.shard(docs, 4, 256, path).collect()
+    assert {r.version for r in first} == {1} and {r.text_crc32 for r in first if r.text is None} == {0}
+    assert len({r.vslot for r in first if r.doc_id is None}) > 200  # null ids are spread
+    assert sharding.rebalance_map(docs, path, 5, 256) == 2
+    second = sharding.shard(docs, 4, 256, path).collect()  # the stored map counts
+    was, now = ({r.vslot: r.shard for r in rows} for rows in (first, second))
+    assert {r.version for r in second} == {2} and set(now.values()) == set(range(5))
+    moved = [s for s in was if was[s] != now[s]]
+    assert 0 < len(moved) < 100 and all(now[s] == 4 for s in moved)
+    old = sharding.assign(docs, sharding.read_map(spark, path, 1), 256).collect()
+    assert {r.vslot: r.shard for r in old} == was
+    for rows in (first, second):
+        places = {}
+        for r in rows:
+            places.setdefault(r.shard, []).append(r.slot)
+        assert len(rows) == 2000 and all(sorted(p) == list(range(len(p))) for p in places.values())
+    with pytest.raises(Exception, match="already exists"):
+        sharding.write_map(spark, path, 2, now)
 
 
 def test_rebalancing_moves_little():
