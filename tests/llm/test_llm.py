@@ -434,6 +434,67 @@ def test_licences_are_found_and_inherited(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def brute_licence(files, least=0.5):
+    """Own licence and cosine of each file, by dense vectors over all notices."""
+    cue = re.compile(license_scan.CUE)
+    terms = lambda t: Counter(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower()))
+    found = {}
+    for name, text in files:
+        if text is None:
+            continue
+        named = name and re.search(license_scan.FILES, name.split("/")[-1])
+        own = {(2, x) for x in text.split("\n") if cue.search(x)} | {(1, "\n".join(p for p in re.split(r"\n[^\S\n]*\n", text) if cue.search(p)))} | ({(0, text)} if named else set())
+        found[name, text] = [(rank, terms(x)) for rank, x in own if x]
+    n = sum(map(len, found.values()))
+    df = Counter(w for own in found.values() for _, c in own for w in c)
+    idf = lambda w: np.log((1 + n) / (1 + df[w])) + 1
+    vector = lambda c: {w: k * idf(w) for w, k in c.items()}
+    size = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    templates = [(own, vector(terms(t))) for own, t in license_scan.TEMPLATES]
+    out = {}
+    for f, own in found.items():
+        scores = [(rank, -round(sum(x * t.get(w, 0) for w, x in v.items()) / (size(v) * size(t)), 9), name) for rank, c in own for v in (vector(c),) if v for name, t in templates]
+        best = min((x for x in scores if -x[1] >= least), default=None)
+        if best:
+            out[f] = (best[2], -best[1])
+    return out
+
+
+def test_licence_texts_and_headers_are_those_of_brute_force(spark):
+    by = {}
+    for name, text in license_scan.TEMPLATES:
+        by.setdefault(name, []).append(text)
+    commented = "\n".join(" * " + x for x in re.findall(r".{1,70}(?: |$)", by["Apache-2.0"][1]))
+    files = [
+        ("a/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + by["MIT"][1].split("(c) ")[1]),
+        ("a/x.py", "import os\n"),
+        ("b/main.c", f"/*\n{commented}\n */\n\nint main() {{ return 0; }}\n" + sentence(1, 200)),
+        ("b/k.c", "/* " + by["GPL-2.0"][0] + " */\n\n" + sentence(2, 300)),
+        ("c/COPYING", by["GPL-3.0"][2] + "\n" + by["GPL-3.0"][1]),
+        ("c/d/y.go", "// Copyright 2009 The Go Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage y"),
+        ("c/d/z.txt", sentence(3, 30)),
+        ("e/unlicense.txt", by["Unlicense"][0]),
+        ("f/LICENSE-BSD", by["BSD-2-Clause"][0]),
+        ("g/notes", "A licence is not a copyright of words about " + sentence(4, 60)),
+        ("g/notes", "A licence is not a copyright of words about " + sentence(4, 60)),
+        (None, "Released under the MIT License."),
+        ("h/LICENSE", ""),
+        ("h/LICENSE.md", None),
+    ]
+    want = brute_licence(files)
+    got = license_scan.scan(spark.createDataFrame([(i, *f, "x") for i, f in enumerate(files)], "doc_id long, path string, text string, own string")).collect()
+    assert len(got) == len(files)
+    for r in got:
+        f = files[r.doc_id]
+        assert (r.how == "own") == (f in want)
+        if f in want:
+            assert (r.licence, r.cosine) == (want[f][0], pytest.approx(want[f][1], abs=2e-9))
+    out = {r.doc_id: (r.licence, r.how) for r in got}
+    own = {0: "MIT", 2: "Apache-2.0", 3: "GPL-2.0", 4: "GPL-3.0", 5: "BSD-3-Clause", 7: "Unlicense", 8: "BSD-2-Clause", 11: "MIT"}
+    assert {i: x for i, (x, how) in out.items() if how == "own"} == own
+    assert out[1] == ("MIT", "inherited") and out[6] == ("GPL-3.0", "inherited") and out[9] == (None, "none")
+
+
 def test_pipeline_applies_every_stage(spark):
     import corpus_pipeline
 

@@ -18,9 +18,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's directory is its source, then its id without the last four and the last two digits; one with a licence line is a LICENSE file of that directory."""
+    """A document's directory is its source, then its id without the last four and the last two digits; a text of which licence lines are half or more is a LICENSE file of that directory."""
     docs = _table(spark, sf_dir, "documents")
-    name = F.when(F.coalesce(license_scan.header(), F.lit("")) != "", F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.lit("text-"), F.col("doc_id")))
+    name = F.when(2 * F.coalesce(F.length(license_scan.header()), F.lit(0)) >= F.length("text"), F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.lit("text-"), F.col("doc_id")))
     top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 10000").cast("string"), F.expr("doc_id div 100").cast("string"))
     return license_scan.scan(docs.select("doc_id", F.concat_ws("/", top, name).alias("path"), "text"))
 
