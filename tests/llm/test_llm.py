@@ -427,6 +427,40 @@ def test_main_text_without_the_page_around_it(spark):
     assert all(out[i].text == f"{sentence(i)}\n\n{sentence(99 + i)}\n\nx{i}" for i in range(6))
 
 
+def test_class_words_delete_no_article_text():
+    page = "<body><article><p>One</p><div class='related-work'><p>Two</p></div><section id='notice-of-intent'>Three</section><div class='advert-history share-price'>Four</div>{}</article></body>"
+    drop = "".join(f"<div {x}>Gone</div>" for x in ("class=ad", "class='x ad-slot-3'", "id=relatedPosts", "class=cookie-notice", "class='comment-list'", "class='post-comments'", "role=complementary", "id='newsletter'"))
+    assert html_extract.main_text(page.format(drop)) == "One\n\nTwo\n\nThree\n\nFour"
+
+
+def test_template_blocks_are_those_that_recur(spark):
+    rng, pages, want = np.random.default_rng(8), [], {}
+    shared = [f"<div class='c{i}'><b>{sentence(200 + i, 12)}</b></div>" for i in range(6)]
+    chance = [1.0, 0.6, 0.3, 0.15, 0.04, 0.0]
+    picked = [[b for b in range(6) if rng.random() < chance[b]] for _ in range(100)]
+    n = Counter(b for own in picked for b in own)
+    for i, own in enumerate(picked):
+        text = [sentence(1000 + i, 80), sentence(2000 + i, 80)]
+        parts = [(p, None) for p in text] + [(shared[b], b) for b in own]
+        order = rng.permutation(len(parts))
+        body = "".join(parts[x][0] if parts[x][1] is not None else f"<p>{parts[x][0]}</p>" for x in order)
+        marked = i % 2 == 1
+        pages.append((i, f"https://h{i // 1000}.example/{i}", f"<html><body>{'<article>' if marked else ''}{body}{'</article>' if marked else ''}</body></html>"))
+        stays = lambda b: n[b] < 4 or n[b] < (50 if marked else 10)  # noqa: B023, E731
+        want[i] = "\n\n".join(parts[x][0] if parts[x][1] is None else sentence(200 + parts[x][1], 12) for x in order if parts[x][1] is None or stays(parts[x][1]))
+    frame = spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, html string, key int, host string")
+    out = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    assert out == want
+    assert sum(html_extract.main_text(p[2]) != out[p[0]] for p in pages) > 90  # it is the removal that decides
+    assert html_extract.extract(frame.limit(0)).count() == 0
+
+
+def test_a_very_long_page():
+    page = "<article>" + "".join(f"<p>{sentence(i, 50)} &amp; more" for i in range(20000)) + "<div>" * 5000 + "deep" + "</div>" * 5000
+    text = html_extract.main_text(page)
+    assert text.count("\n\n") == 20000 and text.endswith("& more\n\ndeep")
+
+
 def test_licences_are_found_and_inherited(spark):
     files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.txt", "words"), (3, "a/b/c/y.txt", "code\nLicensed under the Apache License, Version 2.0."), (4, "z/x", "words"), (5, None, None), (6, "a/b/c/COPYING", "This work is licensed under the GNU General Public License, version 3."), (7, "a/b/c/d/e", "")]
     out = {r.doc_id: (r.licence, r.how) for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}

@@ -1,14 +1,16 @@
 """Main text of web pages with site template removal (operator 2).
 
 1. A tolerant parser makes a tree of each page (unclosed and misnested elements are closed as browsers
-   do in the common cases). Elements that are not article text by their tag, role, or class and id words are
-   dropped: menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, comments.
+   do in the common cases). Elements that are not article text by their tag, role, or class and id are
+   dropped: menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, comments. A
+   class or id tells only if all of its words do (`related-posts`, but not `related-work`).
 2. Every other element subtree with text is hashed (tags and normalised text, bottom up). Spark counts
-   for each host the different pages that hold a subtree; pages with the same main text count as one, so
-   copies of an article are not a template. A subtree on at least `least` pages and half of the host's pages is
-   deleted wherever it stands on that host, unless it holds most of the page's text.
-   Of such subtrees a host has at most twice as many as a page has on average, so they go along as an array.
-3. The text is that of the largest article, else of main, else of the body. Block elements make blocks.
+   for each host the different pages that hold a subtree; pages with the same text count as one, so
+   copies of an article are not a template. A subtree on at least `least` pages and `share` of the host's pages is
+   deleted wherever it stands on that host, within an article only if it is on half of the host's pages, and
+   never if it holds most of the page's text. Recurring subtrees meet the pages that hold them by a join, so
+   nothing is gathered for a host.
+3. The text is that of the largest article that is left, else of main, else of the body. Block elements make blocks.
 
 Null or empty html gives an empty text. A page whose URL has no host is not compared with others.
 Repeated rows count once and are returned each time; extra columns are ignored.
@@ -24,10 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._spark import cut
-
-#: Hosts with at least one in so many pages do not go through a shuffle; there are at most so many of them.
-HOT_HOSTS = 200
+from tidewave.llm._spark import cut, map_texts
 
 # Fixed values of HTML: elements without content, with raw text, and those that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,10 +41,14 @@ WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond toolbar pagination pager skip search widget".split()
 )
 HEADERS = frozenset("header topbar".split())
+#: Words that may stand beside those in a class or id without giving it a meaning of its own.
+BESIDE = frozenset(
+    "site page main global top bottom left right inner outer box block area section container wrapper wrap list item items link links post posts article articles story stories content body bar unit slot panel inline sticky fixed user reader readers form count icon icons button buttons title text div primary secondary".split()
+)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.S)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -59,18 +62,27 @@ class Node:
         self.size, self.hash = 0, 0
 
 
+def _telling(name: str) -> set[str]:
+    """The words by which a class or an id says that its element is not article text, or a header."""
+    words = {w.lower() for w in _SPLIT.split(name) if w and not w.isdigit()}
+    return (words & (WORDS | HEADERS)) if words <= WORDS | HEADERS | BESIDE else set()
+
+
 def _words(attributes: str) -> tuple[set[str], bool]:
-    """Class, id and role words, and whether the element is hidden."""
+    """Telling words of class, id and role, and whether the element is hidden."""
     words: set[str] = set()
     hidden = False
     for m in _ATTRIBUTE.finditer(attributes):
         if m[5]:
             hidden = True
             continue
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words.update(_SPLIT.split(value))
-        elif name == "role":
+            for x in value.split():
+                words |= _telling(x)
+            continue
+        value = value.lower()
+        if name == "role":
             words.update("role:" + x for x in value.split())
         elif name == "itemprop" and value == "articlebody":
             words.add("articlebody")
@@ -143,10 +155,10 @@ def parse(page: str) -> Node:
     return root
 
 
-def _measure(node: Node, kept: list) -> tuple[bool, list]:
-    """Fills in sizes and hashes of the text that is not dropped; whether the node holds an article or main."""
-    stack = [(node, iter(list(node.children)), xxhash.xxh64(node.tag.encode()), [False])]
-    holds = False
+def _measure(node: Node) -> None:
+    """Fills in sizes and hashes of the text that is not dropped."""
+    node.size = 0
+    stack = [(node, iter(node.children), xxhash.xxh64(node.tag.encode()), [False])]
     while stack:
         own, rest, state, found = stack[-1]
         for child in rest:
@@ -156,7 +168,8 @@ def _measure(node: Node, kept: list) -> tuple[bool, list]:
                     own.size += len(text)
                     state.update(text.encode("utf-8", "surrogatepass"))
             else:
-                stack.append((child, iter(list(child.children)), xxhash.xxh64(child.tag.encode()), [False]))
+                child.size = 0
+                stack.append((child, iter(child.children), xxhash.xxh64(child.tag.encode()), [False]))
                 break
         else:
             stack.pop()
@@ -172,7 +185,6 @@ def _measure(node: Node, kept: list) -> tuple[bool, list]:
                 top[0].size += own.size
                 if not own.drop:
                     top[2].update(own.hash.to_bytes(8, "little", signed=True))
-    return holds, kept
 
 
 def _nodes(node: Node):
@@ -194,10 +206,9 @@ def _content(root: Node) -> Node:
     return best.get("article") or best.get("main") or best.get("body") or root
 
 
-def _text(top: Node, gone: frozenset) -> str:
+def _text(top: Node) -> str:
     blocks: list[str] = []
     now: list[str] = []
-    most = top.size / 2
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(now)).split())
@@ -213,7 +224,7 @@ def _text(top: Node, gone: frozenset) -> str:
         elif what == "out":
             flush()
         else:
-            if own is not top and (own.drop or own.hash in gone and own.size <= most):
+            if own is not top and own.drop:
                 now.append(" ")
                 continue
             block = own.tag in BLOCKS
@@ -227,27 +238,53 @@ def _text(top: Node, gone: frozenset) -> str:
     return "\n\n".join(blocks)
 
 
-def tree(page: str) -> tuple[Node, Node]:
+def tree(page: str) -> Node:
     root = parse(page)
-    _measure(root, [])
-    return root, _content(root)
+    _measure(root)
+    return root
+
+
+def recurring(root: Node):
+    """(hash, whether within an article) of the subtrees that may be parts of a template."""
+    stack = [(c, False) for c in root.children if not isinstance(c, str)]
+    while stack:
+        own, inside = stack.pop()
+        if own.drop or not own.size:
+            continue
+        if own.size <= root.size / 2:
+            yield own.hash, inside
+        inside = inside or own.tag == "article"
+        stack.extend((c, inside) for c in own.children if not isinstance(c, str))
 
 
 def main_text(page: str | None, gone: frozenset = frozenset()) -> str:
-    return _text(tree(page)[1], gone) if page else ""
+    """The main text of a page without the subtrees with hashes in gone."""
+    if not page:
+        return ""
+    root = tree(page)
+    if gone:
+        most = root.size / 2
+        for own in list(_nodes(root)):
+            own.drop = own is not root and own.hash in gone and own.size <= most
+        _measure(root)
+    return _text(_content(root))
 
 
 def _subtrees(batches):
-    """host, the hash of the page's main text, the hash of a subtree: once for each subtree of a page."""
+    """host, the hash of the page's text, the page's key, the hash of a subtree, whether it is within an article: once for each subtree of a page."""
     for batch in batches:
-        hosts, pages, hashes = [], [], []
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            _, top = tree(page)
-            found = {n.hash for n in _nodes(top) if n is not top and n.size and n.size <= top.size / 2}
+        hosts, pages, keys, hashes, inner = [], [], [], [], []
+        for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html")), strict=True):
+            root = tree(page)
+            found = set(recurring(root))
             hosts += [host] * len(found)
-            pages += [top.hash] * len(found)
-            hashes += found
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "subtree"])
+            pages += [root.hash] * len(found)
+            keys += [key] * len(found)
+            hashes += [x for x, _ in found]
+            inner += [x for _, x in found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (pages, keys, hashes)), pa.array(inner, pa.bool_())], names=["host", "page", "key", "subtree", "inside"]
+        )
 
 
 def _extract(batches):
@@ -257,19 +294,22 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.large_string()).cast(pa.string())], names=["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, least: int = 4) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
-    own = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")).alias("host"))
-    found = own.where("host <> '' and length(html) > 0").select("host", "html").mapInArrow(_subtrees, "host string, page long, subtree long").distinct()
-    found = cut(found)
-    held = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def template(pages: DataFrame, least: int = 4, share: float = 0.1) -> DataFrame:
+    """key, gone: the hashes of a page's subtrees that are parts of its host's template, for each page (host, key, html) that has some."""
+    found = cut(map_texts(pages.where("host <> '' and length(html) > 0").select("host", "key", "html"), _subtrees, "host string, page long, key long, subtree long, inside boolean").distinct())
     size = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    gone = held.join(size, "host").where("2 * n >= pages").groupBy("host").agg(F.collect_list("subtree").alias("gone"))
-    rows = cut(own.groupBy("host").agg(F.count("*").alias("rows")))
-    total = rows.agg(F.sum("rows")).first()[0] or 0
-    hot = rows.where((F.col("host") == "") | (F.col("rows") * HOT_HOSTS >= total)).select("host")  # at most HOT_HOSTS and one
-    few, many = F.broadcast(hot.join(gone, "host", "left")), F.broadcast(hot)
-    joined = own.join(few, "host").unionByName(own.join(many, "host", "left_anti").join(gone, "host", "left"))
+    held = found.select("host", "page", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # cut, so that the pages' subtrees are shuffled to it anew and those of a very large host can be split
+    held = cut(held.join(size, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree", (2 * F.col("n") >= F.col("pages")).alias("most")))
+    met = found.join(held, ["host", "subtree"]).where("most or not inside")
+    return cut(met.groupBy("key").agg(F.collect_set("subtree").alias("gone")))
+
+
+def extract(pages: DataFrame, least: int = 4, share: float = 0.1) -> DataFrame:
+    """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    own = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("url", "html").alias("key"))
+    joined = own.select("page_id", "url", "html", "key").join(template(own, least, share), "key", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    out = joined.select("page_id", "url", "html", "gone").mapInArrow(_extract, f"page_id {kind}, url string, text string")
+    out = map_texts(joined.select("page_id", "url", "html", "gone"), _extract, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
