@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewave.operators import intervals, network, selection, signal
+from tidewave.functions import arrays, probability
+from tidewave.operators import conditioning, evaluate, intervals, network, selection, signal
 
 
 def test_range_join_plans_no_nested_loop(spark):
@@ -65,11 +67,191 @@ def test_network_has_the_layers_of_the_survey():
     assert np.allclose(network.forward(w, x)[1], network.forward(w, x[1:2])[0])
 
 
-def test_selection_on_small_counts(spark):
-    counts = {("a", 1): 5, ("a", 2): 50, ("b", 1): 9, ("b", 3): 9}
-    assert selection.balanced_cover(counts, 40, 3) == [2, 1, 3]
-    split = selection.stratified_split({("a", b): 10 for b in range(20)})
-    assert sum(s == "test" for s in split.values()) == 6
-    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "c string, f int")
+def test_network_scores_do_not_depend_on_batches(spark):
+    w = network.weights(3)
+    x = np.random.default_rng(1).standard_normal((70, 2048))
+    crops = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "row long, x array<double>").withColumn("x_raw", F.expr("transform(x, e -> 2 * e)"))
+    want = dict(enumerate(network.forward(w, x)))
+    for parts in (1, 7):
+        got = {r.row: r.logit for r in network.scores(crops.drop("x_raw").repartition(parts), w).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+    both = network.score_arms(crops, {"full": (w, "x"), "raw": (network.weights(4), "x_raw")}).collect()
+    assert {(r.arm, r.row): r.logit for r in both}["raw", 5] == pytest.approx(network.forward(network.weights(4), 2 * x[5:6])[0])
+    assert len(both) == 140
+
+
+def plain_cover(counts, cap, files):
+    have, taken, stalled = {k: 0 for k, _, _ in counts}, [], set()
+    while len(taken) < files and (open_ := [k for k in have if have[k] < cap and k not in stalled]):
+        need = min(open_, key=lambda k: (have[k], k))
+        best = min(((-n, f) for k, f, n in counts if k == need and f not in [t for t, _ in taken]), default=None)
+        if best is None:
+            stalled.add(need)
+            continue
+        own = {k: min(n, cap - have[k]) for k, f, n in counts if f == best[1] and have[k] < cap}
+        taken.append((best[1], own))
+        for k, n in own.items():
+            have[k] += n
+    return taken
+
+
+def test_balanced_cover_is_the_plain_loop(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        counts = [(k, f, int(rng.integers(1, 30))) for k in "abcd" for f in range(12) if rng.random() < 0.6]
+        cap, files = int(rng.integers(5, 90)), int(rng.integers(1, 14))
+        assert selection.balanced_cover(counts, cap, files) == plain_cover(counts, cap, files)
+    rows = spark.createDataFrame([(k, f, i, 10 * f + i) for k, f, n in counts for i in range(n)], "kind string, file int, score int, at long")
+    want = plain_cover(counts, 20, 4)
+    chosen = selection.cover(rows, "kind", "file", [F.desc("score")], 20, 4)
+    got = {(r.file, r.kind): r.n for r in chosen.groupBy("file", "kind").agg(F.count("*").alias("n")).collect()}
+    assert got == {(f, k): n for f, own in want for k, n in own.items()}
+    few = selection.cover(rows, "kind", "file", [F.desc("score")], 20, 4, ("at", 1, 5))
+    assert {r.pick for r in few.collect()} == {0}
+    assert selection.cover(rows.limit(0), "kind", "file", ["score"], 20, 4).count() == 0
+
+
+def test_stratified_split_is_the_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    counts = {(k, b): int(rng.integers(1, 9)) for k in "abc" for b in range(30) if rng.random() < {"a": 0.2, "b": 0.5, "c": 0.9}[k]}
+    total = {k: sum(n for (c, _), n in counts.items() if c == k) for k in "abc"}
+    want: dict = {}
+    for k in sorted(total, key=lambda k: (total[k], k)):
+        own = {s: sum(n for (c, b), n in counts.items() if c == k and want.get(b) == s) for s in ("test", "val")}
+        for b in sorted(b for c, b in counts if c == k and b not in want):
+            s = "test" if own["test"] < max(round(0.3 * total[k]), min(20, total[k])) else "val" if own["val"] < round(0.1 * total[k]) else "train"
+            want[b] = s
+            if s in own:
+                own[s] += counts[k, b]
+    rows = spark.createDataFrame([(k, b) for (k, b), n in counts.items() for _ in range(n)], "kind string, block int")
+    assert {r.block: r.split for r in selection.stratified_split(rows, "kind", "block").collect()} == want
+
+
+def test_a_waveform_is_placed_in_a_window(spark):
+    h = [0.0, 1.0, -3.0, 2.0]
+    for n, peak in ((4, 2), (6, 4), (3, 0), (5, 9), (3, -4), (8, 1)):
+        want = [0.0] * n
+        for i, e in enumerate(h):
+            if 0 <= i - 2 + peak < n:
+                want[i - 2 + peak] = e
+        assert spark.range(1).select(arrays.placed(F.array(*map(F.lit, h)), n, peak).alias("x")).first().x == want
+
+
+def test_normal_distribution(spark):
+    from statistics import NormalDist
+
+    xs = [-9.0, -6.5, -3.0, -0.1, 0.0, 0.5, 2.0, 5.0, 7.9, 8.5]
+    for x, r in zip(xs, spark.createDataFrame([(x,) for x in xs], "x double").select(probability.normal_cdf(F.col("x")).alias("p")).collect(), strict=True):
+        assert r.p == pytest.approx(NormalDist().cdf(x), abs=1e-11)
+    ps = [1e-6, 0.001, 0.3, 0.5, 0.9, 0.999, 0.0, None]
+    out = spark.createDataFrame([(p,) for p in ps], "p double").select(probability.normal_quantile(F.col("p")).alias("x"), probability.ceiling(F.lit(8.0), F.col("p")).alias("c")).collect()
+    for p, r in zip(ps[:6], out, strict=False):
+        assert r.x == pytest.approx(NormalDist().inv_cdf(p), abs=1e-6) and r.c == pytest.approx(NormalDist().cdf(8 - NormalDist().inv_cdf(1 - p)), abs=1e-9)
+    assert out[6].x is None and out[7].x is None
+
+
+G = conditioning.Geometry(rate=256.0, length=1024, start=384, size=256, low=20.0, high=100.0, flow=15.0, taps=128, order=64, segment=512)
+
+
+def test_band_pass_keeps_the_band():
+    t = np.arange(4096) / 2048
+    inside, outside = (np.sin(2 * np.pi * f * t) for f in (100.0, 700.0))
+    out = signal.band_pass(inside + outside, 2048, 30, 350)[500:-500]
+    assert np.abs(out - inside[500:-500]).max() < 0.02
+    assert np.allclose(signal.band_pass(inside, 2048, 30, 350), np.convolve(inside, (lambda k: (700 / 2048 * np.sinc(700 / 2048 * k) - 60 / 2048 * np.sinc(60 / 2048 * k)) * np.hamming(257))(np.arange(257) - 128), mode="same"))
+
+
+def test_the_four_arms_are_linear_and_the_leaky_one_is_not(spark):
+    rng = np.random.default_rng(5)
+    before, n1, n2, h = rng.standard_normal(4096), rng.standard_normal(1024), rng.standard_normal(1024), np.zeros(1024)
+    h[400:600] = 20 * np.sin(np.arange(200) * 1.2)
+    psd = conditioning.filter_of(before, G)
+    for which in conditioning.ARMS:
+        d1, d2 = (conditioning.arm(n + h, psd, G, which) - conditioning.arm(n, psd, G, which) for n in (n1, n2))
+        assert np.abs(d1 - d2).max() < 1e-9 * np.abs(d1).max()
+    d1, d2 = (conditioning.leaky(n + h, G) - conditioning.leaky(n, G) for n in (n1, n2))
+    assert np.abs(d1 - d2).max() > 1e-2 * np.abs(d1).max()
+    with pytest.raises(ValueError):
+        conditioning.arm(n1, psd, G, "none")
+    rows = [(1, n1.tolist(), before.tolist()), (2, n2.tolist(), before.tolist()), (3, n1.tolist(), None), (4, n1[:50].tolist(), before.tolist())]
+    crops = conditioning.conditioned(spark.createDataFrame(rows, "row long, x array<double>, before array<double>"), G).cache()
+    out = {r.row: r for r in crops.collect()}
+    for which in conditioning.ARMS:
+        assert np.allclose(out[2][f"x_{which}"], conditioning.arm(n2, psd, G, which))
+    assert out[3].x_full is None and out[3].x_raw is not None and out[4].x_raw is None
+    made = conditioning.scaled(crops.where("row < 3"), conditioning.norms(crops.where("row < 3"))).collect()
+    assert np.mean([np.std(r.x_full) for r in made]) == pytest.approx(1, rel=1e-6)
+
+
+def test_scores_are_those_of_a_plain_loop_and_find_what_was_injected(spark):
+    rng = np.random.default_rng(6)
+    end = G.start + 200
+    waves = np.stack([np.concatenate((signal.chirp(m, m, end, G.rate, 20.0), np.zeros(G.length - end))) for m in (12.0, 20.0, 28.0, 36.0)])
+    before, x = rng.standard_normal(8192), rng.standard_normal(2048)
+    sigma = signal.optimal_snr(waves[2], np.full(9, 2 / G.rate), G.rate, G.low, G.high)
+    x[1024:] = signal.inject(x[1024:], waves[2], sigma, 15.0)
+    own = [None, (waves[2] * 15 / sigma).tolist()]
+    blocks = spark.createDataFrame([(1, x.tolist(), before.tolist(), own), (2, x.tolist(), None, own)], "block long, x array<double>, before array<double>, own array<array<double>>")
+    rows = conditioning.scored(blocks, waves, G, (0, 1024), truth=True).orderBy("start").collect()
+    assert len(rows) == 2 and rows[0].rho_oracle is None
+    assert rows[1].rho == pytest.approx(rows[1].rho_oracle, rel=0.25) and rows[1].rho > 10 > 7 > rows[0].rho and rows[1].template in (1, 2, 3)
+    assert all(np.isfinite([r.rho, r.chisq, r.rhotilde]).all() and r.rhotilde <= r.rho + 1e-9 for r in rows)
+    bank = conditioning.bank_of(before, waves, G)
+    for r, s in zip(rows, (0, 1024), strict=True):
+        crop = np.clip(conditioning.arm(x[s : s + G.length], bank.psd, G, "full"), -20, 20)
+        best = (0.0, 0, 0)
+        data = np.fft.fft(crop, 512)
+        for t, h in enumerate(bank.spectra):
+            for lag in range(512):
+                z = sum(data[k] * bank.weight[k] * np.conj(h[k]) * np.exp(2j * np.pi * k * lag / 512) for k in range(1, 256)) / 512 if lag == r.lag or lag % 64 == 0 else 0
+                best = max(best, (abs(z), t, lag))
+        assert best == (pytest.approx(r.rho), r.template, r.lag)
+    noise = conditioning.scored(spark.createDataFrame([(i, rng.standard_normal(2048).tolist(), before.tolist()) for i in range(30)], "block long, x array<double>, before array<double>"), waves, G, (0, 1024)).collect()
+    assert 2 < np.median([r.rho for r in noise]) < 5
+    with pytest.raises(ValueError):
+        conditioning.bank_of(before, np.zeros((1, G.length)), G)
     with pytest.raises(ValueError):
-        selection.counted(df, "c", "f", limit=2)
+        signal.spectra(np.zeros((1, 8)), 16)
+
+
+def test_matches_banks_and_recovered_snr(spark):
+    waves = np.stack([signal.chirp(m, m, 512, 512.0) for m in (20.0, 20.2, 30.0, 31.0, 45.0)])
+    near = signal.matches(waves, waves)
+    assert np.allclose(np.diag(near), 1) and np.allclose(near, near.T) and (near <= 1 + 1e-9).all()
+    assert conditioning.fitting_factor(waves[:2], waves[2:]) == pytest.approx(near[:2, 2:].max(axis=1))
+    kept = []
+    for i in range(5):
+        if all(near[i, j] < 0.97 for j in kept):
+            kept.append(i)
+    candidates = spark.createDataFrame([(10 + i, h.tolist()) for i, h in enumerate(waves)], "id long, h array<double>")
+    for block in (2, 3, 512):
+        assert signal.stochastic_bank(candidates, block=block) == [10 + i for i in kept]
+    assert signal.stochastic_bank(candidates, least=0.0, stop=2) == [10]
+    psd = np.full(9, 2 / 512.0)
+    x = signal.inject(np.zeros(512), waves[2], signal.optimal_snr(waves[2], psd, 512.0, 30, 200), 9.0)
+    assert conditioning.recovered_snr(np.roll(x, 37), waves[2], psd, 512.0, 30, 200) == pytest.approx(9.0, rel=1e-6)
+
+
+def test_noise_is_a_function_of_the_seed(spark):
+    keys = spark.createDataFrame([(i, 7 + i % 3) for i in range(40)], "k long, seed long")
+    psd = np.linspace(1, 2, 9)
+    got = {r.k: r.x for n in (1, 9) for r in signal.noise_blocks(keys.repartition(n), psd, 64).collect()}
+    assert len(got) == 40 and got[0] == got[3] == signal.coloured_noise(psd, 64, 7).tolist() and got[0] != got[1]
+
+
+def test_numbers_follow_the_hash(spark):
+    rows = spark.range(500).select("id", F.md5(F.col("id").cast("string").cast("binary")).alias("m"))
+    out = {r.m: (r.place, r.n) for r in intervals.numbered(rows, "m", 1).collect()}
+    assert [out[m][0] for m in sorted(out)] == list(range(500)) and {n for _, n in out.values()} == {500}
+
+
+def test_area_and_percentiles_by_ranges_are_exact(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k), float(s), bool(p)) for k, s, p in zip(rng.integers(0, 2, 3000), np.round(rng.normal(size=3000), 2), rng.random(3000) < 0.3, strict=True)] + [(2, 1.0, True), (2, None, False)]
+    df = spark.createDataFrame(rows, "k int, s double, p boolean")
+    for r in evaluate.auc(df, "s", "p", ["k"]).collect():
+        own = [x for x in rows if x[0] == r.k and x[1] is not None]
+        p, n = np.asarray([x[1] for x in own if x[2]]), np.asarray([x[1] for x in own if not x[2]])
+        assert (r.auc is None) if not len(n) else r.auc == pytest.approx((p[:, None] > n[None]).mean() + (p[:, None] == n[None]).mean() / 2)
+    got = evaluate.percentiles(df, "s", ["k"], [0.0, 0.05, 0.5, 0.999, 1.0]).collect()
+    assert {(r.k, r.share): r.value for r in got} == {(k, q): pytest.approx(np.quantile([x[1] for x in rows if x[0] == k and x[1] is not None], q)) for k in (0, 1, 2) for q in (0.0, 0.05, 0.5, 0.999, 1.0)}

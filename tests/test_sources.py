@@ -30,9 +30,13 @@ def test_buffers_by_offset_and_by_time(spark):
     blocks = spark.createDataFrame([("H1", 100.0, [float(i) for i in range(40)]), ("H1", 110.0, [100.0 + i for i in range(40)])], "detector string, gps double, strain array<double>")
     whole = blocks.select("gps", *(readers.buffer(F.col("strain"), F.lit(o), 4, 8).alias(f"o{o}") for o in (-1, 0, 8, 9))).where("gps = 100").first()
     assert (whole["o-1"], whole.o0, whole.o8, whole.o9) == (None, [float(i) for i in range(8)], [float(i) for i in range(32, 40)], None)
-    times = spark.createDataFrame([("H1", 101.25), ("H1", 109.0), ("H1", 110.0), ("L1", 101.0)], "detector string, t double")
-    out = {r.t: r.x for r in readers.buffers_at(blocks, times, 10, 4, 8).collect()}
-    assert out == {101.25: [float(i) for i in range(5, 13)], 110.0: [100.0 + i for i in range(8)]}
+    times = lambda *t: spark.createDataFrame([("H1", x) for x in t], "detector string, t double")
+    out = {r.t: r.x for r in readers.buffers_at(blocks, times(101.25, 110.0, 109.0), 4, 8).collect()}
+    assert out == {101.25: [float(i) for i in range(5, 13)], 110.0: [100.0 + i for i in range(8)], 109.0: [36.0, 37.0, 38.0, 39.0, 100.0, 101.0, 102.0, 103.0]}
+    for outside in (99.0, 118.5, 500.0):
+        with pytest.raises(Exception, match="no strain for a buffer"):
+            readers.buffers_at(blocks, times(101.0, outside), 4, 8).collect()
+    assert [r.t for r in readers.off_source(100.0, 112.0, 104.0, spark, "H1", 2.0).orderBy("t").collect()] == [100.0, 101.0, 102.0, 106.0, 107.0, 108.0, 109.0, 110.0]
 
 
 def test_an_interrupted_write_goes_on_where_it_stopped(spark, tmp_path):
@@ -47,6 +51,8 @@ def test_an_interrupted_write_goes_on_where_it_stopped(spark, tmp_path):
     writers.append_missing(plan, path, ["k"], build)
     writers.append_missing(plan, path, ["k"], build)
     assert built == [4, 6, 0]
+    with pytest.raises(ValueError, match="another plan"):
+        writers.append_missing(plan.where("k > 4"), path, ["k"], build)
     assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(k, 2 * k) for k in range(10)]
 
 
@@ -83,3 +89,32 @@ def test_a_stream_gives_the_counts_of_the_table(spark, tmp_path):
     assert out.awaitTermination(120)
     got = {(r.start, r.n, r.alarms) for r in spark.table("alarms").collect()}
     assert got == {x for x in want if x[0] < datetime(2024, 1, 1, 8)}  # the last window stays open until the watermark passes it
+
+
+def test_models_and_results_are_kept(spark, tmp_path):
+    from tidewave.operators import network
+
+    w, path = network.weights(5), str(tmp_path / "w")
+    writers.model(spark, path, w)
+    back = readers.model(spark, path)
+    assert set(back) == set(w) and all((back[k] == w[k]).all() for k in w)
+    with pytest.raises(ValueError):
+        network.from_rows(network.to_rows(w)[1:])
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    assert [readers.remembered(spark, str(tmp_path / "r"), build).count() for _ in range(2)] == [3, 3] and built == [1]
+
+
+def test_specs_and_searches(spark):
+    specs = spark.createDataFrame([(0, 5.0, 1, "train"), (1, 6.0, 2, "test")], "y int, m double, k int, split string")
+    assert readers.step_inputs(specs).columns == ["y", "m", "k"]
+    assert [tuple(r) for r in readers.without_parameters(specs, "y", ("m", "k")).orderBy("y").collect()] == [(0, 0.0, 0, "train"), (1, 6.0, 2, "test")]
+    near = lambda span: spark.range(100).where(F.col("id") < span)
+    found, span = readers.widened(near, 3, 10, 50)
+    assert (found.count(), span) == (12, 12)
+    with pytest.raises(ValueError):
+        readers.widened(near, 3, 60, 50)

@@ -22,3 +22,23 @@ def deviation(a: Column) -> Column:
     """Population standard deviation, in two passes."""
     mean = F.aggregate(a, F.lit(0.0), lambda s, e: s + e) / F.size(a)
     return F.sqrt(F.aggregate(F.transform(a, lambda e: (e - mean) * (e - mean)), F.lit(0.0), lambda s, e: s + e) / F.size(a))
+
+
+def argmax(a: Column) -> Column:
+    """The place of the first largest element, from 0."""
+    return F.array_position(a, F.array_max(a)) - 1
+
+
+def placed(h: Column, n: int, peak: Column | int) -> Column:
+    """h in a window of n samples with its first largest sample in size at place `peak`, padded with zeros, what lies outside being cut."""
+    shift = F.lit(peak) - argmax(F.transform(h, F.abs)) if not isinstance(peak, Column) else peak - argmax(F.transform(h, F.abs))
+    padded = F.concat(F.array_repeat(F.lit(0.0), F.greatest(shift, F.lit(0)).cast("int")), F.slice(h, F.greatest(F.lit(1), 1 - shift).cast("int"), F.size(h)), F.array_repeat(F.lit(0.0), n))
+    return F.slice(padded, 1, n)
+
+
+def energy(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, e: s + e * e)
+
+
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, e: s + e)

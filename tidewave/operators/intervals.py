@@ -89,3 +89,16 @@ def runs(df: DataFrame, block: str, keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(block)
     island = df.select(*keys, block).distinct().withColumn("_island", F.col(block) - F.row_number().over(order))
     return island.groupBy(*keys, "_island").agg(F.min(block).alias("first"), F.max(block).alias("last"), F.count("*").alias("n")).drop("_island")
+
+
+def numbered(df: DataFrame, by: str, digits: int = 3) -> DataFrame:
+    """df with place, the rows' number from 0 in the order of a column of hex digits spread evenly (a hash), and n, the number of all.
+
+    Rows are numbered within the first digits and shifted by the counts before (16 ** digits rows), so no task sees all.
+    """
+    head = F.substring(by, 1, digits)
+    counts = df.groupBy(head.alias("_head")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    shifts = counts.select("_head", before.alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("n"))
+    own = df.withColumn("_head", head).withColumn("_in", F.row_number().over(Window.partitionBy("_head").orderBy(by)) - 1)
+    return own.join(F.broadcast(shifts), "_head").withColumn("place", F.col("_before") + F.col("_in")).drop("_head", "_in", "_before")

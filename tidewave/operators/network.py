@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed values: (filters, inputs, width) of the convolutions, and the dense layers' shapes.
 CONVOLUTIONS = ((16, 1, 64), (32, 16, 8), (64, 32, 8))
@@ -45,15 +47,45 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return (h @ w["dense2"].T + w["bias2"])[:, 0]
 
 
-def scores(crops: DataFrame, w: dict[str, np.ndarray]) -> DataFrame:
-    """The key columns of crops (x array of 2048) with a logit, whatever the batches."""
+#: Crops that are scored at once.
+SLICE = 32
+
+
+def scores(crops: DataFrame, w: dict[str, np.ndarray], x: str = "x") -> DataFrame:
+    """The other columns of crops (x array of 2048) with a logit; slices of SLICE crops are scored at once, the last one filled up, so each product has the same shape."""
     shared = crops.sparkSession.sparkContext.broadcast(w)
-    names = [c for c in crops.columns if c != "x"]
+    names = [c for c in crops.columns if c != x]
 
     def run(parts):
         for p in parts:
-            out = [float(forward(shared.value, np.asarray(x, float)[None, :])[0]) for x in p["x"]]  # one at a time: the same bits in any batch
-            yield pd.concat([p[names].reset_index(drop=True), pd.DataFrame({"logit": out})], axis=1)
+            out = np.zeros(len(p))
+            for lo in range(0, len(p), SLICE):
+                own = np.stack([np.asarray(v, float) for v in p[x].iloc[lo : lo + SLICE]])
+                full = np.concatenate((own, np.zeros((SLICE - len(own), own.shape[1]))))
+                out[lo : lo + len(own)] = forward(shared.value, full)[: len(own)]
+            yield p[names].reset_index(drop=True).assign(logit=out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in crops.schema if f.name != "x")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in crops.schema if f.name != x)
     return crops.mapInPandas(run, schema + ", logit double")
+
+
+def score_arms(crops: DataFrame, arms: dict[str, tuple[dict[str, np.ndarray], str]]) -> DataFrame:
+    """The logits of every arm: its weights over its own column of the crops, with the arm's name."""
+    columns = {x for _, x in arms.values()}
+    keys = [c for c in crops.columns if c not in columns]
+    each = [scores(crops.select(*keys, x), w, x).withColumn("arm", F.lit(name)) for name, (w, x) in arms.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def to_rows(w: dict[str, np.ndarray]) -> list[tuple[str, list[int], list[float]]]:
+    """Weights as rows of a table (name, shape, x)."""
+    return [(k, list(v.shape), v.ravel().tolist()) for k, v in sorted(w.items())]
+
+
+def from_rows(rows: list) -> dict[str, np.ndarray]:
+    """Weights from rows (name, shape, x); layers that are missing or of another shape are an error."""
+    w = {name: np.asarray(x, float).reshape(shape) for name, shape, x in rows}
+    want = {k: v.shape for k, v in weights(0).items()}
+    if {k: v.shape for k, v in w.items()} != want:
+        raise ValueError(f"layers differ: {sorted(set(want) ^ set(w)) or [k for k in want if w[k].shape != want[k]]}")
+    return w

@@ -59,8 +59,7 @@ def file_buckets(spark, sf_dir):
 @query(f"WITH {SPLIT}, v AS (SELECT value FROM x WHERE split = 'val' AND event_type <> 'error') SELECT 0.1::DOUBLE AS fap, quantile_cont(value, 0.9) AS threshold FROM v UNION ALL SELECT 0.01::DOUBLE, quantile_cont(value, 0.99) FROM v UNION ALL SELECT 0.001::DOUBLE, quantile_cont(value, 0.999) FROM v")
 def equal_fap_threshold(spark, sf_dir):
     val = _split(_events(spark, sf_dir)).where("split = 'val' and event_type <> 'error'")
-    one = val.agg(*(evaluate.threshold("value", f).alias(f"t{i}") for i, f in enumerate((0.1, 0.01, 0.001))))
-    return one.select(F.expr("stack(3, 0.1D, t0, 0.01D, t1, 0.001D, t2) as (fap, threshold)"))
+    return evaluate.thresholds(val, "value", (0.1, 0.01, 0.001))
 
 
 @query(
@@ -72,8 +71,7 @@ def equal_fap_table(spark, sf_dir):
     """Shares above the thresholds of the validation split's negatives, on the test split, by class and in total."""
     x = _split(_events(spark, sf_dir))
     val = x.where("split = 'val' and event_type <> 'error'")
-    one = val.agg(*(evaluate.threshold("value", f).alias(f"t{i}") for i, f in enumerate((0.1, 0.01))))
-    limits = one.select(F.expr("stack(2, 0.1D, t0, 0.01D, t1) as (fap, threshold)"))
+    limits = evaluate.thresholds(val, "value", (0.1, 0.01))
     test = x.where("split = 'test'").crossJoin(F.broadcast(limits))  # two rows
     by = test.groupingSets([["fap", "event_type"], ["fap"]], "fap", "event_type").agg(F.count("*").alias("n"), F.round(evaluate.above("value", "threshold"), 9).alias("share"))
     return by.select("fap", F.coalesce("event_type", F.lit("all")).alias("class"), "n", "share")
@@ -134,15 +132,11 @@ avg(CASE WHEN abs((value - mean) / sd) > 2 THEN 1.0 ELSE 0.0 END) AS tail FROM e
 def moments_tails(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", "value")
     m = e.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))  # one row for each class
-    return (
-        e.join(m, "event_type")
-        .groupBy("event_type")
-        .agg(
-            F.round(F.max("sd"), 6).alias("sd"), F.round(F.kurtosis("value"), 6).alias("kurtosis"),
-            *(F.round(F.percentile("value", F.lit(p)), 6).alias(f"p{round(100 * p)}") for p in (0.05, 0.5, 0.95)),
-            F.avg((F.abs((F.col("value") - F.col("mean")) / F.col("sd")) > 2).cast("double")).alias("tail"),
-        )
-    )
+    tail = F.avg((F.abs((F.col("value") - F.col("mean")) / F.col("sd")) > 2).cast("double"))
+    moments = e.join(m, "event_type").groupBy("event_type").agg(F.round(F.max("sd"), 6).alias("sd"), F.round(F.kurtosis("value"), 6).alias("kurtosis"), tail.alias("tail"))
+    at = lambda p: F.round(F.max(F.when(F.col("share") == p, F.col("value"))), 6).alias(f"p{round(100 * p)}")
+    quantiles = evaluate.percentiles(e, "value", ["event_type"], [0.05, 0.5, 0.95]).groupBy("event_type").agg(*map(at, (0.05, 0.5, 0.95)))
+    return moments.join(quantiles, "event_type")
 
 
 ARMS = "a AS (SELECT event_type AS arm, user_id % 4 AS seed, avg(CASE WHEN value > 100 THEN 1.0 ELSE 0.0 END) AS v FROM events GROUP BY 1, 2)"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.functions import arrays
+from tidewave.operators import network
 
 TRIGGERS = "peak_time long, peak_time_ns long, duration double, peak_frequency double, snr double, ml_label string, ml_confidence double"
 #: Samples a second, samples of a buffer, and the last whole second of a block at which a buffer starts.
@@ -56,14 +58,64 @@ def buffer(strain: Column, offset: Column, rate: int = RATE, length: int = BUFFE
     return F.when(whole, F.slice(strain, (offset * rate + 1).cast("int"), length))
 
 
-def buffers_at(blocks: DataFrame, times: DataFrame, seconds: int = 512, rate: int = RATE, length: int = BUFFER) -> DataFrame:
-    """times (detector, t) with the buffer x that starts at the sample nearest to t, where a block (detector, gps, strain) holds it all.
+def buffers_at(blocks: DataFrame, times: DataFrame, rate: int = RATE, length: int = BUFFER) -> DataFrame:
+    """times (detector, t) with the buffer x that starts at the sample nearest to t, from blocks (detector, gps, strain).
 
-    Blocks start at multiples of `seconds` from the stretch's start; a time meets its block by the number of its cell.
+    Blocks are cut into whole seconds, and a time is joined with the seconds that its buffer touches, in one block or in
+    two that follow each other; so no whole block is shuffled. A time whose buffer is not all there is an error when the rows are read.
     """
-    cell = lambda c: F.floor(F.col(c) / seconds)
-    own = blocks.select("detector", "gps", "strain").withColumn("_cell", F.explode(F.sequence(cell("gps"), F.floor((F.col("gps") + seconds - 1) / seconds))))
-    at = times.withColumn("_cell", cell("t"))
-    met = at.join(own, ["detector", "_cell"]).where((F.col("t") >= F.col("gps")) & (F.col("t") < F.col("gps") + seconds))
-    first = F.round((F.col("t") - F.col("gps")) * rate).cast("int")
-    return met.where(first + length <= F.size("strain")).withColumn("x", F.slice("strain", first + 1, length)).drop("_cell", "gps", "strain")
+    seconds = blocks.select(
+        "detector", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("strain") / rate).cast("int") - 1), lambda s: F.slice("strain", s * rate + 1, rate))).alias("_s", "_x"), "gps"
+    ).select("detector", (F.floor("gps") + F.col("_s")).alias("_second"), (F.col("gps") - F.floor("gps")).alias("_shift"), "_x")
+    first = F.round(F.col("t") * rate).cast("long")
+    span = F.sequence(F.floor(first / rate), F.floor((first + length - 1) / rate))
+    wanted = times.select("detector", "t").distinct().withColumn("_first", first).withColumn("_second", F.explode(span)).withColumn("_n", F.size(span))
+    met = wanted.join(seconds.where("_shift = 0"), ["detector", "_second"], "left")
+    parts = met.groupBy("detector", "t", "_first", "_n").agg(F.array_sort(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_second", "_x")))).alias("_p"))
+    whole = F.flatten(F.transform("_p", lambda p: p["_x"]))
+    x = F.slice(whole, (F.col("_first") - F.col("_p")[0]["_second"] * rate + 1).cast("int"), length)
+    found = F.when(F.size("_p") == F.col("_n"), x).otherwise(F.raise_error(F.concat(F.lit("no strain for a buffer of "), "detector", F.lit(" at "), F.col("t").cast("string"))))
+    return times.join(parts.select("detector", "t", found.alias("x")), ["detector", "t"])
+
+
+def off_source(start: float, end: float, event: float, spark: SparkSession, detector: str, seconds: float = BUFFER / RATE, hop: float = 1.0) -> DataFrame:
+    """(detector, t): starts of background buffers, `hop` apart, over a stretch, without those that touch the buffer of an event."""
+    n = int((end - seconds - start) // hop) + 1
+    t = F.lit(start) + F.col("id") * hop
+    return spark.range(max(0, n)).select(F.lit(detector).alias("detector"), t.alias("t")).where((F.col("t") + seconds <= event) | (F.col("t") >= event + seconds))
+
+
+def model(spark: SparkSession, path: str) -> dict:
+    """The weights of a network stored as rows (name, shape, x); a set that is not whole is an error."""
+    return network.from_rows([tuple(r) for r in spark.read.parquet(path).select("name", "shape", "x").collect()])  # the layers of one model
+
+
+def remembered(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at path, which build() makes if it is not there: a remote or costly result is fetched once."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    build().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def step_inputs(specs: DataFrame) -> DataFrame:
+    """What a step that builds samples may see of their specs: all but the split."""
+    return specs.drop("split")
+
+
+def without_parameters(specs: DataFrame, label: str, parameters: tuple[str, ...]) -> DataFrame:
+    """specs with parameters 0 where there is no signal."""
+    return specs.withColumns({p: F.when(F.col(label) == 0, F.lit(0).cast(specs.schema[p].dataType)).otherwise(F.col(p)) for p in parameters})
+
+
+def widened(search, span: float, quota: int, most: float) -> tuple[DataFrame, float]:
+    """search(span) of the smallest doubled span that gives `quota` rows; an error beyond `most`."""
+    while span <= most:
+        found = search(span)
+        if found.limit(quota).count() >= quota:
+            return found, span
+        span *= 2
+    raise ValueError(f"fewer than {quota} rows within {most}")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tidewave.operators import network
+
 
 def written(spark: SparkSession, path: str, schema) -> DataFrame:
     """What a dataset holds so far; no rows if there is none."""
@@ -20,8 +22,14 @@ def written(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def append_missing(plan: DataFrame, path: str, keys: list[str], build: Callable[[DataFrame], DataFrame], by: tuple[str, ...] = ()) -> None:
-    """Builds and appends the rows of the plan whose keys the dataset lacks. The committer publishes all of them or none."""
+    """Builds and appends the rows of the plan whose keys the dataset lacks. The committer publishes all of them or none.
+
+    A dataset with keys that the plan lacks was written for another plan, which is an error.
+    """
     done = written(plan.sparkSession, path, plan.select(*keys).schema)
+    strange = done.join(plan.select(*keys), keys, "left_anti").limit(1).collect()
+    if strange:
+        raise ValueError(f"{path} was written for another plan: {strange[0]}")
     build(plan.join(done.distinct(), keys, "left_anti")).write.mode("append").partitionBy(*by).parquet(path)
 
 
@@ -38,3 +46,8 @@ def attributes(spark: SparkSession, path: str, values: dict[str, object]) -> Non
 def best_checkpoint(epochs: DataFrame, keys: list[str], metric: str = "val_auc") -> DataFrame:
     """The weights of the best epoch of each key, the earliest of equal ones."""
     return epochs.groupBy(*keys).agg(F.max_by(F.struct("epoch", metric, "weights"), F.struct(F.col(metric), -F.col("epoch"))).alias("_b")).select(*keys, "_b.*")
+
+
+def model(spark: SparkSession, path: str, weights: dict) -> None:
+    """A network's weights as rows of name, shape and values."""
+    spark.createDataFrame(network.to_rows(weights), "name string, shape array<int>, x array<double>").coalesce(1).write.mode("overwrite").parquet(path)
