@@ -6,6 +6,7 @@ import re
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,18 +28,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: A side of a join that is counted to have at most so many bytes is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow over batches of at most BATCH_ROWS rows: a batch of long texts is held on both sides of the pipe to Python.
+    """mapInArrow over batches of at most BATCH_ROWS rows and BATCH_BYTES (or one row): a batch is held on both sides of the pipe to Python.
 
-    Spark reads the limit when the plan runs, so it stays set in the session, unless that has a lower one.
+    Spark reads the limits when the plan runs, so they stay set in the session, unless that has lower ones. A task that
+    ends gives its freed memory back, as the worker lives on.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, BATCH_ROWS)
-    return df.mapInArrow(run, schema)
+    conf = df.sparkSession.conf
+    for name, limit in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        own = int(conf.get(name, "0").rstrip("b"))
+        if not 0 < own <= limit:
+            conf.set(name, limit)
+
+    def runs(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(runs, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

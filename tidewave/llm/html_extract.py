@@ -9,7 +9,7 @@
    copies of an article are not a template. A subtree on at least `least` pages and `share` of the host's pages is
    deleted wherever it stands on that host, within an article only if it is on half of the host's pages, and
    never if it holds most of the page's text. Recurring subtrees meet the pages that hold them by a join, so
-   nothing is gathered for a host.
+   nothing is gathered for a host; the pages themselves are shuffled only if the hashes to delete are more than BROADCAST_BYTES.
 3. The text is that of the largest article that is left, else of main, else of the body. Block elements make blocks.
 
 Null or empty html gives an empty text. A page whose URL has no host is not compared with others.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._spark import cut, map_texts
+from tidewave.llm._spark import BROADCAST_BYTES, cut, map_texts
 
 # Fixed values of HTML: elements without content, with raw text, and those that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -309,7 +309,9 @@ def extract(pages: DataFrame, least: int = 4, share: float = 0.1) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     own = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("url", "html").alias("key"))
-    joined = own.select("page_id", "url", "html", "key").join(template(own, least, share), "key", "left")
+    gone = template(own, least, share)
+    size = gone.agg(F.sum(8 * F.size("gone") + 16)).first()[0] or 0
+    joined = own.select("page_id", "url", "html", "key").join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, "key", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
     out = map_texts(joined.select("page_id", "url", "html", "gone"), _extract, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
