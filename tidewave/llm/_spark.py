@@ -41,7 +41,7 @@ def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
     """
     conf = df.sparkSession.conf
     for name, limit in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        own = int(conf.get(name, "0").rstrip("b"))
+        own = int(conf.get(name, str(limit + 1)).rstrip("b"))
         if not 0 < own <= limit:
             conf.set(name, limit)
 
