@@ -97,8 +97,9 @@ def split_order(spark, sf_dir):
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.05), 9) AS p5, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.95), 9) AS p95 FROM events GROUP BY event_type""")
 def score_quantiles(spark, sf_dir):
-    at = lambda p, name: F.round(F.percentile("value", F.lit(p)), 9).alias(name)
-    return _events(spark, sf_dir).groupBy("event_type").agg(at(0.05, "p5"), at(0.5, "median"), at(0.95, "p95"))
+    at = lambda p, name: F.round(F.max(F.when(F.col("share") == p, F.col("value"))), 9).alias(name)
+    found = evaluate.percentiles(_events(spark, sf_dir), "value", ["event_type"], [0.05, 0.5, 0.95])
+    return found.groupBy("event_type").agg(at(0.05, "p5"), at(0.5, "median"), at(0.95, "p95"))
 
 
 @query(f"""WITH {E}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e)
