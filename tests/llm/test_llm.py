@@ -1,5 +1,6 @@
 """The corpus operators against brute force on small tables, with nulls, empty and repeated rows, and extra columns."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -621,3 +622,59 @@ def test_pipeline_applies_every_stage(spark):
     groups = linked(own, 80)
     leaked = {r.doc_id for r in decontaminate.hits(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert ids and not ids & leaked and all(groups[i] == i for i in ids)
+
+
+def test_pipeline_stages_handle_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    words = {"en": "the cat and the dog went to the old house by the river with her".split(), "de": "der hund und die katze gingen mit ihr zu dem alten haus am fluss".split()}
+    rng = np.random.default_rng(7)
+    prose = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    leak = prose("en", 12).capitalize() + ". " + prose("en", 8).capitalize() + "."
+    twin = prose("de", 60)
+    rows = [(i, prose("en" if i % 2 else "de", 40 + i), "en" if i % 2 else "de", f"s{i % 3}") for i in range(60)]
+    rows += [(60, None, "en", "s0"), (61, "", None, "s0"), (62, "12 34 !", "en", None), (63, twin, "de", "s1"), (64, twin + " x", None, "s1"), (65, twin, "de", None), (65, twin, "de", None), (66, f"{prose('en', 80)} {leak} {prose('en', 80)}", "en", "s2")]
+    rows += [(None, prose("de", 50), "de", "s0"), (67, " ".join(prose("en", 5000) for _ in range(6)), "en", "s1"), (68, prose("en", 45), "en", "s2"), (68, prose("de", 45), "de", "s2")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, size string, topic string, tokens int, kept string, _row int"
+    docs = spark.createDataFrame([(*r, 1, "a", "b", 2, "c", 3) for r in rows], names)
+    spark.createDataFrame([(1, leak), (1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "sharding" or out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = [(r.doc_id, r.text) for r in docs.collect()]
+    ids = {k: Counter(i for i, _ in v) for k, v in seen.items()}
+    assert set(ids["language_id"]) >= set(range(60)) | {None, 63, 64, 65, 66, 67} and not {60, 61, 62} & set(ids["language_id"])
+    assert {63, 64, 65} & set(ids["near_dedup"]) == {63} and ids["near_dedup"][68] == 1 and None in ids["near_dedup"]
+    assert set(ids["near_dedup"]) - set(ids["decontaminate"]) == {66}
+    assert set(ids["mixing"]) <= set(ids["decontaminate"]) and ids["sharding"] == ids["mixing"] and len(ids["mixing"]) > 20
+    assert len(docs.columns) == 10 + 7 and docs.select("size").dtypes[0][1] == "bigint"
+    assert set(seen["sharding"]) <= set((r[0], r[1]) for r in rows)
+    empty = spark.createDataFrame([], names)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_is_the_stages_by_definition(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    first = corpus_pipeline.identify_language(spark, docs, SF)
+    texts = {r.doc_id: r.text for r in first.collect()}
+    assert set(texts) <= {i for i, r in rows.items() if re.search(r"[^\W\d_]", r.text or "")}
+    groups = linked(sets(texts, 5), 80)
+    second = corpus_pipeline.drop_near_duplicates(spark, first, SF)
+    assert {r.doc_id for r in second.collect()} == {i for i in texts if groups[i] == i}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    third = corpus_pipeline.drop_benchmark_leaks(spark, second, SF)
+    out = {i for i, _ in leaked([(i, texts[i]) for i in texts if groups[i] == i], items)}
+    assert {r.doc_id for r in third.collect()} == {i for i in texts if groups[i] == i} - out
+    own = {r.doc_id: r for r in mixing.probabilities(third.withColumn("topic", mixing.topic())).collect()}
+    uniform = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32
+    fourth = corpus_pipeline.mix_sources(spark, third, SF)
+    assert {r.doc_id for r in fourth.collect()} == {i for i, r in own.items() if uniform(i) < r.probability}
+    fifth = corpus_pipeline.deal_into_shards(spark, fourth, SF)
+    assert fifth.count() == fourth.count() and fifth.select("shard", "slot").distinct().count() == fifth.count()
