@@ -46,8 +46,10 @@ from tidewave.llm._spark import cut, map_texts
 K1, B = 1.2, 0.75
 #: A shard has about so many blocks of items, of two items at least.
 BLOCKS = 128
+#: Bytes of texts that are looked at together.
+_SLICE = 1 << 18
 #: Block bounds are summed for so many cells (half-passages by blocks) at once.
-_CELLS = 1 << 22
+_CELLS = 1 << 19
 
 
 @dataclass
@@ -248,7 +250,7 @@ def leaks(shard: Shard, column: pa.Array, threshold: float, overlap: float) -> l
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     if not len(shard.words):
         return []
-    for i, j in _text.slices(offsets):
+    for i, j in _text.slices(offsets, _SLICE):
         lo, hi = offsets[i], offsets[j]
         hashes, first = _text.word_hashes(data[lo:hi], offsets[i : j + 1] - lo, _text.LETTERS_DIGITS)
         if not len(hashes):

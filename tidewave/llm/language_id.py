@@ -34,7 +34,7 @@ ORDER = 3
 #: Bytes, and what lies before a text.
 SYMBOLS, START = 257, 256
 #: A byte takes about 200 bytes while it is scored.
-SCORED_BYTES = 1 << 18
+SCORED_BYTES = 1 << 17
 _LOWER = np.arange(256, dtype=np.uint16)
 _LOWER[65:91] += 32
 

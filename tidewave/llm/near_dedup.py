@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     # cut, so that the members are shuffled to it anew and those of a very large unit can be split
     size = cut(members.groupBy("unit").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("blocks")))
     members = cut(members.join(size, "unit"))
-    texts = own.dropDuplicates(["doc_id", "same"]) if _repeats(own) else own
+    texts = own.dropDuplicates(["doc_id", "same"]) if _repeats(signed) else own
     none = F.lit(None).cast("long").alias("cluster")
     zero, no = F.lit(0), F.lit(False).alias("first")
     few = members.where("blocks = 1").select("*", zero.alias("i"), zero.alias("j"), zero.alias("block"), none, no)
@@ -242,9 +242,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _repeats(own: DataFrame) -> bool:
+def _repeats(signed: DataFrame) -> bool:
     """Whether rows repeat a document: then one of each is compared."""
-    return not own.groupBy("doc_id", "same").count().where("count > 1 and doc_id is not null").limit(1).isEmpty()
+    return not signed.groupBy("doc_id", "same").count().where("count > 1 and doc_id is not null").limit(1).isEmpty()
 
 
 def _large(texts: DataFrame, members: DataFrame, stars: DataFrame, confirm) -> DataFrame:
