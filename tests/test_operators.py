@@ -161,6 +161,14 @@ def test_band_pass_keeps_the_band():
     assert np.allclose(signal.band_pass(inside, 2048, 30, 350), np.convolve(inside, (lambda k: (700 / 2048 * np.sinc(700 / 2048 * k) - 60 / 2048 * np.sinc(60 / 2048 * k)) * np.hamming(257))(np.arange(257) - 128), mode="same"))
 
 
+def test_halving_and_band_limits():
+    t = np.arange(4096) / 4096
+    low, high = np.sin(2 * np.pi * 60 * t), np.sin(2 * np.pi * 1500 * t)
+    assert np.allclose(signal.halved(low + high), low[::2], atol=1e-9)
+    assert len(signal.halved(low, 256)) == 2048 - 256 and np.allclose(signal.halved(low, 256), low[::2][128:-128], atol=1e-9)
+    assert np.allclose(signal.band_limited(low + high, 4096, 30, 350), low, atol=1e-9)
+
+
 def test_the_four_arms_are_linear_and_the_leaky_one_is_not(spark):
     rng = np.random.default_rng(5)
     before, n1, n2, h = rng.standard_normal(4096), rng.standard_normal(1024), rng.standard_normal(1024), np.zeros(1024)

@@ -100,6 +100,8 @@ def test_models_and_results_are_kept(spark, tmp_path):
     assert set(back) == set(w) and all((back[k] == w[k]).all() for k in w)
     with pytest.raises(ValueError):
         network.from_rows(network.to_rows(w)[1:])
+    assert set(readers.models(spark, {"a": (path, "x"), "b": (str(tmp_path / "none"), "x")})) == {"a"}
+    assert 0 < network.speed(w, 2, 1) < 10
     built = []
 
     def build():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 import numpy as np
@@ -89,3 +90,14 @@ def from_rows(rows: list) -> dict[str, np.ndarray]:
     if {k: v.shape for k, v in w.items()} != want:
         raise ValueError(f"layers differ: {sorted(set(want) ^ set(w)) or [k for k in want if w[k].shape != want[k]]}")
     return w
+
+
+def speed(w: dict[str, np.ndarray], batch: int, rounds: int = 5) -> float:
+    """Seconds for each crop in batches of a size on one core: the median of rounds after a warm-up."""
+    x = np.random.default_rng(0).standard_normal((batch, 2048))
+    times = []
+    for _ in range(rounds + 1):
+        began = time.perf_counter()
+        forward(w, x)
+        times.append(time.perf_counter() - began)
+    return float(np.median(times[1:])) / batch

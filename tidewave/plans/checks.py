@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import arrays, probability
-from tidewave.operators import intervals, signal
+from tidewave.operators import evaluate, intervals, signal
 from tidewave.plans.catalog import query
 from tidewave.plans.crops import REF, X, _crops
 from tidewave.plans.detection import HOUR, _events
@@ -130,8 +131,6 @@ SELECT vec_id, round(max(z), 6) AS rho, CAST(arg_max(label, z) AS INTEGER) AS te
 )
 def phase_time_match(spark, sf_dir):
     """The largest correlation over phase, time and templates (one for each label) of each crop, with its template and lag."""
-    import numpy as np
-
     x = _crops(spark, sf_dir)
     own = x.groupBy("label").agg(F.min_by("v", "vec_id").alias("h")).orderBy("label").collect()  # one row for each label
     bank = spark.sparkContext.broadcast(([r["label"] for r in own], signal.spectra(np.asarray([r["h"] for r in own]), 128)))
@@ -319,8 +318,6 @@ def efficiency_ceiling(spark, sf_dir):
 
 @query(f"WITH {E} SELECT event_type, round(avg(ln(1 + exp(-abs(z))) + greatest(z, 0) - z * y), 9) AS loss FROM (SELECT event_type, (value - 100) / 50 AS z, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS y FROM e) GROUP BY 1")
 def validation_loss(spark, sf_dir):
-    from tidewave.operators import evaluate
-
     e = table(spark, sf_dir, "events").select("event_type", ((F.col("value") - 100) / 50).alias("z"), (F.col("user_id") % 2 == 0).cast("int").alias("y"))
     return e.groupBy("event_type").agg(F.round(evaluate.loss("z", "y"), 9).alias("loss"))
 

@@ -90,6 +90,18 @@ def model(spark: SparkSession, path: str) -> dict:
     return network.from_rows([tuple(r) for r in spark.read.parquet(path).select("name", "shape", "x").collect()])  # the layers of one model
 
 
+def models(spark: SparkSession, arms: dict[str, tuple[str, str]]) -> dict:
+    """For each arm (path of its weights, column it scores) the weights and column; an arm without weights there is left out."""
+    found = {}
+    for name, (path, column) in arms.items():
+        try:
+            found[name] = model(spark, path), column
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return found
+
+
 def remembered(spark: SparkSession, path: str, build) -> DataFrame:
     """The table at path, which build() makes if it is not there: a remote or costly result is fetched once."""
     try:
