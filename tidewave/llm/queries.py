@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, pii, sharding, topk_search
+from tidewave.llm import decontaminate, filter_audit, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, pii, sharding, topk_search
 
 #: A deployment takes its own from where it keeps secrets.
 PII_KEY = "example key"
@@ -66,9 +66,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.probabilities(docs).select("doc_id", none("source"), none("lang"), "topic", "tokens", six("multiplier"), six("probability"), "kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk_search": topk_search.ORACLE, "op10_mixing": mixing.oracle()}
+    return {"op5_topk_search": topk_search.ORACLE, "op10_mixing": mixing.oracle(), "op11_filter_audit": filter_audit.ORACLE}
