@@ -35,7 +35,7 @@ def rules(text: str = "text") -> dict[str, Column]:
     """Whether a text fails: too few words, too repetitive, too many capitals, symbols of markup or tables."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(t, BLANKS), "")
-    capitals = F.length(t) - F.length(F.regexp_replace(t, "[A-Z]+", ""))
+    capitals = F.length(F.regexp_replace(t, "[^A-Z]+", ""))
     return {
         "A": F.size(words) < 200,
         "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words),
