@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import decontaminate, filter_audit, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, periodic_runs, pii, sharding, topk_search
+from tidewave.llm import decontaminate, filter_audit, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, periodic_runs, pii, sharding, topk_search, toxicity
 
 #: A deployment takes its own from where it keeps secrets.
 PII_KEY = "example key"
@@ -74,6 +74,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.detect(periodic_runs.with_planted_runs(_table(spark, sf_dir, "documents"))))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
