@@ -322,6 +322,16 @@ def test_a_stored_map_is_read_edited_and_read_again(spark, tmp_path):
         sharding.write_map(spark, path, 2, now)
 
 
+def test_rebalancing_leaves_empty_slots_and_shards_that_are_not_over_their_share():
+    sizes = {s: 100 + s % 7 for s in range(256)}  # of 4,096 slots
+    old = sharding.first_map(sizes, 24)
+    new = sharding.rebalance(old, sizes, 25)
+    moved = [s for s in old if old[s] != new[s]]
+    assert 0 < len(moved) <= 12 and all(sizes.get(s) and new[s] == 24 for s in moved)
+    gone = sharding.rebalance(new, sizes, 24)  # the last shard goes: its slots move, and no others
+    assert all(gone[s] == new[s] for s in new if new[s] != 24) and set(gone.values()) == set(range(24))
+
+
 def test_rebalancing_moves_little():
     sizes = {s: 100 + s % 7 for s in range(4096)}
     old = sharding.first_map(sizes, 24)

@@ -57,26 +57,29 @@ def first_map(sizes: dict[int, int], shards: int, slots: int = SLOTS) -> dict[in
 
 
 def rebalance(old: dict[int, int], sizes: dict[int, int], shards: int, tolerance: float = 0.01) -> dict[int, int]:
-    """An edited map for `shards` shards: few slots move, from shards over their share by more than the tolerance to the emptiest."""
+    """An edited map for `shards` shards: few slots move, from shards over their share by more than the tolerance to those below theirs.
+
+    A shard sheds its largest slots that leave it at its share or above; empty slots stay unless their shard goes.
+    """
     out = dict(old)
     held: dict[int, list[int]] = {s: [] for s in range(shards)}
     for slot, shard in out.items():
         held.setdefault(shard, []).append(slot)
     full = {s: sum(sizes.get(x, 0) for x in held[s]) for s in held}
     share = sum(full.values()) / shards
+    largest = lambda slots: sorted(slots, key=lambda x: (-sizes.get(x, 0), x))
     loose = [x for s in held if s >= shards for x in held[s]]
     for s in (s for s in range(shards) if full[s] > share * (1 + tolerance)):
-        for slot in sorted(held[s], key=lambda x: (sizes.get(x, 0), x)):
-            if full[s] <= share:
-                break
-            full[s] -= sizes.get(slot, 0)
-            loose.append(slot)
-    heap = [(full[s], s) for s in range(shards)]
-    heapq.heapify(heap)
-    for slot in sorted(loose, key=lambda x: (-sizes.get(x, 0), x)):
-        n, s = heapq.heappop(heap)
+        for slot in largest(held[s]):
+            if 0 < sizes.get(slot, 0) <= full[s] - share:
+                full[s] -= sizes[slot]
+                loose.append(slot)
+    below = [(full[s], s) for s in range(shards) if full[s] < share] or [(full[s], s) for s in range(shards)]
+    heapq.heapify(below)
+    for slot in largest(loose):
+        n, s = heapq.heappop(below)
         out[slot] = s
-        heapq.heappush(heap, (n + sizes.get(slot, 0), s))
+        heapq.heappush(below, (n + sizes.get(slot, 0), s))
     return out
 
 
