@@ -19,19 +19,19 @@ def test_spacing_is_the_greedy_loop(spark):
     for t in times:
         if not kept or t - kept[-1] >= 5:
             kept.append(t)
-    out = intervals.spaced(spark.createDataFrame([(1, t) for t in times], "k int, t long"), "t", 5, ["k"])
+    out = intervals.spaced(spark.createDataFrame([(1, t) for t in times], "k int, t long"), "t", 5, ["k"], 7)
     assert sorted(r.t for r in out.collect()) == kept
 
 
 def test_merge_counts_touching_and_nested_spans(spark):
     spans = spark.createDataFrame([(1, 0, 4), (1, 4, 6), (1, 8, 20), (1, 9, 10)], "k int, lo long, hi long")
-    assert sorted((r.lo, r.hi) for r in intervals.merged(spans, "lo", "hi", ["k"]).collect()) == [(0, 6), (8, 20)]
+    assert sorted((r.lo, r.hi) for r in intervals.merged(spans, "lo", "hi", ["k"], 5).collect()) == [(0, 6), (8, 20)]
 
 
 def test_subtraction(spark):
     spans = spark.createDataFrame([(1, 0, 10), (1, 20, 30)], "k int, lo long, hi long")
     vetoes = spark.createDataFrame([(1, 8, 22), (1, 25, 26), (2, 0, 50)], "k int, lo long, hi long")
-    assert sorted((r.lo, r.hi) for r in intervals.subtracted(spans, vetoes, "lo", "hi", ["k"]).collect()) == [(0, 8), (22, 25), (26, 30)]
+    assert sorted((r.lo, r.hi) for r in intervals.subtracted(spans, vetoes, "lo", "hi", ["k"], 6).collect()) == [(0, 8), (22, 25), (26, 30)]
 
 
 def test_white_noise_has_a_flat_spectrum():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,15 @@ def saturated(a: Column, limit: float) -> Column:
     return F.transform(a, lambda e: F.greatest(F.least(e, F.lit(limit)), F.lit(-limit)))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often `then` or a function within it uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def deviation(a: Column) -> Column:
     """Population standard deviation, in two passes."""
-    mean = F.aggregate(a, F.lit(0.0), lambda s, e: s + e) / F.size(a)
-    return F.sqrt(F.aggregate(F.transform(a, lambda e: (e - mean) * (e - mean)), F.lit(0.0), lambda s, e: s + e) / F.size(a))
+    squares = lambda x, mean: F.aggregate(x, F.lit(0.0), lambda s, e: s + (e - mean) * (e - mean))
+    return bound(a, lambda x: bound(total(x) / F.size(x), lambda mean: F.sqrt(squares(x, mean) / F.size(x))))
 
 
 def argmax(a: Column) -> Column:

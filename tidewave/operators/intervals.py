@@ -1,7 +1,7 @@
 """Interval and ordered operators: range joins, as-of joins, clusters, spacing, merging, subtraction.
 
-Windows are always partitioned by a key; a join on a range becomes an equi-join on grid cells, so no
-nested loops are planned, whatever the sizes.
+A join on a range becomes an equi-join on grid cells, so no nested loops are planned, whatever the sizes. Ordered
+operators go by time files of a given width (scans.py), so a key may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.operators import scans
+from tidewave.session import cut
+
 
 def micros(ts: str = "ts") -> Column:
     """Microseconds since 1970 of a zoneless timestamp (the session zone is UTC)."""
@@ -32,63 +35,58 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str, c
     return joined.select("p.*", *(F.col(f"s.{c}") for c in spans.columns if c not in keys)).drop("_cell")
 
 
-def asof(left: DataFrame, right: DataFrame, at: str, keys: list[str], values: list[str]) -> DataFrame:
-    """left with the values of the last row of right at or before it, by one shuffle on the keys: a union and a running last."""
+def asof(left: DataFrame, right: DataFrame, at: str, keys: list[str], values: list[str], width: int) -> DataFrame:
+    """left with the values of the last row of right at or before it: a union and a running last."""
     names = [c for c in left.columns if c not in (at, *keys)]
     a = left.select(*keys, at, F.struct(*names).alias("_left"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_right"))
     b = right.select(*keys, at, F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.lit(0).alias("_side"), F.struct(*values).alias("_right"))
-    order = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_right", F.last("_right", ignorenulls=True).over(order))
-    return both.where("_side = 1").select(*keys, at, "_left.*", *(F.col(f"_right.{v}").alias(v) for v in values))
+    both = scans.running(a.unionByName(b), keys, at, width, [at, "_side"], {"_found": (F.col("_right"), "last")}, inclusive=True)
+    return both.where("_side = 1").select(*keys, at, "_left.*", *(F.col(f"_found.{v}").alias(v) for v in values))
 
 
-def gap_clusters(df: DataFrame, at: str, gap: int, keys: list[str]) -> DataFrame:
+def gap_clusters(df: DataFrame, at: str, gap: int, keys: list[str], width: int) -> DataFrame:
     """A column cluster, from 1 in each key: a new one starts after more than `gap` without a row."""
-    order = Window.partitionBy(*keys).orderBy(at)
-    new = F.when(F.col(at) - F.lag(at).over(order) > gap, 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)) + 1).drop("_new")
+    before = scans.running(df, keys, at, width, [at], {"_before": (F.col(at), "last")})
+    new = F.when(F.col(at) - F.col("_before") > gap, 1).otherwise(0)
+    numbered = scans.running(before, keys, at, width, [at], {"cluster": (new, "sum")}, inclusive=True)
+    return numbered.withColumn("cluster", F.col("cluster") + 1).drop("_before")
+
+
+def spaced(df: DataFrame, at: str, least: int, keys: list[str], width: int) -> DataFrame:
+    """The times kept by the greedy rule: at least `least` after the last one kept, in each key."""
+    return scans.spaced(df, at, least, keys, width)
 
 
-def spaced(df: DataFrame, at: str, least: int, keys: list[str]) -> DataFrame:
-    """The times kept by the greedy rule: at least `least` after the last one kept, in each key.
+def merged(spans: DataFrame, lo: str, hi: str, keys: list[str], width: int) -> DataFrame:
+    """Overlapping and touching spans of a key as one.
 
-    After a gap of `least` a time is kept whatever came before, so each run without such a gap is folded alone.
+    A span that begins after all ends before it starts an island; it also ends the island before, at the largest end so far.
     """
-    runs = gap_clusters(df.select(*keys, at).distinct(), at, least - 1, keys)
-    times = runs.groupBy(*keys, "cluster").agg(F.array_sort(F.collect_list(at)).alias("_times"))
-    kept = F.aggregate(
-        "_times",
-        F.array().cast("array<bigint>"),
-        lambda a, t: F.when((F.size(a) == 0) | (t - F.coalesce(F.try_element_at(a, F.lit(-1)), t) >= least), F.concat(a, F.array(t))).otherwise(a),
-    )
-    return times.select(*keys, F.explode(kept).alias(at))
-
-
-def merged(spans: DataFrame, lo: str, hi: str, keys: list[str]) -> DataFrame:
-    """Overlapping and touching spans of a key as one."""
-    order = Window.partitionBy(*keys).orderBy(lo, hi)
-    before = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = spans.withColumn("_new", F.when(F.col(lo) <= before, 0).otherwise(1)).withColumn("_island", island)
-    return marked.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
-
-
-def subtracted(spans: DataFrame, vetoes: DataFrame, lo: str, hi: str, keys: list[str]) -> DataFrame:
-    """What is left of disjoint spans without the vetoes of their key (vetoes are merged first)."""
-    marks = merged(spans, lo, hi, keys).select(*keys, F.explode(F.array(F.struct(F.col(lo).alias("t"), F.lit(1).alias("s"), F.lit(0).alias("v")), F.struct(F.col(hi).alias("t"), F.lit(-1).alias("s"), F.lit(0).alias("v")))).alias("m"))
-    cuts = merged(vetoes, lo, hi, keys).select(*keys, F.explode(F.array(F.struct(F.col(lo).alias("t"), F.lit(0).alias("s"), F.lit(1).alias("v")), F.struct(F.col(hi).alias("t"), F.lit(0).alias("s"), F.lit(-1).alias("v")))).alias("m"))
-    at = marks.unionByName(cuts).select(*keys, "m.*").groupBy(*keys, "t").agg(F.sum("s").alias("s"), F.sum("v").alias("v"))
-    order = Window.partitionBy(*keys).orderBy("t")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    pieces = at.select(*keys, F.col("t").alias(lo), F.lead("t").over(order).alias(hi), F.sum("s").over(so_far).alias("s"), F.sum("v").over(so_far).alias("v"))
-    return merged(pieces.where(f"s > 0 and v = 0 and `{hi}` > `{lo}`").drop("s", "v"), lo, hi, keys)
-
-
-def runs(df: DataFrame, block: str, keys: list[str]) -> DataFrame:
-    """Runs of consecutive block numbers: first, last and length."""
-    order = Window.partitionBy(*keys).orderBy(block)
-    island = df.select(*keys, block).distinct().withColumn("_island", F.col(block) - F.row_number().over(order))
-    return island.groupBy(*keys, "_island").agg(F.min(block).alias("first"), F.max(block).alias("last"), F.count("*").alias("n")).drop("_island")
+    reach = scans.running(spans.select(*keys, lo, hi), keys, lo, width, [lo, hi], {"_reach": (F.col(hi), "max")})
+    starts = reach.where(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach"))).select(*keys, lo, "_reach")
+    closed = scans.running(starts, keys, lo, width, [lo], {"_lo": (F.col(lo), "last")}).where(F.col("_lo").isNotNull())
+    ends = spans.select(*keys, F.lit(None).cast(spans.schema[lo].dataType).alias(lo), hi).unionByName(starts.select(*keys, lo, F.lit(None).cast(spans.schema[hi].dataType).alias(hi)))
+    last = ends.groupBy(*keys).agg(F.max(lo).alias(lo), F.max(hi).alias(hi))  # of each key
+    return closed.select(*keys, F.col("_lo").alias(lo), F.col("_reach").alias(hi)).unionByName(last)
+
+
+def subtracted(spans: DataFrame, vetoes: DataFrame, lo: str, hi: str, keys: list[str], width: int) -> DataFrame:
+    """What is left of spans without the vetoes of their key, both merged first: stretches between edges at which one of them begins or ends."""
+
+    def edges(df: DataFrame, s: int, v: int) -> DataFrame:
+        ends = [F.struct(F.col(c).alias("t"), F.lit(way * s).alias("s"), F.lit(way * v).alias("v")) for c, way in ((lo, 1), (hi, -1))]
+        return cut(merged(df, lo, hi, keys, width)).select(*keys, F.inline(F.array(*ends)))
+
+    at = edges(spans, 1, 0).unionByName(edges(vetoes, 0, 1)).groupBy(*keys, "t").agg(F.sum("s").alias("s"), F.sum("v").alias("v")).where("s <> 0 or v <> 0")
+    # what holds from the edge before up to this one
+    pieces = scans.running(at, keys, "t", width, ["t"], {"_t": (F.col("t"), "last"), "_s": (F.col("s"), "sum"), "_v": (F.col("v"), "sum")})
+    return pieces.where("_s > 0 and _v = 0 and _t < t").select(*keys, F.col("_t").alias(lo), F.col("t").alias(hi))
+
+
+def runs(df: DataFrame, block: str, keys: list[str], width: int) -> DataFrame:
+    """Runs of consecutive block numbers, `width` of them in a file: first, last and length. A block is a span that touches the next."""
+    spans = df.select(*keys, F.col(block).alias("first"), (F.col(block) + 1).alias("last")).distinct()
+    return merged(spans, "first", "last", keys, width).withColumns({"last": F.col("last") - 1, "n": F.col("last") - F.col("first")})
 
 
 def numbered(df: DataFrame, by: str, digits: int = 3) -> DataFrame:

@@ -81,7 +81,7 @@ def cover(rows: DataFrame, kind: str, file: str, best: list, cap: int, files: in
 
     def length(last: int) -> int:
         spans = chosen.where(F.col("pick") <= last).select(F.lit(1).alias("_one"), (F.col(at) - reach).alias("_lo"), (F.col(at) + reach).alias("_hi"))
-        return intervals.merged(spans, "_lo", "_hi", ["_one"]).agg(F.sum(F.col("_hi") - F.col("_lo"))).first()[0] or 0
+        return intervals.merged(spans, "_lo", "_hi", ["_one"], 100 * reach).agg(F.sum(F.col("_hi") - F.col("_lo"))).first()[0] or 0
 
     low, high = 0, len(picks) - 1  # the first pick that passes the budget, by halves: the length only grows
     while low < high:

@@ -13,7 +13,7 @@ from tidewave.operators import evaluate, intervals, signal
 from tidewave.plans.catalog import query
 from tidewave.plans.crops import REF, X, _crops
 from tidewave.plans.detection import HOUR, _events
-from tidewave.plans.spans import E, SPANS, _merge_sql, _spans
+from tidewave.plans.spans import E, FILE, SPANS, _merge_sql, _spans
 from tidewave.session import table
 
 H = f"{X}, b AS ({REF})"
@@ -39,8 +39,7 @@ def _most(a):
 
 
 def _unit(a):
-    norm = F.sqrt(arrays.energy(a))
-    return F.transform(a, lambda e: e / norm)
+    return arrays.bound(F.sqrt(arrays.energy(a)), lambda norm: F.transform(a, lambda e: e / norm))
 
 
 @query(
@@ -217,7 +216,7 @@ def overlap_count(spark, sf_dir):
 @query(f"WITH {E}, {SPANS}, {B6}, ms AS {_merge_sql('s')} SELECT user_id, count(*) AS inside FROM q WHERE EXISTS (SELECT 1 FROM ms WHERE ms.user_id = q.user_id AND ms.lo <= q.lo + 3600000000 AND ms.hi >= q.lo + 7200000000) GROUP BY 1")
 def containment_count(spark, sf_dir):
     """Blocks of which the second hour lies inside a merged span."""
-    spans = intervals.merged(_spans(spark, sf_dir)[0], "lo", "hi", ["user_id"]).withColumn("hi", F.col("hi") + 1)
+    spans = intervals.merged(_spans(spark, sf_dir)[0], "lo", "hi", ["user_id"], FILE).withColumn("hi", F.col("hi") + 1)
     inner = _quarters(spark, sf_dir).select("user_id", (F.col("lo") + HOUR).alias("from"))
     met = intervals.range_join(inner, spans, "from", "lo", "hi", 12 * HOUR, ("user_id",)).where(F.col("hi") - 1 >= F.col("from") + HOUR)
     return met.groupBy("user_id").agg(F.count("*").alias("inside"))

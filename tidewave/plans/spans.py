@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewave.operators import intervals
+from tidewave.operators import intervals, scans
 from tidewave.plans.catalog import query
 from tidewave.plans.detection import DAY, HOUR, _events, _split, SPLIT
 from tidewave.session import table
 
+#: Ordered scans go by files of so long.
+FILE = 5 * DAY
 E = "e AS (SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value FROM events)"
 SPANS = "s AS (SELECT user_id, us AS lo, us + CAST(floor(value * 60000000) AS BIGINT) AS hi FROM e WHERE event_type <> 'error'), v AS (SELECT user_id, us - 600000000 AS lo, us + 600000000 AS hi FROM e WHERE event_type = 'error')"
 
@@ -29,7 +31,7 @@ def _merge_sql(name: str) -> str:
 SELECT user_id, CAST(cluster AS BIGINT) AS cluster, event_id, us, value FROM c QUALIFY row_number() OVER (PARTITION BY user_id, cluster ORDER BY value DESC, us) = 1"""
 )
 def dedup_gap_cluster(spark, sf_dir):
-    c = intervals.gap_clusters(_events(spark, sf_dir), "us", 6 * HOUR, ["user_id"])
+    c = intervals.gap_clusters(_events(spark, sf_dir), "us", 6 * HOUR, ["user_id"], FILE)
     best = Window.partitionBy("user_id", "cluster").orderBy(F.desc("value"), "us")
     return c.withColumn("r", F.row_number().over(best)).where("r = 1").select("user_id", "cluster", "event_id", "us", "value")
 
@@ -39,17 +41,17 @@ def dedup_gap_cluster(spark, sf_dir):
 SELECT k.user_id, (SELECT min(e.us) FROM e WHERE e.user_id = k.user_id AND e.us >= k.us + 28800000000) FROM k WHERE k.us IS NOT NULL) SELECT user_id, us FROM k WHERE us IS NOT NULL"""
 )
 def greedy_spacing(spark, sf_dir):
-    return intervals.spaced(_events(spark, sf_dir), "us", 8 * HOUR, ["user_id"])
+    return intervals.spaced(_events(spark, sf_dir), "us", 8 * HOUR, ["user_id"], FILE)
 
 
 @query(f"WITH {E}, {SPANS} SELECT user_id, lo, hi FROM {_merge_sql('s')}")
 def merge_spans(spark, sf_dir):
-    return intervals.merged(_spans(spark, sf_dir)[0], "lo", "hi", ["user_id"])
+    return intervals.merged(_spans(spark, sf_dir)[0], "lo", "hi", ["user_id"], FILE)
 
 
 @query(f"WITH {E}, {SPANS} SELECT user_id, CAST(sum(hi - lo) AS BIGINT) / 3600000000.0 AS hours, count(*) AS spans FROM {_merge_sql('s')} GROUP BY 1")
 def span_hours(spark, sf_dir):
-    return intervals.merged(_spans(spark, sf_dir)[0], "lo", "hi", ["user_id"]).groupBy("user_id").agg((F.sum(F.col("hi") - F.col("lo")) / HOUR).alias("hours"), F.count("*").alias("spans"))
+    return intervals.merged(_spans(spark, sf_dir)[0], "lo", "hi", ["user_id"], FILE).groupBy("user_id").agg((F.sum(F.col("hi") - F.col("lo")) / HOUR).alias("hours"), F.count("*").alias("spans"))
 
 
 @query(
@@ -59,7 +61,7 @@ q AS (SELECT user_id, t, sum(d) AS d, sum(w) AS w FROM p GROUP BY ALL), r AS (SE
 z AS (SELECT user_id, lo, hi FROM r WHERE d > 0 AND w = 0 AND hi > lo) SELECT user_id, lo, hi FROM {_merge_sql('z')}"""
 )
 def interval_subtract(spark, sf_dir):
-    return intervals.subtracted(*_spans(spark, sf_dir), "lo", "hi", ["user_id"])
+    return intervals.subtracted(*_spans(spark, sf_dir), "lo", "hi", ["user_id"], FILE)
 
 
 @query(f"WITH {E} SELECT event_id FROM e WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM e v WHERE v.event_type = 'error' AND v.user_id = e.user_id AND abs(e.us - v.us) < 14400000000)")
@@ -71,13 +73,13 @@ def veto_anti_join(spark, sf_dir):
 
 @query(f"WITH {E}, {SPANS}, ms AS {_merge_sql('s')} SELECT event_id, lo, hi FROM e JOIN ms ON e.user_id = ms.user_id AND us >= lo AND us < hi WHERE event_type = 'error'")
 def containment_join(spark, sf_dir):
-    spans = intervals.merged(_spans(spark, sf_dir)[0], "lo", "hi", ["user_id"])
+    spans = intervals.merged(_spans(spark, sf_dir)[0], "lo", "hi", ["user_id"], FILE)
     return intervals.range_join(_events(spark, sf_dir).where("event_type = 'error'"), spans, "us", "lo", "hi", 12 * HOUR, ("user_id",)).select("event_id", "lo", "hi")
 
 
 @query(f"WITH {E}, {SPANS}, ms AS {_merge_sql('s')} SELECT lo, hi, user_id, CASE WHEN EXISTS (SELECT 1 FROM e WHERE event_type = 'error' AND e.user_id = ms.user_id AND us >= lo AND us < hi) THEN 1 ELSE 0 END AS role FROM ms")
 def role_flag(spark, sf_dir):
-    spans = intervals.merged(_spans(spark, sf_dir)[0], "lo", "hi", ["user_id"])
+    spans = intervals.merged(_spans(spark, sf_dir)[0], "lo", "hi", ["user_id"], FILE)
     with_one = intervals.range_join(_events(spark, sf_dir).where("event_type = 'error'"), spans, "us", "lo", "hi", 12 * HOUR, ("user_id",)).select("user_id", "lo").distinct().withColumn("has", F.lit(1))
     return spans.join(with_one, ["user_id", "lo"], "left").select("lo", "hi", "user_id", F.coalesce("has", F.lit(0)).alias("role"))
 
@@ -86,7 +88,7 @@ def role_flag(spark, sf_dir):
 def asof_trigger(spark, sf_dir):
     e = _events(spark, sf_dir)
     right = e.where("event_type <> 'error'").select("user_id", "us", F.col("event_id").alias("prior_id"), F.col("value").alias("prior"))
-    return intervals.asof(e.where("event_type = 'error'").select("user_id", "us", "event_id"), right, "us", ["user_id"], ["prior_id", "prior"]).select("event_id", "us", "prior_id", "prior")
+    return intervals.asof(e.where("event_type = 'error'").select("user_id", "us", "event_id"), right, "us", ["user_id"], ["prior_id", "prior"], FILE).select("event_id", "us", "prior_id", "prior")
 
 
 @query(
@@ -113,19 +115,19 @@ def _blocks(spark, sf_dir):
 
 @query(f"WITH {B}, i AS (SELECT *, block - row_number() OVER (PARTITION BY user_id ORDER BY block) AS k FROM b) SELECT user_id, min(block) AS first, max(block) AS last, count(*) AS n FROM i GROUP BY user_id, k")
 def consecutive_runs(spark, sf_dir):
-    return intervals.runs(_blocks(spark, sf_dir), "block", ["user_id"])
+    return intervals.runs(_blocks(spark, sf_dir), "block", ["user_id"], FILE // DAY)
 
 
 @query(f"WITH {B}, i AS (SELECT *, block - row_number() OVER (PARTITION BY user_id ORDER BY block) AS k FROM b), g AS (SELECT *, (row_number() OVER (PARTITION BY user_id, k ORDER BY block) - 1) // 8 AS part FROM i) SELECT user_id, min(block) AS first, count(*) AS n FROM g GROUP BY user_id, k, part")
 def fetch_groups(spark, sf_dir):
-    r = intervals.runs(_blocks(spark, sf_dir), "block", ["user_id"])
+    r = intervals.runs(_blocks(spark, sf_dir), "block", ["user_id"], FILE // DAY)
     return r.select("user_id", F.explode(F.sequence("first", "last", F.lit(8))).alias("first"), "last").select("user_id", "first", F.least(F.lit(8), F.col("last") - F.col("first") + 1).alias("n"))
 
 
 @query(f"WITH {B} SELECT c.user_id, c.block FROM b c JOIN b p ON p.user_id = c.user_id AND p.block = c.block - 1")
 def causal_predecessor(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("block")
-    return _blocks(spark, sf_dir).withColumn("before", F.lag("block").over(w)).where("before = block - 1").select("user_id", "block")
+    b = _blocks(spark, sf_dir)
+    return b.join(b.select("user_id", (F.col("block") + 1).alias("block")), ["user_id", "block"], "left_semi")
 
 
 @query(f"WITH {B} SELECT DISTINCT user_id, block - d AS block FROM b, (VALUES (0), (1)) x(d)")
@@ -135,9 +137,10 @@ def needed_blocks(spark, sf_dir):
 
 @query(f"WITH {B}, i AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id, k ORDER BY block) = 1 THEN 0 ELSE 1 END AS role FROM (SELECT *, block - row_number() OVER (PARTITION BY user_id ORDER BY block) AS k FROM b)) SELECT user_id, block, role FROM (SELECT *, sum(role) OVER (PARTITION BY user_id ORDER BY block) - role AS before FROM i) WHERE before < 5")
 def quota_prefix(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("block")
-    lead = _blocks(spark, sf_dir).withColumn("before", F.lag("block").over(order)).withColumn("role", F.expr("case when before = block - 1 then 1 else 0 end"))
-    return lead.withColumn("done", F.sum("role").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("role")).where("done < 5").select("user_id", "block", "role")
+    b = _blocks(spark, sf_dir)
+    after = b.select("user_id", (F.col("block") + 1).alias("block"), F.lit(1).alias("role"))
+    role = b.join(after, ["user_id", "block"], "left").na.fill(0, ["role"])
+    return scans.running(role, ["user_id"], "block", FILE // DAY, ["block"], {"done": (F.col("role"), "sum")}).where("done < 5").select("user_id", "block", "role")
 
 
 @query(f"WITH {E} SELECT user_id, event_type, event_id, value FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) <= 3")
