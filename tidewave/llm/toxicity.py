@@ -10,8 +10,8 @@ rows and is fitted by expectation-maximisation to the votes of all documents of
 with the share of toxic texts held at that of the labels. Its posterior labels train a logistic regression on votes, counts and rates,
 which scores every text by itself.
 
-Bounds, all parameters: the lexicon is mined from about `sample_rows` labelled rows of each kind and equal texts count
-once; the classifier is fitted to about `fit_rows` documents. The label model's counts cover all documents.
+Bounds, all parameters: the lexicon is mined from about `sample_rows` labelled rows of each kind, where copies and most near
+copies count once; the classifier is fitted to about `fit_rows` documents. The label model's counts cover all documents.
 
 A score needs a text alone. A null or empty text has no votes and gets the score of that. Labels other than 0 and 1, null ids and
 ids without a document teach nothing; of several labels of an id the larger counts. Repeated rows are rows like others. Without
@@ -196,9 +196,19 @@ def _evidence(hit: Column, other: Column, toxic: int, clean: int) -> Column:
     return F.when((hit >= SUPPORT) & (hit * clean > 4 * other * toxic), g).otherwise(0.0)
 
 
+def _likeness(words: int = 5) -> Column:
+    """The smallest hash of a text's word shingles: equal for equal texts, and for near copies as often as they share shingles."""
+
+    def least(w: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1)))
+        return F.array_min(F.transform(firsts, lambda i: F.xxhash64(F.slice(w, i, words))))
+
+    return F.transform(F.array(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")), least)[0]
+
+
 def mine(sample: DataFrame, most: int = LEXICON) -> Lexicon:
     """The lexicon of labelled (text, toxic): the patterns with the most evidence, none of them the start of another."""
-    texts = sample.where("text is not null").groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    texts = sample.where("text is not null").groupBy(_likeness()).agg(F.min(F.struct("text", "toxic")).alias("x")).select("x.*")
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
