@@ -58,9 +58,9 @@ def test_an_interrupted_write_goes_on_where_it_stopped(spark, tmp_path):
 
 def test_score_folders_attributes_and_checkpoints(spark, tmp_path):
     writers.scores(spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.25)], "dataset string, row long, rho double"), str(tmp_path / "s"))
-    assert [r.row for r in spark.read.parquet(str(tmp_path / "s")).where("dataset = 'b'").collect()] == [2]
+    assert [r.row for r in writers.published(spark, str(tmp_path / "s")).where("dataset = 'b'").collect()] == [2]
     writers.attributes(spark, str(tmp_path / "a"), {"seed": 7, "norm": 1.5})
-    assert {r.name: r.value for r in spark.read.parquet(str(tmp_path / "a")).collect()} == {"seed": "7", "norm": "1.5"}
+    assert {r.name: r.value for r in writers.published(spark, str(tmp_path / "a")).collect()} == {"seed": "7", "norm": "1.5"}
     epochs = spark.createDataFrame([("s", e, v, [float(e)]) for e, v in ((1, 0.5), (2, 0.9), (3, 0.9), (4, 0.1))], "arm string, epoch int, val_auc double, weights array<double>")
     assert writers.best_checkpoint(epochs, ["arm"]).first().epoch == 2
 

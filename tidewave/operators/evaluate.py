@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.session import cut
 
-def thresholds(negatives: DataFrame, score: str, faps: tuple[float, ...]) -> DataFrame:
+
+def thresholds(negatives: DataFrame, score: str, faps: tuple[float, ...], weight: Column | None = None) -> DataFrame:
     """(fap, threshold): the scores that given shares of the negatives exceed (exact, interpolated)."""
     shares = {1 - f: f for f in faps}
-    found = percentiles(negatives, score, [], list(shares))
+    found = percentiles(negatives, score, [], list(shares), weight)
     names = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))
     return found.select(names[F.col("share")].alias("fap"), F.col("value").alias("threshold"))
 
@@ -28,8 +30,9 @@ def wilson(k: Column, n: Column, z: float = 1.0) -> tuple[Column, Column]:
     return F.coalesce(middle - half, F.lit(0.0)), F.coalesce(middle + half, F.lit(0.0))
 
 
-def _ranges(df: DataFrame, score: str, pieces: int = 200) -> DataFrame:
-    """df with _range, the number of the range of scores that a row is in: about equally filled, the edges being a few numbers on the driver."""
+def _ranges(counted: DataFrame, score: str, pieces: int = 200) -> DataFrame:
+    """Counts by score, written once, with _range, the number of the range of scores that a row is in: about equally filled, the edges being a few numbers on the driver."""
+    df = cut(counted)
     edges = df.agg(F.percentile_approx(score, F.lit([i / pieces for i in range(1, pieces)]), F.lit(1000))).first()[0] or []
     edges = F.lit(sorted(set(edges)))
     low = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.struct(F.lit(0).alias("a"), F.size(edges).alias("b")), lambda s, _: _half(s, edges, F.col(score)))
@@ -43,13 +46,14 @@ def _half(s: Column, edges: Column, x: Column) -> Column:
     return F.when(s["a"] >= s["b"], s).when(up, F.struct((middle + 1).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), middle.alias("b")))
 
 
-def auc(df: DataFrame, score: str, positive: str, keys: list[str]) -> DataFrame:
+def auc(df: DataFrame, score: str, positive: str, keys: list[str], weight: Column | None = None) -> DataFrame:
     """Area under the ROC curve by key, ties counting half: from counts by score and a running sum of the negatives.
 
     Rows are summed by (key, score); running sums go within ranges of scores and are shifted by the sums of the ranges
-    before (a few hundred rows for each key), so no task holds all of a key's scores.
+    before (a few hundred rows for each key), so no task holds all of a key's scores. A row counts `weight` times (once).
     """
-    by = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n"))
+    one = F.lit(1) if weight is None else weight
+    by = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(positive).cast("long") * one).alias("p"), F.sum((~F.col(positive)).cast("long") * one).alias("n"))
     by = _ranges(by, score)
     sums = by.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
@@ -61,13 +65,13 @@ def auc(df: DataFrame, score: str, positive: str, keys: list[str]) -> DataFrame:
     return won.groupBy(*keys).agg((F.sum("won") / F.when(total > 0, total)).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
-def percentiles(df: DataFrame, score: str, keys: list[str], shares: list[float]) -> DataFrame:
-    """(*keys, share, value): exact percentiles by key, interpolated; null scores do not count.
+def percentiles(df: DataFrame, score: str, keys: list[str], shares: list[float], weight: Column | None = None) -> DataFrame:
+    """(*keys, share, value): exact percentiles by key, interpolated; null scores do not count, a row counts `weight` times (once).
 
     Counts by ranges of scores tell in which range a rank lies; only the scores of those ranges are ordered, so no
     task holds all of a key's scores.
     """
-    by = _ranges(df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.count("*").alias("_n")), "_s")
+    by = _ranges(df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n")), "_s")
     sums = by.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in"))
     so_far = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = sums.select(*keys, "_range", (F.sum("_in").over(so_far) - F.col("_in")).alias("_before"), F.col("_in"), F.sum("_in").over(Window.partitionBy(*keys)).alias("_all"))

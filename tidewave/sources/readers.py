@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewave.functions import arrays
 from tidewave.operators import network
+from tidewave.sources.writers import published
 
 TRIGGERS = "peak_time long, peak_time_ns long, duration double, peak_frequency double, snr double, ml_label string, ml_confidence double"
 #: Samples a second, samples of a buffer, and the last whole second of a block at which a buffer starts.
@@ -87,7 +88,13 @@ def off_source(start: float, end: float, event: float, spark: SparkSession, dete
 
 def model(spark: SparkSession, path: str) -> dict:
     """The weights of a network stored as rows (name, shape, x); a set that is not whole is an error."""
-    return network.from_rows([tuple(r) for r in spark.read.parquet(path).select("name", "shape", "x").collect()])  # the layers of one model
+    return network.from_rows([tuple(r) for r in published(spark, path).select("name", "shape", "x").collect()])  # the layers of one model
+
+
+def scores(spark: SparkSession, path: str, dataset: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The current scores of one dataset, whose folder alone is read."""
+    rows = published(spark, path).where(F.col("dataset") == dataset)
+    return rows.select(*columns) if columns else rows
 
 
 def models(spark: SparkSession, arms: dict[str, tuple[str, str]]) -> dict:
@@ -96,9 +103,8 @@ def models(spark: SparkSession, arms: dict[str, tuple[str, str]]) -> dict:
     for name, (path, column) in arms.items():
         try:
             found[name] = model(spark, path), column
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        except FileNotFoundError:
+            pass
     return found
 
 
