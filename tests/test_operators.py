@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewave.functions import arrays, probability
-from tidewave.operators import conditioning, evaluate, intervals, network, selection, signal
+from tidewave.operators import conditioning, evaluate, intervals, matched, network, selection, signal
 
 
 def test_range_join_plans_no_nested_loop(spark):
@@ -174,18 +174,20 @@ def test_the_four_arms_are_linear_and_the_leaky_one_is_not(spark):
     before, n1, n2, h = rng.standard_normal(4096), rng.standard_normal(1024), rng.standard_normal(1024), np.zeros(1024)
     h[400:600] = 20 * np.sin(np.arange(200) * 1.2)
     psd = conditioning.filter_of(before, G)
+    gains = conditioning.gains(psd, G)
+    plain = {"raw": n2, "bp": signal.band_pass(n2, G.rate, G.low, G.high, G.order), "wh": signal.whiten(n2, psd), "full": signal.band_pass(signal.whiten(n2, psd), G.rate, G.low, G.high, G.order)}
     for which in conditioning.ARMS:
-        d1, d2 = (conditioning.arm(n + h, psd, G, which) - conditioning.arm(n, psd, G, which) for n in (n1, n2))
+        d1, d2 = (conditioning.treated(n + h, gains[which], G) - conditioning.treated(n, gains[which], G) for n in (n1, n2))
         assert np.abs(d1 - d2).max() < 1e-9 * np.abs(d1).max()
+        assert np.allclose(conditioning.treated(n2, gains[which], G), plain[which][G.crop])  # filtered one after another
     d1, d2 = (conditioning.leaky(n + h, G) - conditioning.leaky(n, G) for n in (n1, n2))
     assert np.abs(d1 - d2).max() > 1e-2 * np.abs(d1).max()
-    with pytest.raises(ValueError):
-        conditioning.arm(n1, psd, G, "none")
+    assert set(conditioning.gains(None, G)) == {"raw", "bp"}
     rows = [(1, n1.tolist(), before.tolist()), (2, n2.tolist(), before.tolist()), (3, n1.tolist(), None), (4, n1[:50].tolist(), before.tolist())]
     crops = conditioning.conditioned(spark.createDataFrame(rows, "row long, x array<double>, before array<double>"), G).cache()
     out = {r.row: r for r in crops.collect()}
     for which in conditioning.ARMS:
-        assert np.allclose(out[2][f"x_{which}"], conditioning.arm(n2, psd, G, which))
+        assert np.allclose(out[2][f"x_{which}"], plain[which][G.crop])
     assert out[3].x_full is None and out[3].x_raw is not None and out[4].x_raw is None
     made = conditioning.scaled(crops.where("row < 3"), conditioning.norms(crops.where("row < 3"))).collect()
     assert np.mean([np.std(r.x_full) for r in made]) == pytest.approx(1, rel=1e-6)
@@ -200,28 +202,59 @@ def test_scores_are_those_of_a_plain_loop_and_find_what_was_injected(spark):
     x[1024:] = signal.inject(x[1024:], waves[2], sigma, 15.0)
     own = [None, (waves[2] * 15 / sigma).tolist()]
     blocks = spark.createDataFrame([(1, x.tolist(), before.tolist(), own), (2, x.tolist(), None, own)], "block long, x array<double>, before array<double>, own array<array<double>>")
-    rows = conditioning.scored(blocks, waves, G, (0, 1024), truth=True).orderBy("start").collect()
+    rows = matched.scored(blocks, waves, G, (0, 1024), truth=True).orderBy("start").collect()
     assert len(rows) == 2 and rows[0].rho_oracle is None
     assert rows[1].rho == pytest.approx(rows[1].rho_oracle, rel=0.25) and rows[1].rho > 10 > 7 > rows[0].rho and rows[1].template in (1, 2, 3)
     assert all(np.isfinite([r.rho, r.chisq, r.rhotilde]).all() and r.rhotilde <= r.rho + 1e-9 for r in rows)
-    bank = conditioning.bank_of(before, waves, G)
+    noise = matched.noise_of(before, G)
+    bank = matched.bank_of(noise, waves)
+    assert rows[1].rho_oracle == pytest.approx(matched.score(conditioning.treated(x[1024:], noise.gain, G), matched.bank_of(noise, waves[2]))[0])
     for r, s in zip(rows, (0, 1024), strict=True):
-        crop = np.clip(conditioning.arm(x[s : s + G.length], bank.psd, G, "full"), -20, 20)
+        data = np.fft.fft(np.clip(conditioning.treated(x[s : s + G.length], noise.gain, G), -20, 20), 512)[noise.band] / np.sqrt(noise.power)
         best = (0.0, 0, 0)
-        data = np.fft.fft(crop, 512)
-        for t, h in enumerate(bank.spectra):
-            for lag in range(512):
-                z = sum(data[k] * bank.weight[k] * np.conj(h[k]) * np.exp(2j * np.pi * k * lag / 512) for k in range(1, 256)) / 512 if lag == r.lag or lag % 64 == 0 else 0
+        for t, h in enumerate(bank.templates):
+            for lag in {r.lag, *range(0, 512, 64)}:
+                z = sum(d * np.conj(e) * np.exp(2j * np.pi * k * lag / 512) for d, e, k in zip(data, h, noise.band, strict=True))
                 best = max(best, (abs(z), t, lag))
         assert best == (pytest.approx(r.rho), r.template, r.lag)
-    noise = conditioning.scored(spark.createDataFrame([(i, rng.standard_normal(2048).tolist(), before.tolist()) for i in range(30)], "block long, x array<double>, before array<double>"), waves, G, (0, 1024)).collect()
-    assert 2 < np.median([r.rho for r in noise]) < 5
-    with pytest.raises(ValueError):
-        conditioning.bank_of(before, np.zeros((1, G.length)), G)
+        # the chi-square of the winner, bin by bin
+        h = bank.templates[r.template]
+        pieces = data * np.conj(h) * np.exp(2j * np.pi * noise.band * r.lag / 512)
+        power, bins = np.abs(h) ** 2 / (np.abs(h) ** 2).sum(), {}
+        for k, (c, p) in enumerate(zip(np.cumsum(power), power, strict=True)):
+            bins.setdefault(min(int(8 * (c - p / 2)), 7), []).append(k)
+        chisq = sum(abs(pieces[own].sum() - power[own].sum() * pieces.sum()) ** 2 / power[own].sum() for own in bins.values()) / (2 * len(bins) - 2)
+        assert r.chisq == pytest.approx(chisq)
+    quiet = matched.scored(spark.createDataFrame([(i, rng.standard_normal(2048).tolist(), before.tolist()) for i in range(30)], "block long, x array<double>, before array<double>"), waves, G, (0, 1024)).collect()
+    assert 2 < np.median([r.rho for r in quiet]) < 5
+    with pytest.raises(ValueError, match="without power"):
+        matched.bank_of(noise, np.zeros((1, G.length)))
     with pytest.raises(ValueError):
         signal.spectra(np.zeros((1, 8)), 16)
 
 
+def test_noise_has_unit_quadratures_and_a_chi_square_of_one():
+    """Held out noise, that is not what the templates are calibrated on; and a glitch has a large chi-square, an injection has not."""
+    rng = np.random.default_rng(16)
+    waves = np.stack([np.concatenate((signal.chirp(m, m, G.start + 200, G.rate, 20.0), np.zeros(G.length - G.start - 200))) for m in (12.0, 20.0, 36.0)])
+    noise = matched.noise_of(rng.standard_normal(1 << 15), G)
+    bank = matched.bank_of(noise, waves)
+    held = conditioning.treated(rng.standard_normal((600, G.length)), noise.gain, G)
+    z = matched.quadratures(held, bank)
+    for part in (z.real, z.imag):
+        assert np.abs(part.mean(axis=0)).max() < 0.15 and np.abs(part.std(axis=0) - 1).max() < 0.12
+    products = noise.seen(held[0]) * np.conj(bank.templates)
+    means = np.mean([matched.chisq_of(noise.seen(c) * np.conj(bank.templates), np.zeros(3), bank) for c in held], axis=0)
+    assert products.shape == (3, len(noise.band)) and np.abs(means - 1).max() < 0.2
+    sigma = signal.optimal_snr(waves[1], np.full(9, 2 / G.rate), G.rate, G.low, G.high)
+    found = matched.score(conditioning.treated(signal.inject(rng.standard_normal(G.length), waves[1], sigma, 12.0), noise.gain, G), bank)
+    glitch = rng.standard_normal(G.length)
+    glitch[G.start + 100] += 60
+    loud = matched.score(conditioning.treated(glitch, noise.gain, G), bank)
+    assert found[0] > 8 and found[1] < 3 < loud[1] and loud[4] < 0.8 * loud[0]
+
+
+
 def test_matches_banks_and_recovered_snr(spark):
     waves = np.stack([signal.chirp(m, m, 512, 512.0) for m in (20.0, 20.2, 30.0, 31.0, 45.0)])
     near = signal.matches(waves, waves)

@@ -1,6 +1,6 @@
-"""Conditioning of strain buffers and scoring of crops with a bank that is conditioned like them.
+"""Treatments of strain buffers, as gains by frequency.
 
-A block's filter comes from the block before it, so nothing that is scored shapes its own filter. Numpy functions are
+A block's whitening comes from the block before it, so nothing that is treated shapes its own filter. Numpy functions are
 pure; those on DataFrames take Arrow batches row by row (Spark bounds a batch by bytes, 64 MB unless set otherwise).
 """
 
@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from tidewave.functions import arrays
 from tidewave.operators import signal
 
-#: The four treatments of a buffer, and the saturation of a crop in deviations.
+#: The four treatments of a buffer.
 ARMS = ("raw", "bp", "wh", "full")
-CLIP = 20.0
 
 
 @dataclass(frozen=True)
@@ -47,21 +46,37 @@ def filter_of(before: np.ndarray, g: Geometry) -> np.ndarray:
     return signal.truncated_inverse(signal.welch(before, segment, segment // 2), g.length, g.taps, g.flow / (g.rate / 2))
 
 
-def arm(x: np.ndarray, psd: np.ndarray | None, g: Geometry, which: str) -> np.ndarray:
-    """The crop of a buffer under one treatment; all are linear, and none looks at the buffer."""
-    if which not in ARMS:
-        raise ValueError(f"{which} is none of {ARMS}")
-    if which in ("wh", "full"):
-        x = signal.whiten(x, psd)
-    if which in ("bp", "full"):
-        x = signal.band_pass(x, g.rate, g.low, g.high, g.order)
-    return x[g.crop]
+def band_gain(g: Geometry, length: int) -> np.ndarray:
+    """The band-pass as a gain: the transform of its taps around sample 0, real as they are symmetric."""
+    impulse = np.zeros(length)
+    impulse[0] = 1
+    centred = np.roll(signal.band_pass(np.roll(impulse, length // 2), g.rate, g.low, g.high, g.order), -(length // 2))
+    return np.fft.rfft(centred).real
+
+
+def gains(psd: np.ndarray | None, g: Geometry, length: int | None = None) -> dict[str, np.ndarray]:
+    """The gain of each treatment at the frequencies of a buffer; without a spectrum, of those that need none.
+
+    Every treatment multiplies a buffer's transform by numbers that the buffer has no part in, so all are linear.
+    """
+    length = length or g.length
+    out = {"raw": np.ones(length // 2 + 1), "bp": band_gain(g, length)}
+    if psd is not None:
+        out["wh"] = 1 / np.sqrt(psd)
+        out["full"] = out["wh"] * out["bp"]
+    return out
+
+
+def treated(x: np.ndarray, gain: np.ndarray, g: Geometry) -> np.ndarray:
+    """The crops of one or more buffers under a gain."""
+    return np.fft.irfft(np.fft.rfft(x) * gain, x.shape[-1])[..., g.crop]
 
 
 def leaky(x: np.ndarray, g: Geometry, segment: int | None = None) -> np.ndarray:
     """The negative control: a buffer whitened by its own spectrum, so a signal in it shapes its filter."""
     segment = segment or g.length // 4
-    return signal.band_pass(signal.whiten(x, signal.truncated_inverse(signal.welch(x, segment, segment // 2), len(x), g.taps)), g.rate, g.low, g.high, g.order)[g.crop]
+    own = signal.truncated_inverse(signal.welch(x, segment, segment // 2), len(x), g.taps)
+    return treated(x, gains(own, g, len(x))["full"], g)
 
 
 def conditioned(buffers: DataFrame, g: Geometry, arms: tuple[str, ...] = ARMS) -> DataFrame:
@@ -78,9 +93,9 @@ def conditioned(buffers: DataFrame, g: Geometry, arms: tuple[str, ...] = ARMS) -
                 if x is None or len(x) != g.length:
                     out.append([None] * len(arms))
                     continue
-                x = np.asarray(x, float)
-                psd = filter_of(np.asarray(before, float), g) if before is not None and len(before) and set(arms) & {"wh", "full"} else None
-                out.append([None if psd is None and a in ("wh", "full") else arm(x, psd, g, a) for a in arms])
+                psd = filter_of(np.asarray(before, float), g) if before is not None and len(before) else None
+                found = gains(psd, g)
+                out.append([treated(np.asarray(x, float), found[a], g) if a in found else None for a in arms])
             yield pd.concat([p[names].reset_index(drop=True), pd.DataFrame({f"x_{a}": [r[i] for r in out] for i, a in enumerate(arms)}, dtype=object)], axis=1)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in buffers.schema if f.name in names)
@@ -99,109 +114,6 @@ def scaled(crops: DataFrame, scale: DataFrame, arms: tuple[str, ...] = ARMS) ->
     return joined.withColumns({f"x_{a}": times(a) for a in arms}).drop(*scale.columns)
 
 
-@dataclass
-class Bank:
-    """Templates under one block's filter: weighted unit spectra over the noise's deviation, first frequencies of their bins."""
-
-    psd: np.ndarray
-    weight: np.ndarray
-    spectra: np.ndarray
-    starts: list[np.ndarray]
-
-
-def _one_sided(x: np.ndarray, size: int) -> np.ndarray:
-    f = np.fft.fft(x, size, axis=-1)
-    f[..., size // 2 :] = 0
-    f[..., 0] = 0
-    return f
-
-
-def _smooth(x: np.ndarray, width: int) -> np.ndarray:
-    """Running median, the ends mirrored."""
-    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, width // 2, mode="symmetric"), width), axis=1)
-
-
-def noise_spectrum(before: np.ndarray, psd: np.ndarray, g: Geometry, crops: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """The median power of conditioned crops of the block before, smoothed over nine frequencies, and the crops' spectra."""
-    last = len(before) - g.length
-    starts = np.unique(np.linspace(0, last, min(crops, max(1, last // g.size + 1))).astype(int))
-    f = _one_sided(np.stack([arm(before[s : s + g.length], psd, g, "full") for s in starts]), 2 * g.size)
-    return _smooth(np.median(np.abs(f) ** 2, axis=0), 9), f
-
-
-def bank_of(before: np.ndarray, templates: np.ndarray, g: Geometry, bins: int = 8) -> Bank:
-    """The bank of templates (buffers) for the block after `before`.
-
-    Noise is whitened again by the spectrum of its conditioned crops, within the band; the templates are conditioned and
-    weighted likewise, and divided by the median over crops of the deviation that they score on noise: the median, since
-    one loud crop would raise a pooled deviation.
-    """
-    psd = filter_of(before, g)
-    power, noise = noise_spectrum(before, psd, g)
-    f = np.abs(np.fft.fftfreq(2 * g.size, 1 / g.rate))
-    band = (f >= g.low) & (f <= g.high) & (np.arange(2 * g.size) < g.size) & (power > 0)
-    weight = np.where(band, 1 / np.sqrt(np.where(band, power, 1)), 0)
-    spectra = _one_sided(np.stack([arm(h, psd, g, "full") for h in templates]), 2 * g.size) * weight
-    norm = np.linalg.norm(spectra, axis=1, keepdims=True)
-    if not (norm > 0).all():
-        raise ValueError(f"templates without power in band: {np.flatnonzero(~(norm[:, 0] > 0)).tolist()}")
-    spectra /= norm
-    few = spectra[:8]
-    lags = slice(2 * g.size - g.size // 4, 2 * g.size, max(1, g.size // 64))  # where crop and template overlap for the most part
-    # of either quadrature, about 0
-    deviation = [np.sqrt(np.mean(np.abs(np.fft.ifft(one[None, :] * np.conj(few), axis=1)[:, lags]) ** 2) / 2) for one in noise * weight]
-    spectra /= np.median(deviation)
-    return Bank(psd, weight, spectra, [signal.bin_starts(s, bins) for s in spectra])
-
-
-def score(crop: np.ndarray, bank: Bank) -> tuple[float, float, int, int, float]:
-    """rho, chi-square, lag and template at the largest rho, and the largest re-weighted rho of any template, maybe another."""
-    size = len(bank.weight)
-    product = (_one_sided(np.clip(crop, -CLIP, CLIP), size) * bank.weight)[None, :] * np.conj(bank.spectra)
-    z = np.abs(np.fft.ifft(product, axis=1))
-    lag = z.argmax(axis=1)
-    rho = z[np.arange(len(z)), lag]
-    chisq = np.asarray([_chisq(p, s, h, int(k)) for p, s, h, k in zip(product, bank.starts, bank.spectra, lag, strict=True)])
-    best = int(rho.argmax())
-    return float(rho[best]), float(chisq[best]), int(lag[best]), best, float(signal.new_snr(rho, chisq).max())
-
-
-def _chisq(product: np.ndarray, starts: np.ndarray, template: np.ndarray, lag: int) -> float:
-    """Reduced chi-square of what bins of equal template power add to the peak."""
-    n = len(starts)
-    parts = np.add.reduceat(product * np.exp(2j * np.pi * np.arange(len(product)) * lag / len(product)), starts) / len(product)
-    share = np.add.reduceat(np.abs(template) ** 2, starts)
-    share /= share.sum()
-    return float((np.abs(parts - parts.sum() * share) ** 2 / share).sum() / max(2 * n - 2, 1))
-
-
-def scored(blocks: DataFrame, templates: np.ndarray, g: Geometry, starts: tuple[int, ...], truth: bool = False) -> DataFrame:
-    """For each block (x, before, ...) and each start of a buffer in it: start, rho, chisq, lag, template, rhotilde.
-
-    truth: blocks have a column `own` with waveforms, one for each start or null, and rho_oracle is the score of that alone.
-    Blocks without a predecessor have no filter and give no rows.
-    """
-    shared = blocks.sparkSession.sparkContext.broadcast(templates)  # a bank is small by its rule
-    names = [c for c in blocks.columns if c not in ("x", "before", "own")]
-
-    def run(parts):
-        for p in parts:
-            rows = []
-            for i, (x, before) in enumerate(zip(p["x"], p["before"], strict=True)):
-                x, before = np.asarray(x, float), np.asarray(before, float)
-                bank = bank_of(before, shared.value, g)
-                for k, s in enumerate(starts):
-                    crop = arm(x[s : s + g.length], bank.psd, g, "full")
-                    own = p["own"].iloc[i][k] if truth else None
-                    oracle = score(crop, bank_of(before, np.asarray(own, float)[None, :], g))[0] if own is not None else None
-                    rows.append((*p[names].iloc[i], s, *score(crop, bank), oracle))
-            yield pd.DataFrame(rows, columns=[*names, "start", "rho", "chisq", "lag", "template", "rhotilde", "rho_oracle"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema if f.name in names)
-    whole = blocks.where(f"before is not null and x is not null and size(before) >= {g.length} and size(x) >= {max(starts) + g.length}")
-    return whole.mapInPandas(run, f"{kept}, start int, rho double, chisq double, lag int, template int, rhotilde double, rho_oracle double")
-
-
 def fitting_factor(h: np.ndarray, bank: np.ndarray) -> np.ndarray:
     """The largest match of each waveform with a bank."""
     return signal.matches(h, bank).max(axis=1)

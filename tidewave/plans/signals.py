@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewave.functions import arrays
-from tidewave.operators import conditioning, selection, signal
+from tidewave.operators import conditioning, matched, selection, signal
 from tidewave.plans.catalog import query
 from tidewave.plans.detection import DAY, HOUR, _events
 from tidewave.session import table
@@ -42,7 +42,8 @@ def _series(spark, sf_dir):
 def _strain(spark, sf_dir):
     """Blocks (event_type, block, seed, x), each with its predecessor's samples as `before`."""
     days = _events(spark, sf_dir).select("event_type", F.floor(F.col("us") / DAY).alias("block")).distinct()
-    keys = days.withColumn("seed", F.pmod(F.xxhash64("event_type", "block"), F.lit(1 << 31))).repartition("event_type", "block")
+    keys = days.withColumn("seed", F.pmod(F.xxhash64("event_type", "block"), F.lit(1 << 31)))
+    keys = keys.repartition(4 * spark.sparkContext.defaultParallelism, "event_type", "block")  # a key is little to shuffle and much to compute
     return signal.causal(signal.noise_blocks(keys, psd(), int(SECONDS * G.rate)), ["event_type"])
 
 
@@ -60,7 +61,7 @@ def causal_whitening(spark, sf_dir):
 def matched_filter(spark, sf_dir):
     """Seven crops of 2,048 samples of each block, every other one with a signal of SNR 4 to 20, against 62 templates; rho_oracle for those with one."""
     injected = signal_in_strain(_strain(spark, sf_dir))
-    return conditioning.scored(injected, templates(), G, STARTS, truth=True)
+    return matched.scored(injected, templates(), G, STARTS, truth=True)
 
 
 def signal_in_strain(blocks):
