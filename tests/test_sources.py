@@ -120,3 +120,30 @@ def test_specs_and_searches(spark):
     assert (found.count(), span) == (12, 12)
     with pytest.raises(ValueError):
         readers.widened(near, 3, 60, 50)
+
+
+def test_a_scan_of_a_split_and_a_stretch_of_time_reads_only_its_files(spark, tmp_path):
+    path, adaptive = str(tmp_path / "d"), spark.conf.get("spark.sql.adaptive.enabled")
+    rows = spark.range(4000).select("id", (F.col("id") * 2.5).alias("gps"), F.when(F.col("id") < 3200, "train").when(F.col("id") < 3600, "val").otherwise("test").alias("split"), F.array(F.col("id").cast("double")).alias("x"))
+    writers.dataset(rows.orderBy(F.rand(1)), path, "gps", 500.0, 20)
+    files = len(list(tmp_path.glob("d/*/split=*/time_file=*/*.parquet")))
+    assert 20 <= files <= 45  # a range may end within a time file
+
+    def read(*limits):
+        df = readers.dataset(spark, path, "gps", 500.0, *limits).select("id", "gps")
+        got = sorted(r.id for r in df.collect())
+        plan = df._jdf.queryExecution().executedPlan()
+        scan = plan.collectLeaves().apply(0)
+        return got, scan.metrics().apply("numFiles").value(), plan.toString()
+
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got, n, plan = read("train", 1200.0, 1700.0)
+        assert got == list(range(480, 680)) and n <= 4 and "PushedFilters: [IsNotNull(gps), GreaterThanOrEqual(gps,1200.0), LessThan(gps,1700.0)]" in plan and "x:" not in plan
+        assert read("test", None, None)[0] == list(range(3600, 4000)) and read("test", None, None)[1] <= 6
+        assert read("val", 0.0, 100.0)[:2] == ([], 0)
+        assert len(read(None, None, None)[0]) == 4000 and read(None, None, None)[1] == files
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    writers.dataset(rows.where("id < 10"), path, "gps", 500.0, 2)
+    assert readers.dataset(spark, path, "gps", 500.0).count() == 10

@@ -123,3 +123,17 @@ def loss(logit: str, y: str) -> Column:
     """The mean cross entropy of logits and labels 0 or 1, without overflow."""
     z = F.col(logit)
     return F.avg(F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - z * F.col(y))
+
+
+def spread(results: DataFrame, arm: str, value: str) -> DataFrame:
+    """(arm, mean, sd, worst, best) of the values that an arm's seeds gave."""
+    return results.groupBy(arm).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("worst"), F.max(value).alias("best"))
+
+
+def separated(results: DataFrame, arm: str, value: str) -> DataFrame:
+    """For each two arms: separated if every seed of the second is above every seed of the first, and how many deviations their means are apart."""
+    s = spread(results, arm, value)  # one row for each arm
+    p, q = s.select(*(F.col(c).alias(f"_{c}") for c in s.columns)), s
+    verdict = F.when(F.col("_best") < F.col("worst"), "separated").otherwise("overlapping")
+    gap = (F.col("mean") - F.col("_mean")) / F.sqrt((F.col("_sd") * F.col("_sd") + F.col("sd") * F.col("sd")) / 2)
+    return p.join(q, F.col(f"_{arm}") < F.col(arm)).select(F.col(f"_{arm}").alias(arm), F.col(arm).alias("other"), verdict.alias("verdict"), gap.alias("gap"))

@@ -149,7 +149,8 @@ def _arms(spark, sf_dir):
 
 @query(f"WITH {ARMS} SELECT arm, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS sd, min(v) AS worst, max(v) AS best FROM a GROUP BY arm")
 def arm_spread(spark, sf_dir):
-    return _arms(spark, sf_dir).groupBy("arm").agg(F.round(F.avg("v"), 9).alias("mean"), F.round(F.stddev_pop("v"), 9).alias("sd"), F.min("v").alias("worst"), F.max("v").alias("best"))
+    nine = lambda c: F.round(c, 9).alias(c)
+    return evaluate.spread(_arms(spark, sf_dir), "arm", "v").select("arm", nine("mean"), nine("sd"), "worst", "best")
 
 
 @query(
@@ -157,10 +158,7 @@ def arm_spread(spark, sf_dir):
 SELECT p.arm, q.arm AS other, CASE WHEN p.hi < q.lo THEN 'separated' ELSE 'overlapping' END AS verdict, round((q.mean - p.mean) / sqrt((p.var + q.var) / 2), 6) AS gap FROM s p JOIN s q ON p.arm < q.arm"""
 )
 def separated_verdict(spark, sf_dir):
-    s = _arms(spark, sf_dir).groupBy("arm").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return s.alias("p").join(s.alias("q"), F.expr("p.arm < q.arm")).select(
-        "p.arm", F.col("q.arm").alias("other"), F.expr("case when p.hi < q.lo then 'separated' else 'overlapping' end").alias("verdict"), F.expr("round((q.mean - p.mean) / sqrt((p.var + q.var) / 2), 6)").alias("gap")
-    )
+    return evaluate.separated(_arms(spark, sf_dir), "arm", "v").withColumn("gap", F.round("gap", 6))
 
 
 @query(f"WITH {ARMS} SELECT p.arm, q.arm AS other, bool_and(p.v < q.v) AS beats, max(q.v - p.v) AS gap FROM a p JOIN a q ON p.seed = q.seed AND p.arm <> q.arm GROUP BY ALL")

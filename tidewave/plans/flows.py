@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.operators import layout, summaries
+from tidewave.operators import evaluate, layout, summaries, training
 from tidewave.plans.catalog import query
 from tidewave.plans.detection import AUC, DAY, HOUR, SPLIT, _events, _split
 from tidewave.plans.spans import B, E, _blocks
 from tidewave.session import shared_folder, table
-from tidewave.sources import writers
+from tidewave.sources import readers, writers
 from tidewave.sources.strain_files import StrainFiles
 from tidewave.streaming import ordered
 
@@ -123,3 +123,36 @@ def summary_fap_table(spark, sf_dir):
 def summary_auc(spark, sf_dir):
     own = summaries.merged(_summary(spark, sf_dir), ["event_type"]).select(F.lit(1).alias("one"), (F.col("event_type") == "error").alias("positive"), summaries.UNITS, "n")
     return summaries.auc(own, "positive", ["one"]).withColumn("auc", F.round("auc", 9)).drop("one")
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    """Vectors with an even label as y, in three splits by id; x_half has the first half of each vector."""
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
+    split = F.when(F.col("vec_id") % 10 < 7, "train").when(F.col("vec_id") % 10 == 7, "val").otherwise("test")
+    x = F.transform("embedding", lambda v: 8 * v.cast("double"))
+    rows = e.select("vec_id", split.alias("split"), (F.col("label") % 2 == 0).cast("int").alias("y"), x.alias("x"), F.slice(x, 1, F.floor(F.size(x) / 2).cast("int")).alias("x_half"))
+    return training.laid_out(rows, f"{_folder(spark)}/rows", "vec_id", 2)
+
+
+@query()
+def dense_training(spark, sf_dir):
+    """A dense scorer trained on the vectors: the losses and the validation AUC of each epoch."""
+    run = training.Run("whole", 7, "x")
+    (found,) = training.fit(_labelled(spark, sf_dir), [run], (16,), f"{_folder(spark)}/state", epochs=5, rate=0.02).values()
+    return spark.createDataFrame([(int(e), *map(float, rest)) for e, *rest in found.history], "epoch int, train_loss double, val_loss double, val_auc double")
+
+
+@query()
+def seed_sweep(spark, sf_dir):
+    """Two arms, whole and half vectors, with three seeds each: whether their test AUCs are apart whatever the seed."""
+    results = training.sweep(_labelled(spark, sf_dir), {"half": "x_half", "whole": "x"}, [1, 2, 3], (8,), f"{_folder(spark)}/state", epochs=3, rate=0.02)
+    return evaluate.separated(results, "arm", "auc")
+
+
+@query(f"WITH {SPLIT} SELECT event_id, us, split, value FROM x WHERE split = 'train' AND us >= 1704844800000000 AND us < 1705017600000000")
+def dataset_window(spark, sf_dir):
+    """Two days of the training split from a dataset that is laid out by split and time."""
+    path = _folder(spark)
+    x = _split(_events(spark, sf_dir)).select("event_id", "us", "split", "value")
+    writers.dataset(x, path, "us", DAY, 8)
+    return readers.dataset(spark, path, "us", DAY, "train", 1704844800000000, 1705017600000000)

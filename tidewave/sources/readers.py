@@ -48,6 +48,18 @@ def crops(spark: SparkSession, path: str, split: str | None = None, arm: str = "
     return out
 
 
+def dataset(spark: SparkSession, path: str, at: str, width: float, split: str | None = None, start: float | None = None, end: float | None = None) -> DataFrame:
+    """Rows of a published dataset (writers.dataset, of the same `at` and width) of one split with start <= at < end; each limit may be left out."""
+    rows = published(spark, path)
+    if split is not None:
+        rows = rows.where(F.col("split") == split)
+    if start is not None:
+        rows = rows.where((F.col("time_file") >= int(start // width)) & (F.col(at) >= start))
+    if end is not None:
+        rows = rows.where((F.col("time_file") <= int(end // width)) & (F.col(at) < end))
+    return rows.drop("time_file")
+
+
 def noise_hours(rows: DataFrame) -> DataFrame:
     """Hours of background: each negative row is a second."""
     return rows.agg((F.count_if(F.col("y") == 0) / 3600).alias("hours"))

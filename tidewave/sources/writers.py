@@ -78,6 +78,17 @@ def keyed_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     return put
 
 
+def dataset(df: DataFrame, path: str, at: str, width: float, files: int) -> int:
+    """Publishes a dataset by split and time file (at div width): about `files` files in all, each of a split's stretch of time, in order.
+
+    A scan of a split and a stretch of time (readers.dataset) opens the files of that split and those time files alone, and
+    within them the row groups whose times fit.
+    """
+    placed = df.withColumn("time_file", F.floor(F.col(at) / width))
+    ranged = placed.repartitionByRange(files, "split", "time_file", at).sortWithinPartitions("split", "time_file", at)
+    return publish(ranged, path, ("split", "time_file"))
+
+
 def scores(df: DataFrame, path: str) -> int:
     """A score table, one folder for each dataset that it scores."""
     return publish(df, path, ("dataset",))
