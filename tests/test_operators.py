@@ -233,16 +233,19 @@ def test_scores_are_those_of_a_plain_loop_and_find_what_was_injected(spark):
         signal.spectra(np.zeros((1, 8)), 16)
 
 
-def test_noise_has_unit_quadratures_and_a_chi_square_of_one():
+def test_noise_has_unit_quadratures_and_a_chi_square_of_one(spark):
     """Held out noise, that is not what the templates are calibrated on; and a glitch has a large chi-square, an injection has not."""
     rng = np.random.default_rng(16)
     waves = np.stack([np.concatenate((signal.chirp(m, m, G.start + 200, G.rate, 20.0), np.zeros(G.length - G.start - 200))) for m in (12.0, 20.0, 36.0)])
     noise = matched.noise_of(rng.standard_normal(1 << 15), G)
     bank = matched.bank_of(noise, waves)
     held = conditioning.treated(rng.standard_normal((600, G.length)), noise.gain, G)
-    z = matched.quadratures(held, bank)
+    z = matched.quadratures(held, bank, np.array([0, 30]))
     for part in (z.real, z.imag):
         assert np.abs(part.mean(axis=0)).max() < 0.15 and np.abs(part.std(axis=0) - 1).max() < 0.12
+    pairs = spark.createDataFrame([(i % 2, rng.standard_normal(4096).tolist(), rng.standard_normal(8192).tolist()) for i in range(40)] + [(0, [0.0] * 4096, None)], "k int, x array<double>, before array<double>")
+    spreads = matched.calibration(pairs, waves, G, (0, 1024, 2048), ["k"], (-20, 0, 20)).collect()
+    assert len(spreads) == 2 and all(r.n == 20 * 3 * 3 * 3 and 0.85 < r.sd_real < 1.15 and 0.85 < r.sd_imaginary < 1.15 for r in spreads)
     products = noise.seen(held[0]) * np.conj(bank.templates)
     means = np.mean([matched.chisq_of(noise.seen(c) * np.conj(bank.templates), np.zeros(3), bank) for c in held], axis=0)
     assert products.shape == (3, len(noise.band)) and np.abs(means - 1).max() < 0.2

@@ -92,9 +92,13 @@ def reweighted(rho: Column, chisq: Column) -> Column:
 
 def roc_curve(df: DataFrame, score: str, positive: str, keys: list[str]) -> DataFrame:
     """True and false positives at or above each different score, by key; null scores do not count."""
-    by = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    order = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select(*keys, score, F.sum("p").over(order).alias("tp"), F.sum("n").over(order).alias("fp"))
+    by = _ranges(df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n")), score)
+    above = Window.partitionBy(*keys).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a few hundred ranges
+    sums = by.groupBy(*keys, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    shifts = sums.select(*keys, "_range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("_p", "_n")))
+    order = Window.partitionBy(*keys, "_range").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = by.select(*keys, "_range", score, F.sum("p").over(order).alias("p"), F.sum("n").over(order).alias("n"))
+    return inside.join(shifts, [*keys, "_range"]).select(*keys, score, (F.col("p") + F.col("_p")).alias("tp"), (F.col("n") + F.col("_n")).alias("fp"))
 
 
 def early_stop(epochs: DataFrame, keys: list[str], epoch: str, metric: str, patience: int = 6) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewave.operators import conditioning, signal
 from tidewave.operators.conditioning import Geometry
@@ -124,9 +125,32 @@ def score(crop: np.ndarray, bank: Bank) -> tuple[float, float, int, int, float]:
     return float(rho[best]), float(chisq[best]), int(lag[best]), best, float(signal.new_snr(rho, chisq).max())
 
 
-def quadratures(crops: np.ndarray, bank: Bank) -> np.ndarray:
-    """[crop, template]: the complex answers at lag 0, whose real and imaginary parts have mean 0 and deviation 1 on noise."""
-    return bank.noise.seen(np.clip(crops, -SATURATION, SATURATION)) @ np.conj(bank.templates).T
+def quadratures(crops: np.ndarray, bank: Bank, lags: np.ndarray) -> np.ndarray:
+    """[crop, template, lag]: the complex answers, whose real and imaginary parts have mean 0 and deviation 1 on noise."""
+    turned = np.conj(bank.templates)[:, :, None] * bank.noise.turns(lags)
+    return np.tensordot(bank.noise.seen(np.clip(crops, -SATURATION, SATURATION)), turned, axes=(-1, 1))
+
+
+def calibration(blocks: DataFrame, templates: np.ndarray, g: Geometry, starts: tuple[int, ...], keys: list[str], lags: tuple[int, ...] = tuple(range(-512, 513, 89))) -> DataFrame:
+    """(*keys, n, sd_real, sd_imaginary): how the quadratures of noise spread in blocks (x, before) that calibrated nothing; near 1 if the calibration carries over."""
+    shared = blocks.sparkSession.sparkContext.broadcast(templates)  # a bank is small by its rule
+    names = [c for c in blocks.columns if c not in ("x", "before")]
+
+    def run(parts):
+        for p in parts:
+            rows = []
+            for x, before in zip(p["x"], p["before"], strict=True):
+                noise = noise_of(np.asarray(before, float), g)
+                crops = conditioning.treated(np.stack([np.asarray(x, float)[s : s + g.length] for s in starts]), noise.gain, g)
+                z = quadratures(crops, bank_of(noise, shared.value), np.array(lags))
+                rows.append((z.size, z.real.sum(), (z.real**2).sum(), z.imag.sum(), (z.imag**2).sum()))
+            yield pd.concat([p[names].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "a", "aa", "b", "bb"])], axis=1)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema if f.name in names)
+    whole = blocks.where(f"before is not null and x is not null and size(before) >= {g.length} and size(x) >= {max(starts) + g.length}")
+    sums = whole.mapInPandas(run, f"{kept}, n long, a double, aa double, b double, bb double").groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "a", "aa", "b", "bb")))
+    sd = lambda s, ss: F.sqrt(F.col(ss) / F.col("n") - F.pow(F.col(s) / F.col("n"), F.lit(2)))
+    return sums.select(*keys, "n", sd("a", "aa").alias("sd_real"), sd("b", "bb").alias("sd_imaginary"))
 
 
 def scored(blocks: DataFrame, templates: np.ndarray, g: Geometry, starts: tuple[int, ...], truth: bool = False) -> DataFrame:

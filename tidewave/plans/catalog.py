@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from tidewave.plans import checks, crops, dataset, detection, flows, signals, spans  # noqa: F401
+    from tidewave.plans import checks, crops, dataset, detection, flows, signals, spans, spectra  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -46,13 +46,13 @@ def median_specimen(spark, sf_dir):
 
 
 @query(f"""WITH {E}, n AS (SELECT day, value FROM e WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY day ORDER BY us, event_id) <= 120),
-c AS (SELECT day, count(*) AS background FROM n GROUP BY day HAVING count(*) >= 20)
+c AS (SELECT day, count(*) AS background FROM n GROUP BY day HAVING count(*) >= 30)
 SELECT p.event_id, background, count(*) FILTER (n.value >= p.value) AS louder FROM e p JOIN c USING (day) JOIN n USING (day) WHERE p.event_type = 'error' GROUP BY p.event_id, background""")
 def same_block_background(spark, sf_dir):
-    """Each positive's rank among the first 120 negatives of its day, where there are 20: a row for each day holds these as an array."""
+    """Each positive's rank among the first 120 negatives of its day, where there are 30: a row for each day holds these as an array."""
     e = _days(spark, sf_dir)
     first = e.where("event_type <> 'error'").withColumn("i", F.row_number().over(Window.partitionBy("day").orderBy("us", "event_id"))).where("i <= 120")
-    by = first.groupBy("day").agg(F.collect_list("value").alias("values"), F.count("*").alias("background")).where("background >= 20")
+    by = first.groupBy("day").agg(F.collect_list("value").alias("values"), F.count("*").alias("background")).where("background >= 30")
     louder = F.size(F.filter("values", lambda v: v >= F.col("value"))).cast("long")
     return e.where("event_type = 'error'").join(by, "day").select("event_id", "background", louder.alias("louder"))
 

@@ -64,6 +64,13 @@ def matched_filter(spark, sf_dir):
     return matched.scored(injected, templates(), G, STARTS, truth=True)
 
 
+@query()
+def quadrature_calibration(spark, sf_dir):
+    """The spread of both quadratures of the bank's answers to strain without signals, of each class; 1 if the calibration holds."""
+    held = matched.calibration(_strain(spark, sf_dir), templates(), G, STARTS[::2], ["event_type"])
+    return held.select("event_type", "n", F.round("sd_real", 4).alias("sd_real"), F.round("sd_imaginary", 4).alias("sd_imaginary"))
+
+
 def signal_in_strain(blocks):
     """blocks with a waveform in every other buffer, and the waveforms as `own`; masses and SNR are functions of the seed."""
     spectrum = psd()
