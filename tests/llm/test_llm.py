@@ -526,6 +526,35 @@ def test_class_words_delete_no_article_text():
     assert html_extract.main_text(page.format(drop)) == "One\n\nTwo\n\nThree\n\nFour"
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<article><p>Let <math><mi>x</mi> = 2</math> be <label>word</label> or <noscript>more</noscript></p></article>", "Let x = 2 be word or more"),
+        ("<article><h2 class='share'>Share prices rose</h2><p class=promotion>A promotion</p><div class=share>Gone</div></article>", "Share prices rose\n\nA promotion"),
+        ("<form id=aspnet><div><h1>Title</h1><p>All of the page is in one form.</p><input value=x><button>Go</button></div></form>", "Title\n\nAll of the page is in one form."),
+        ("<body><p>A page with some text of its own, more than the form has.</p><form><p>Your name</p><label>Name</label></form></body>", "A page with some text of its own, more than the form has."),
+        ("<form><label>User</label><label>Password</label></form>", ""),
+        ("<main><h1>Title beside</h1><article><p>First</p></article><div>Between</div><article><p>Second, longer</p></article></main>", "Title beside\n\nFirst\n\nSecond, longer"),
+        ("<header><h1>Site</h1></header><article><p>A</p><article><p>Within</p></article></article><aside><article><p>Not</p></article></aside>", "A\n\nWithin"),
+        ("<article><p>Same</p></article><article><p>Same</p></article>", "Same\n\nSame"),
+        ("<article><p>Text</p><article class=comment><p>A reader</p></article><footer>F</footer><nav>N</nav><aside>S</aside></article>", "Text"),
+        ("<body><label>Search</label><noscript>Turn it on</noscript><p>Body</p></body>", "Body"),
+        ("<main><p>Main</p></main><p>Around</p>", "Main"),
+    ],
+)
+def test_nothing_else_is_dropped(html, want):
+    assert html_extract.main_text(html) == want
+
+
+def test_the_join_of_templates_gives_what_the_broadcast_gives(spark, monkeypatch):
+    pages = [(i, f"https://{'ab'[i % 2]}.example/{i}", f"<div>{sentence(i, 30)}</div><div><p>{sentence(500, 9)}</p></div><p>{sentence(i + 900, 20)}</p>") for i in range(30)]
+    frame = spark.createDataFrame([*pages, (99, None, "<p>no host</p>"), (98, "x", None)], "page_id long, url string, html string")
+    first = sorted(map(tuple, html_extract.extract(frame).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, html_extract.extract(frame).collect())) == first and len(first) == 32
+    assert sum(sentence(500, 9) in r[2] for r in first) == 0
+
+
 def test_template_blocks_are_those_that_recur(spark):
     rng, pages, want = np.random.default_rng(8), [], {}
     shared = [f"<div class='c{i}'><b>{sentence(200 + i, 12)}</b></div>" for i in range(6)]

@@ -3,16 +3,20 @@
 1. A tolerant parser makes a tree of each page (unclosed and misnested elements are closed as browsers
    do in the common cases). Elements that are not article text by their tag, role, or class and id are
    dropped: menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, comments. A
-   class or id tells only if all of its words do (`related-posts`, but not `related-work`).
+   class or id tells only if all of its words do (`related-posts`, but not `related-work`), and within an article only of
+   elements that hold others (a div, not a heading or a paragraph). A form that holds most of the page's text and
+   paragraphs or headings is a wrapper, not a form.
 2. Every other element subtree with text is hashed (tags and normalised text, bottom up). Spark counts
    for each host the different pages that hold a subtree; pages with the same text count as one, so
-   copies of an article are not a template. A subtree on at least `least` pages and `share` of the host's pages is
+   copies of an article are not a template. An element that is all of its parent's text is not counted beside it. A subtree on at least `least` pages and `share` of the host's pages is
    deleted wherever it stands on that host, within an article only if it is on half of the host's pages, and
-   never if it holds most of the page's text. Recurring subtrees meet the pages that hold them by a join, so
-   nothing is gathered for a host; the pages themselves are shuffled only if the hashes to delete are more than BROADCAST_BYTES.
-3. The text is that of the largest article that is left, else of main, else of the body. Block elements make blocks.
+   never if it holds most of the page's text. A host's recurring subtrees are few, as each is on a share of its pages: at most
+   one over `share` times the subtrees of a mean page. They meet the host's pages as one array, by a broadcast if all are counted
+   to be at most BROADCAST_BYTES, else by a join to which the pages go once.
+3. The text is that of all articles that are left, in page order (an article within an article is part of it), after
+   first headings (h1) before them; without articles that of main, else of the body. Block elements make blocks.
 
-Null or empty html gives an empty text. A page whose URL has no host is not compared with others.
+Articles of equal size have no order but that of the page. Null or empty html gives an empty text. A page whose URL has no host is not compared with others.
 Repeated rows count once and are returned each time; extra columns are ignored.
 """
 
@@ -30,12 +34,16 @@ from tidewave.llm._spark import BROADCAST_BYTES, cut, map_texts
 
 # Fixed values of HTML: elements without content, with raw text, and those that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template svg math".split())
+RAW = frozenset("script style textarea title iframe xmp template svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 # Choices of this operator: elements, roles and class or id words that are not article text.
-DROPPED = frozenset("nav footer aside form button select dialog menu head object canvas audio video label input".split()) | RAW
+DROPPED = frozenset("nav footer aside form button select dialog menu head object canvas audio video input".split()) | RAW
+#: Dropped outside of articles, where they are of forms and fallbacks.
+OUTSIDE = frozenset("label noscript".split())
+#: Elements of text: within an article their class does not tell.
+PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr blockquote pre figcaption caption a abbr b i em strong small span sub sup mark q cite code time u s label math noscript".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond toolbar pagination pager skip search widget".split()
@@ -138,7 +146,9 @@ def parse(page: str) -> Node:
                 node = node.parent
         words, hidden = _words(m[3]) if m[3].strip(" /\n") else (set(), False)
         comment = bool(words & {"comment", "comments", "commentlist", "reply", "replies"})
-        bad = tag in DROPPED or hidden or bool(words & WORDS) or any("role:" + r in words for r in ROLES)
+        tells = not (article and tag in PLAIN)
+        bad = tag in DROPPED or tag in OUTSIDE and not article or hidden or tells and bool(words & WORDS) or any("role:" + r in words for r in ROLES)
+        comment = comment and tells
         bad = bad or (tag == "header" or bool(words & HEADERS)) and not article
         if tag in ("html", "body", "main") or tag == "article" and not comment or "articlebody" in words:
             bad = hidden
@@ -155,8 +165,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def _measure(node: Node) -> None:
-    """Fills in sizes and hashes of the text that is not dropped."""
+def _measure(node: Node, wrappers: bool = False) -> None:
+    """Fills in sizes and hashes of the text that is not dropped; with `wrappers`, elements around an article or main are kept."""
     node.size = 0
     stack = [(node, iter(node.children), xxhash.xxh64(node.tag.encode()), [False])]
     while stack:
@@ -174,7 +184,7 @@ def _measure(node: Node) -> None:
         else:
             stack.pop()
             holds = found[0] or own.tag in ("article", "main") and not own.comment and own.size > 0
-            if own.drop and found[0] and own.tag not in RAW and not own.comment:
+            if wrappers and own.drop and found[0] and own.tag not in RAW and not own.comment:
                 own.drop = False  # a wrapper of the article
             if own.drop:
                 own.size = 0
@@ -197,13 +207,25 @@ def _nodes(node: Node):
         stack.extend(c for c in reversed(own.children) if not isinstance(c, str))
 
 
-def _content(root: Node) -> Node:
-    """The largest article, else main, else the body, else all."""
+def _contents(root: Node) -> list[Node]:
+    """The outermost articles and the first headings before them, else the largest main, else the largest body, else all."""
+    articles: list[Node] = []
+    headings: list[Node] = []
     best: dict[str, Node] = {}
-    for n in _nodes(root):
-        if n.tag in ("article", "main", "body") and n.size > (best[n.tag].size if n.tag in best else 0):
-            best[n.tag] = n
-    return best.get("article") or best.get("main") or best.get("body") or root
+    stack = [root]
+    while stack:
+        own = stack.pop()
+        if own.drop:
+            continue
+        if own.tag == "article" and own.size:
+            articles.append(own)
+            continue
+        if own.tag == "h1" and not articles:
+            headings.append(own)
+        if own.tag in ("main", "body") and own.size > (best[own.tag].size if own.tag in best else 0):
+            best[own.tag] = own
+        stack.extend(c for c in reversed(own.children) if not isinstance(c, str))
+    return [*headings, *articles] if articles else [best.get("main") or best.get("body") or root]
 
 
 def _text(top: Node) -> str:
@@ -238,80 +260,108 @@ def _text(top: Node) -> str:
     return "\n\n".join(blocks)
 
 
+def _unwrap(root: Node) -> None:
+    """Forms around most of what would be left of the page, with paragraphs or headings, are no forms."""
+    forms, stack = [], [root]
+    while stack:
+        own = stack.pop()
+        if own.drop and own.tag != "form":
+            continue
+        if own.drop:
+            forms.append(own)
+        stack.extend(c for c in own.children if not isinstance(c, str))
+    if not forms:
+        return
+    for f in forms:
+        f.drop = False
+    _measure(root)
+    for f in forms:
+        inside = list(_nodes(f))
+        f.drop = not (2 * f.size > root.size and any(n.tag in ("p", "h1", "h2", "h3", "article", "main") for n in inside))
+
+
 def tree(page: str) -> Node:
     root = parse(page)
+    _unwrap(root)
     _measure(root)
+    if not any(n.tag in ("article", "main") and n.size for n in _nodes(root)):
+        _measure(root, wrappers=True)  # else nothing would be left of a page within, say, a sidebar
     return root
 
 
 def recurring(root: Node):
-    """(hash, whether within an article) of the subtrees that may be parts of a template."""
-    stack = [(c, False) for c in root.children if not isinstance(c, str)]
+    """Hashes of the subtrees that may be parts of a template."""
+    stack = [(c, -1) for c in root.children if not isinstance(c, str)]
     while stack:
-        own, inside = stack.pop()
+        own, above = stack.pop()
         if own.drop or not own.size:
             continue
-        if own.size <= root.size / 2:
-            yield own.hash, inside
-        inside = inside or own.tag == "article"
-        stack.extend((c, inside) for c in own.children if not isinstance(c, str))
+        counted = own.size <= root.size / 2
+        if counted and own.size != above:
+            yield own.hash
+        stack.extend((c, own.size if counted else -1) for c in own.children if not isinstance(c, str))
 
 
-def main_text(page: str | None, gone: frozenset = frozenset()) -> str:
-    """The main text of a page without the subtrees with hashes in gone."""
+def main_text(page: str | None, everywhere: frozenset = frozenset(), outside: frozenset = frozenset()) -> str:
+    """The main text of a page without the subtrees with hashes in `everywhere`, nor, outside of articles, those in `outside`."""
     if not page:
         return ""
     root = tree(page)
-    if gone:
+    if everywhere or outside:
         most = root.size / 2
-        for own in list(_nodes(root)):
-            own.drop = own is not root and own.hash in gone and own.size <= most
+        stack = [(c, False) for c in root.children if not isinstance(c, str)]
+        while stack:
+            own, inside = stack.pop()
+            if own.drop:
+                continue
+            own.drop = own.size <= most and (own.hash in everywhere or not inside and own.hash in outside)
+            inside = inside or own.tag == "article"
+            stack.extend((c, inside) for c in own.children if not isinstance(c, str))
         _measure(root)
-    return _text(_content(root))
+    return "\n\n".join(filter(None, map(_text, _contents(root))))
 
 
 def _subtrees(batches):
-    """host, the hash of the page's text, the page's key, the hash of a subtree, whether it is within an article: once for each subtree of a page."""
+    """host, the hash of the page's text, the hash of a subtree: once for each subtree of a page, and once without one for the page."""
     for batch in batches:
-        hosts, pages, keys, hashes, inner = [], [], [], [], []
-        for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html")), strict=True):
+        hosts, pages, hashes = [], [], []
+        for host, page in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True):
             root = tree(page)
-            found = set(recurring(root))
+            found = [None, *set(recurring(root))]
             hosts += [host] * len(found)
             pages += [root.hash] * len(found)
-            keys += [key] * len(found)
-            hashes += [x for x, _ in found]
-            inner += [x for _, x in found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (pages, keys, hashes)), pa.array(inner, pa.bool_())], names=["host", "page", "key", "subtree", "inside"]
-        )
+            hashes += found
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, pages, hashes)], names=["host", "page", "subtree"])
 
 
 def _extract(batches):
     for batch in batches:
-        gone = batch.column("gone").to_pylist()
-        texts = [main_text(p, frozenset(g or ())) for p, g in zip(batch.column("html").to_pylist(), gone, strict=True)]
+        texts = []
+        for page, everywhere, outside in zip(*(batch.column(c).to_pylist() for c in ("html", "everywhere", "outside")), strict=True):
+            texts.append(main_text(page, frozenset(everywhere or ()), frozenset(outside or ())))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.large_string()).cast(pa.string())], names=["page_id", "url", "text"])
 
 
 def template(pages: DataFrame, least: int = 4, share: float = 0.1) -> DataFrame:
-    """key, gone: the hashes of a page's subtrees that are parts of its host's template, for each page (host, key, html) that has some."""
-    found = cut(map_texts(pages.where("host <> '' and length(html) > 0").select("host", "key", "html"), _subtrees, "host string, page long, key long, subtree long, inside boolean").distinct())
-    size = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    held = found.select("host", "page", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    # cut, so that the pages' subtrees are shuffled to it anew and those of a very large host can be split
-    held = cut(held.join(size, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree", (2 * F.col("n") >= F.col("pages")).alias("most")))
-    met = found.join(held, ["host", "subtree"]).where("most or not inside")
-    return cut(met.groupBy("key").agg(F.collect_set("subtree").alias("gone")))
+    """host, everywhere, outside: the hashes of the subtrees of each host's template, for pages (host, html), the host as a hash or null.
+
+    everywhere: those on half of the host's pages or more; outside: the others, which go only outside of articles.
+    """
+    found = map_texts(pages.where("host is not null and length(html) > 0").select("host", "html"), _subtrees, "host long, page long, subtree long").distinct()
+    counts = cut(found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= least) | F.col("subtree").isNull()))
+    sizes = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
+    held = counts.where("subtree is not null").join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
+    most = 2 * F.col("n") >= F.col("pages")
+    return cut(held.groupBy("host").agg(F.collect_list(F.when(most, F.col("subtree"))).alias("everywhere"), F.collect_list(F.when(~most, F.col("subtree"))).alias("outside")))
 
 
 def extract(pages: DataFrame, least: int = 4, share: float = 0.1) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    own = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("url", "html").alias("key"))
+    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    own = pages.select("page_id", "url", "html", F.when(F.length(host) > 0, F.xxhash64(host)).alias("host"))
     gone = template(own, least, share)
-    size = gone.agg(F.sum(8 * F.size("gone") + 16)).first()[0] or 0
-    joined = own.select("page_id", "url", "html", "key").join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, "key", "left")
+    size = gone.agg(F.sum(8 * (F.size("everywhere") + F.size("outside")) + 32)).first()[0] or 0
+    joined = own.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    out = map_texts(joined.select("page_id", "url", "html", "gone"), _extract, f"page_id {kind}, url string, text string")
+    out = map_texts(joined.select("page_id", "url", "html", "everywhere", "outside"), _extract, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

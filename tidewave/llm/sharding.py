@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import uuid
+from bisect import bisect_right
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,29 +58,41 @@ def first_map(sizes: dict[int, int], shards: int, slots: int = SLOTS) -> dict[in
 
 
 def rebalance(old: dict[int, int], sizes: dict[int, int], shards: int, tolerance: float = 0.01) -> dict[int, int]:
-    """An edited map for `shards` shards: few slots move, from shards over their share by more than the tolerance to those below theirs.
+    """An edited map for `shards` shards: few slots move, one at a time from the fullest shard to the emptiest.
 
-    A shard sheds its largest slots that leave it at its share or above; empty slots stay unless their shard goes.
+    Slots of shards that go are dealt out first. Then shards over their share by more than the tolerance give, and those
+    below it take: the largest slot that leaves the one at its share or above and the other at its share or below; if none
+    is so small, the smallest slot, if that brings the two nearer to each other. Empty slots stay unless their shard goes.
     """
     out = dict(old)
-    held: dict[int, list[int]] = {s: [] for s in range(shards)}
+    full = dict.fromkeys(range(shards), 0)
     for slot, shard in out.items():
-        held.setdefault(shard, []).append(slot)
-    full = {s: sum(sizes.get(x, 0) for x in held[s]) for s in held}
+        if shard < shards:
+            full[shard] += sizes.get(slot, 0)
+    heap = [(n, s) for s, n in full.items()]
+    heapq.heapify(heap)
+    for slot in sorted((x for x, s in out.items() if s >= shards), key=lambda x: (-sizes.get(x, 0), x)):
+        n, s = heapq.heappop(heap)
+        out[slot], full[s] = s, n + sizes.get(slot, 0)
+        heapq.heappush(heap, (full[s], s))
     share = sum(full.values()) / shards
-    largest = lambda slots: sorted(slots, key=lambda x: (-sizes.get(x, 0), x))
-    loose = [x for s in held if s >= shards for x in held[s]]
-    for s in (s for s in range(shards) if full[s] > share * (1 + tolerance)):
-        for slot in largest(held[s]):
-            if 0 < sizes.get(slot, 0) <= full[s] - share:
-                full[s] -= sizes[slot]
-                loose.append(slot)
-    below = [(full[s], s) for s in range(shards) if full[s] < share] or [(full[s], s) for s in range(shards)]
-    heapq.heapify(below)
-    for slot in largest(loose):
-        n, s = heapq.heappop(below)
-        out[slot] = s
-        heapq.heappush(below, (n + sizes.get(slot, 0), s))
+    giving, taking = {s for s in full if full[s] > share * (1 + tolerance)}, {s for s in full if full[s] < share}
+    held: dict[int, list[tuple[int, int]]] = {s: [] for s in giving}
+    for slot, shard in out.items():
+        if shard in giving and sizes.get(slot, 0):
+            held[shard].append((sizes[slot], slot))
+    for own in held.values():
+        own.sort()
+    while giving and taking:
+        d, r = max(giving, key=lambda s: (full[s], -s)), min(taking, key=lambda s: (full[s], s))
+        k = max(bisect_right(held[d], (min(full[d] - share, share - full[r]), len(out))) - 1, 0)
+        if full[d] <= share * (1 + tolerance) or held[d][k][0] >= full[d] - full[r]:
+            giving.remove(d)
+            continue
+        size, slot = held[d].pop(k)
+        out[slot], full[d], full[r] = r, full[d] - size, full[r] + size
+        if full[r] >= share:
+            taking.remove(r)
     return out
 
 
