@@ -85,8 +85,10 @@ def rebalance(old: dict[int, int], sizes: dict[int, int], shards: int, tolerance
         own.sort()
     while giving and taking:
         d, r = max(giving, key=lambda s: (full[s], -s)), min(taking, key=lambda s: (full[s], s))
+        if full[d] <= share * (1 + tolerance) and full[r] >= share * (1 - tolerance):
+            break
         k = max(bisect_right(held[d], (min(full[d] - share, share - full[r]), len(out))) - 1, 0)
-        if full[d] <= share * (1 + tolerance) or held[d][k][0] >= full[d] - full[r]:
+        if full[d] <= share or held[d][k][0] >= full[d] - full[r]:
             giving.remove(d)
             continue
         size, slot = held[d].pop(k)
