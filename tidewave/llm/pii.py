@@ -9,18 +9,21 @@ their digits are parted.
 Kinds, and what of them stays:
 
 - payment cards, 13 to 19 digits, plain or in groups parted by blanks or hyphens, Luhn valid: the first digit; the check digit is made anew
-- IBANs, plain or in groups of four, valid modulo 97: the country; check digits are made anew
+- IBANs in capitals, plain or in groups of four, or plain in small letters, valid modulo 97: the country; check digits are made anew
 - social security numbers (123-45-6789, of areas, groups and serials that are given out): the pseudonym is again one of these
-- telephone numbers: with + the country code (its first three digits, if it is not parted), with a leading 0 the area code, else nothing
+- telephone numbers: with + the country code (its first three digits, if it is not parted), with a leading 0 the area code, else
+  the first digit; ten digits that nothing parts are no telephone number, as they may be anything
 - IPv4 and IPv6 addresses: their layout
-- dates from 1900 to 2099 as year-month-day, day/month/year or month/day/year (the first if both may be meant; also with
+- dates from 1800 to 2199, with all digits of the year, as year-month-day, day/month/year or month/day/year (the first if both may be meant; also with
   dots or hyphens), and with month names in English, German, French or Spanish: layout, language, number of digits
 - e-mail addresses: the domain, and the place of capitals, small letters, digits and marks of the local part
-- access keys (AKIA and 16), quoted tokens of 32 or more hex digits, and values after "password=": the kind of each symbol
+- access keys (AKIA and 16; ghp_ and the like and 36 or more), secret keys after aws_secret_access_key, quoted tokens of 32 or
+  more hex digits, and values after password, passwd or pwd and = or a colon: the kind of each symbol
 
 Numbers that fail the validation, and all else, stay as they are. Eight rounds alternate between the halves of the
 value: each symbol of one half is moved within its kind by a SHA-256 of key, kind, round, place and the other half. Where
-only some results have the value's format (one digit for the day, say), the permutation is repeated until one has.
+only some results have the value's format (one digit for the day, say), the permutation is repeated until one has; a
+walk that does not end within WALK steps (far less likely than 10^-20) is an error, never a value left in clear.
 
 Null texts stay null; nothing is dropped; extra columns are kept, but for one named n_values, which is replaced.
 
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 
 ROUNDS, WALK = 8, 400
 HEX = "0123456789abcdef"
-#: 1900-01-01 to 2099-12-31 are 17 x 4297 days; 898 areas and 99 x 9999 numbers in each are given out.
-DAYS, NUMBERS = (17, 4297), (898, 989901)
+#: 1800-01-01 to 2199-12-31 are 27 x 5411 days; 898 areas and 99 x 9999 numbers in each are given out.
+DAYS, NUMBERS = (27, 5411), (898, 989901)
 
 # The names of the months.
 MONTHS = {
@@ -48,19 +51,22 @@ MONTHS = {
 MONTHS["en3"].insert(4, "May")
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_YEAR = r"(?:19|20)[0-9]{2}"
+_YEAR = r"(?:1[89]|2[01])[0-9]{2}"
 _NAME = "(?:" + "|".join(sorted({m for own in MONTHS.values() for m in own}, key=lambda m: (-len(m), m))) + ")"
 _PART = r"[0-3]?[0-9]"
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _H = "[0-9a-fA-F]{1,4}"
+_PASSWORD = "(?:[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd) ?[=:] ?"
 #: Kind and pattern; the first that matches at a place counts.
 KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "token": r"\"[0-9a-f]{32,}\"",
+    "token": r"\"(?:[0-9a-f]{32,}|[0-9A-F]{32,})\"",
     "access": rf"{_LEFT}AKIA[0-9A-Z]{{16}}{_RIGHT}",
-    "password": rf"{_LEFT}password=[0-9A-Za-z]{{6,}}",
-    "iban": rf"{_LEFT}[A-Z]{{2}}[0-9]{{2}}(?:[0-9A-Z]{{11,30}}|(?: [0-9A-Z]{{4}}){{2,7}}(?: [0-9A-Z]{{1,3}})?){_RIGHT}",
-    "phone": rf"(?:(?<![0-9A-Za-z+])(?=\+(?:[ .()-]{{0,2}}[0-9]){{8,15}}(?![0-9]))\+[0-9]{{1,3}}(?:[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,12}})){{1,6}}|(?<![0-9A-Za-z.,-])0[1-9][0-9]{{1,3}}[ /-][0-9]{{3,4}}[ -]?[0-9]{{3,5}}|{_LEFT}(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[-.])[0-9]{{3}}[-.][0-9]{{4}}){_RIGHT}",
+    "granted": rf"{_LEFT}gh[pousr]_[0-9A-Za-z]{{36,}}{_RIGHT}",
+    "secret": rf"{_LEFT}aws_secret_access_key ?[=:] ?[0-9A-Za-z/+]{{40}}(?![0-9A-Za-z/+])",
+    "password": rf"{_LEFT}{_PASSWORD}[0-9A-Za-z]{{6,}}",
+    "iban": rf"{_LEFT}[a-z]{{2}}[0-9]{{2}}[0-9a-z]{{11,30}}{_RIGHT}|{_LEFT}[A-Z]{{2}}[0-9]{{2}}(?:[0-9A-Z]{{11,30}}|(?: [0-9A-Z]{{4}}){{2,7}}(?: [0-9A-Z]{{1,3}})?){_RIGHT}",
+    "phone": rf"(?:(?<![0-9A-Za-z+])(?=\+(?:[ .()-]{{0,2}}[0-9]){{8,15}}(?![0-9]))\+[0-9]{{1,3}}(?:[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,12}})){{1,6}}|(?<![0-9A-Za-z.,-])0[1-9][0-9]{{1,3}}[ /-][0-9]{{3,4}}[ -]?[0-9]{{3,5}}|{_LEFT}(?:\([0-9]{{3}}\) ?[0-9]{{3}}[-. ][0-9]{{4}}|[0-9]{{3}}[-.][0-9]{{3}}[-.][0-9]{{4}})|(?<![0-9A-Za-z.,+-])[0-9]{{3}} [0-9]{{3}} [0-9]{{4}}(?![.,-][0-9])){_RIGHT}",
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
     "ip6": rf"(?<![0-9A-Za-z:.])(?=[a-fA-F:]*[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|(?:{_H}:){{1,7}}:|:(?::{_H}){{1,7}})(?![0-9A-Za-z:])",
@@ -145,7 +151,7 @@ def _iban_check(country: str, rest: str) -> str:
     """SQL for the two check digits."""
     c = "substr(z, p, 1)"
     modulo = f"aggregate(sequence(1, length(z)), 0, (t, p) -> (t * if({c} between '0' and '9', 10, 100) + if({c} between '0' and '9', ascii({c}) - 48, ascii({c}) - 55)) % 97)"
-    return f"lpad(cast(98 - {_with('z', f"concat(replace({rest}, ' ', ''), {country}, '00')", modulo)} as string), 2, '0')"
+    return f"lpad(cast(98 - {_with('z', f"upper(concat(replace({rest}, ' ', ''), {country}, '00'))", modulo)} as string), 2, '0')"
 
 
 def _iban(v: str, key: str, reverse: bool) -> str:
@@ -171,7 +177,7 @@ def _date(v: str, key: str, reverse: bool) -> str:
     named = lambda x: f"regexp_extract({x}, '(\\\\p{{L}}{{3,}})', 1)"
     language = lambda x: f"array_position(transform({names}, o -> array_contains(o, {named(x)})), true)"
     parts = lambda x: f"transform(regexp_extract_all({x}, '[0-9]+', 0), e -> cast(e as int))"
-    day = lambda y, m, d: f"if({m} between 1 and 12 and {d} between 1 and 31, datediff(try_to_date(concat_ws('-', {y}, {m}, {d}), 'y-M-d'), date'1900-01-01'), null)"
+    day = lambda y, m, d: f"if({m} between 1 and 12 and {d} between 1 and 31, datediff(try_to_date(concat_ws('-', {y}, {m}, {d}), 'y-M-d'), date'1800-01-01'), null)"
     dmy, mdy = day("p[2]", "p[1]", "p[0]"), day("p[2]", "p[0]", "p[1]")
     # how a date is written: 0 year first, 1 day first, 2 month first, and with a name 10 and its language
     how = lambda x: _with("p", parts(x), f"case when {named(x)} <> '' then 10 + {language(x)} when p[0] > 31 then 0 when {dmy} is not null then 1 when {mdy} is not null then 2 else 3 end")
@@ -183,9 +189,9 @@ def _date(v: str, key: str, reverse: bool) -> str:
     token = f"case when e rlike '[^0-9]' then {names}[cast(w.how as int) - 11][month(u) - 1] when length(e) = 4 then cast(year(u) as string) when {first_is_day} then {two('dayofmonth(u)')} else {two('month(u)')} end"
     written = f"concat_ws('', flatten(zip_with(split({v}, {_quoted(tokens)}, -1), transform(regexp_extract_all({v}, {_quoted(tokens)}, 0), (e, i) -> {token}), (g, t) -> array(g, coalesce(t, '')))))"
     shape = lambda x: f"regexp_replace(regexp_replace({x}, '\\\\p{{L}}{{3,}}', 'L'), '[0-9]', '9')"
-    state = lambda n: _with("n", n, _with("u", "date_add(date'1900-01-01', cast(n as int))", _with("r", written, f"named_struct('n', n, 'r', r, 'ok', {shape('r')} = {shape(v)} and {how('r')} = w.how)")))
+    state = lambda n: _with("n", n, _with("u", "date_add(date'1800-01-01', cast(n as int))", _with("r", written, f"named_struct('n', n, 'r', r, 'ok', {shape('r')} = {shape(v)} and {how('r')} = w.how)")))
     again = lambda n: state(number_feistel(n, DAYS, key, "date", reverse))
-    walk = f"aggregate(sequence(2, {WALK}), {again('d')}, (a, x) -> if(a.ok, a, {again('a.n')}), a -> if(a.ok, a.r, {v}))"
+    walk = f"aggregate(sequence(2, {WALK}), {again('d')}, (a, x) -> if(a.ok, a, {again('a.n')}), a -> if(a.ok, a.r, raise_error('a walk over dates did not end')))"
     days = DAYS[0] * DAYS[1]
     return _with("w", f"named_struct('how', {how(v)})", _with("d", f"cast({number} as bigint)", f"if(coalesce(d, {days}) between 0 and {days - 1}, {walk}, {v})"))
 
@@ -195,15 +201,17 @@ def pseudonym(value: str, key: str, reverse: bool = False) -> str:
     whole = lambda kind: f"{value} rlike {_quoted('^(?:' + KINDS[kind] + ')$')}"
     named = lambda part, kind, **how: _with("q", part, feistel("q", key, kind, reverse, **how))
     email = f"concat({named(f"substr({value}, 1, locate('@', {value}) - 1)", 'email')}, substr({value}, locate('@', {value})))"
-    token = "concat('\"', " + _with("q", f"substr({value}, 2, length({value}) - 2)", hex_feistel("q", key, "token", reverse)) + ", '\"')"
+    either = f"if(q rlike '[A-F]', {feistel('q', key, 'token', reverse, hexadecimal=True)}, {hex_feistel('q', key, 'token', reverse)})"
+    token = "concat('\"', " + _with("q", f"substr({value}, 2, length({value}) - 2)", either) + ", '\"')"
     access = f"concat('AKIA', {named(f'substr({value}, 5)', 'access')})"
-    password = f"concat('password=', {named(f'substr({value}, 10)', 'password')})"
-    code = f"regexp_extract({value}, {_quoted(r'^([+][0-9]{1,3}|0[0-9]+[ /-])')}, 1)"
+    after = lambda start, kind: _with("c", f"regexp_extract({value}, {_quoted('^(' + start + ')')}, 1)", f"concat(c, {named(f'substr({value}, length(c) + 1)', kind)})")
+    granted, secret, password = after("gh[pousr]_", "granted"), after("aws_secret_access_key ?[=:] ?", "secret"), after(_PASSWORD, "password")
+    code = f"regexp_extract({value}, {_quoted(r'^([+][0-9]{1,3}|0[0-9]+[ /-]|[(]?[0-9])')}, 1)"
     phone = _with("c", code, f"concat(c, {_apart(f'substr({value}, length(c) + 1)', key, 'phone', reverse)})")
     hexed = f"array_join(transform(split({value}, '[.]'), o -> lpad(lower(hex(cast(o as bigint))), 2, '0')), '')"
     ip = _with("y", _with("q", hexed, hex_feistel("q", key, "ip", reverse)), "array_join(transform(sequence(1, 7, 2), o -> conv(substr(y, o, 2), 16, 10)), '.')")
     return (
-        f"case when {value} like '%@%' then {email} when {value} like '\"%' then {token} when {value} like 'AKIA%' and length({value}) = 20 then {access} when {value} like 'password=%' then {password} "
+        f"case when {value} like '%@%' then {email} when {value} like '\"%' then {token} when {value} like 'AKIA%' and length({value}) = 20 then {access} when {whole('granted')} then {granted} when {whole('secret')} then {secret} when {whole('password')} then {password} "
         f"when {whole('iban')} then {_iban(value, key, reverse)} when {whole('phone')} then {phone} when {whole('ssn')} then {_ssn(value, key, reverse)} when {whole('ip')} then {ip} "
         f"when {value} like '%:%' then {named(value, 'ip6', hexadecimal=True)} when {whole('date')} then {_date(value, key, reverse)} else {_card(value, key, reverse)} end"
     )
@@ -214,7 +222,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", reverse: bool =
     pattern = _quoted("|".join(f"(?:{p})" for p in KINDS.values()))
     clash = max(map(len, docs.columns))
     old, new = "_" * clash + "found", "_" * clash + "made"
-    found = docs.withColumn(old, F.when(F.col(text).rlike("[0-9@=]|AKIA"), F.expr(f"regexp_extract_all(`{text}`, {pattern}, 0)")))
+    found = docs.withColumn(old, F.when(F.col(text).rlike("[0-9@=:]|AKIA|gh[pousr]_"), F.expr(f"regexp_extract_all(`{text}`, {pattern}, 0)")))
     some = F.size(old) > 0
     found = found.withColumn(new, F.when(some, F.expr(f"transform({old}, m -> {pseudonym('m', key, reverse)})")))
     parts = F.expr(f"split(`{text}`, {pattern}, -1)")
