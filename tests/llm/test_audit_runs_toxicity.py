@@ -232,6 +232,16 @@ def test_labels_of_held_out_rows_and_other_columns_change_nothing(spark):
     assert np.allclose([r[2] for r in first], [r[2] for r in again])
 
 
+def test_a_row_that_is_most_of_the_table_counts_once_in_the_fit(spark):
+    docs, kinds, labels = planted(spark, 300)
+    repeated = table(spark, docs).unionByName(table(spark, [(7, docs[7][1], None)] * 20_000))
+    own, _ = toxicity.train(repeated.where(~toxicity.is_held_out()), marks(spark, labels), fit_rows=30_000)
+    once, _ = toxicity.train(table(spark, docs).where(~toxicity.is_held_out()), marks(spark, labels), fit_rows=30_000)
+    assert np.allclose(own.middle, once.middle) and own.lexicon.patterns == once.lexicon.patterns
+    out = toxicity.score(table(spark, docs), own).collect()
+    assert np.mean([(r.score >= 0.5) == kinds[r.doc_id] for r in out]) > 0.97
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, _, labels = planted(spark, 300)
     odd = [(None, "zorgish flumph zorgly", None), (1000, None, None), (1001, "", None), (1002, "zorgish flumph " * 30_000, None), (1003, "w1 " * 60_000, None), (5, docs[5][1], None)]

@@ -11,7 +11,7 @@ with the share of toxic texts held at that of the labels. Its posterior labels t
 which scores every text by itself.
 
 Bounds, all parameters: the lexicon is mined from about `sample_rows` labelled rows of each kind, where copies and most near
-copies count once; the classifier is fitted to about `fit_rows` documents. The label model's counts cover all documents.
+copies count once; the classifier is fitted to about `fit_rows` different texts. The label model's counts cover all documents, equal texts once.
 
 A score needs a text alone. A null or empty text has no votes and gets the score of that. Labels other than 0 and 1, null ids and
 ids without a document teach nothing; of several labels of an id the larger counts. Repeated rows are rows like others. Without
@@ -229,7 +229,7 @@ def mine(sample: DataFrame, most: int = LEXICON) -> Lexicon:
 
 
 def counted_votes(texts: DataFrame, lexicon: Lexicon, *by: str) -> DataFrame:
-    """(votes, *by, n): texts by their votes as bits."""
+    """(votes, *by, n): different texts by their votes as bits; copies count once, so a text that is much of the corpus does not stand for its class."""
     shared = texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
@@ -237,10 +237,11 @@ def counted_votes(texts: DataFrame, lexicon: Lexicon, *by: str) -> DataFrame:
         for batch in batches:
             counts, rest = measures(shared.value, automaton, batch.column("text"))
             own = pa.array(_numbers(votes_of(shared.value, counts, rest)))
-            yield pa.RecordBatch.from_arrays([own, *(batch.column(c) for c in by)], names=["votes", *by])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), own, *(batch.column(c) for c in by)], names=["key", "votes", *by])
 
     kinds = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in by)
-    return map_texts(texts.select("text", *by), run, f"votes long{kinds}").groupBy("votes", *by).agg(F.count("*").alias("n"))
+    each = map_texts(texts.select("text", *by, F.xxhash64("text").alias("key")), run, f"key long, votes long{kinds}").distinct()
+    return each.groupBy("votes", *by).agg(F.count("*").alias("n"))
 
 
 def moments(counted: DataFrame, voters: int, model: LabelModel | None = None) -> np.ndarray:
@@ -349,8 +350,8 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _drawn(share: float, salt: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30))
+def _drawn(share: float, *by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, fit_rows: int = 20000) -> tuple[Classifier | None, float]:
@@ -361,7 +362,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, fit_rows:
     share = toxic / max(toxic + clean, 1)
     if not toxic or not clean:
         return None, share
-    drawn = marks.where(F.when(F.col("toxic") == 1, _drawn(min(1.0, sample_rows / toxic), 1)).otherwise(_drawn(min(1.0, sample_rows / clean), 1)))
+    drawn = marks.where(F.when(F.col("toxic") == 1, _drawn(min(1.0, sample_rows / toxic), "doc_id")).otherwise(_drawn(min(1.0, sample_rows / clean), "doc_id")))
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"))  # about 2 * sample_rows rows
     lexicon = mine(sample)
     counted = cut(counted_votes(docs, lexicon))
@@ -375,9 +376,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, fit_rows:
         automaton = shared.value.automaton()
         for batch in batches:
             counts, rest = measures(shared.value, automaton, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.list_(pa.int32())), pa.array(list(rest), pa.list_(pa.float64()))], names=["counts", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(list(counts), pa.list_(pa.int32())), pa.array(list(rest), pa.list_(pa.float64()))], names=["key", "counts", "rest"])
 
-    fitted = map_texts(docs.where(_drawn(min(1.0, fit_rows / texts), 2)).select("text"), run, "counts array<int>, rest array<double>").toArrow()  # about fit_rows rows
+    drawn = docs.where(_drawn(min(1.0, fit_rows / texts), "text")).select("text", F.xxhash64("text").alias("key"))
+    # copies are drawn together and count once: about fit_rows rows
+    fitted = map_texts(drawn, run, "key long, counts array<int>, rest array<double>").distinct().orderBy("key", "counts", "rest").toArrow()
     n = len(fitted)
     if not n:
         return None, share
