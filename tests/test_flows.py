@@ -13,7 +13,7 @@ from tidewave.operators import evaluate, intervals, layout, summaries
 from tidewave.plans.flows import PUSHDOWN
 from tidewave.sources import readers, writers
 from tidewave.sources.strain_files import StrainFiles, fetch_groups, Block
-from tidewave.streaming import ordered
+from tidewave.streaming import alarms, ordered
 
 # The strain source
 
@@ -207,6 +207,18 @@ def test_streamed_clusters_close_when_the_watermark_has_passed(spark, flow):
     assert sorted(run(build, ["k", "first"]))[1] == (1, us(30), us(33), 2, us(33), 7.0)
 
 
+def test_a_trigger_that_is_reported_again_within_the_watermark_counts_once(spark, flow):
+    files, run = flow
+    build = lambda s: alarms.distinct_triggers(s.select(F.lit("H1").alias("detector"), F.col("k").alias("trigger_id"), "ts"), "60 seconds")
+    arrive(spark, files, [(1, 0.0, 0.0), (2, 5.0, 0.0)])
+    arrive(spark, files, [(1, 20.0, 0.0), (2, 10.0, 0.0), (3, 15.0, 0.0)])
+    assert sorted(x[1] for x in run(build, ["trigger_id", "ts"])) == [1, 2, 3]
+    arrive(spark, files, [(9, 500.0, 0.0)])
+    run(build, ["trigger_id", "ts"])
+    arrive(spark, files, [(1, 600.0, 0.0)])  # long after: a new one
+    assert sorted(x[1] for x in run(build, ["trigger_id", "ts"])) == [1, 1, 2, 3, 9]
+
+
 def test_a_batch_lost_between_write_and_commit_gives_each_row_once(spark, flow, tmp_path):
     files, run = flow
     put = writers.keyed_sink(str(tmp_path / "out"), ["k", "ts"])

@@ -23,7 +23,7 @@ DRAW = "CAST('0x' || substr(md5(concat_ws('/', CAST({key} AS VARCHAR), '{name}')
 def _with_template(spark, sf_dir):
     """Crops with h, the first crop of their label."""
     x = _crops(spark, sf_dir)
-    return x.join(F.broadcast(x.groupBy("label").agg(F.min_by("v", "vec_id").alias("h"))), "label")  # one template for each label
+    return x.join(x.groupBy("label").agg(F.min_by("v", "vec_id").alias("h")), "label")
 
 
 def _plus(a, b):

@@ -34,7 +34,7 @@ def best_match(spark, sf_dir):
 def background_rho(spark, sf_dir):
     x = _crops(spark, sf_dir)
     bank = x.groupBy("label").agg(F.min_by("v", "vec_id").alias("h"))
-    d = x.join(F.broadcast(bank), "label").select("label", arrays.dot(F.col("v"), F.col("h")).alias("d"))
+    d = x.join(bank, "label").select("label", arrays.dot(F.col("v"), F.col("h")).alias("d"))
     return d.groupBy("label").agg(F.count("*").alias("n"), F.round(F.stddev_pop("d"), 9).alias("sigma"), F.round(F.max("d") / F.stddev_pop("d"), 6).alias("rho"))
 
 

@@ -15,7 +15,7 @@ from tidewave.plans.spans import B, E, _blocks
 from tidewave.session import shared_folder, table
 from tidewave.sources import readers, writers
 from tidewave.sources.strain_files import StrainFiles
-from tidewave.streaming import ordered
+from tidewave.streaming import alarms, ordered
 
 LATE = "10 minutes"
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -156,3 +156,59 @@ def dataset_window(spark, sf_dir):
     x = _split(_events(spark, sf_dir)).select("event_id", "us", "split", "value")
     writers.dataset(x, path, "us", DAY, 8)
     return readers.dataset(spark, path, "us", DAY, "train", 1704844800000000, 1705017600000000)
+
+
+@query(
+    f"""WITH {E} SELECT us // 1000000 AS peak_time, value AS snr, event_type AS ml_label, round(us // 1000000 + (us % 1000000) * 1000 * 1e-9::DOUBLE, 5) AS gps
+FROM e WHERE event_id % 10 >= 6 AND event_type <> 'click'"""
+)
+def trigger_file(spark, sf_dir):
+    """Triggers written as a file with a header and more columns than are read, and those of enough confidence and of wanted classes read back."""
+    path = _folder(spark)
+    us = F.col("us")
+    e = _events(spark, sf_dir)
+    e.select(
+        F.col("event_type").alias("ml_label"), F.expr("us div 1000000").alias("peak_time"), (us % 1_000_000 * 1000).alias("peak_time_ns"), F.lit("more").alias("note"),
+        F.col("value").alias("snr"), F.lit(0.1).alias("duration"), F.lit(100.0).alias("peak_frequency"), (F.col("event_id") % 10 / 10).alias("ml_confidence"),
+    ).write.option("header", True).csv(path)
+    return readers.triggers(spark, path, 0.6, ("click",)).select("peak_time", "snr", "ml_label", F.round("gps", 5).alias("gps"))
+
+
+@query("SELECT event_id, event_type, value * 2 AS twice FROM events")
+def resumed_dataset(spark, sf_dir):
+    """A dataset of which a first run wrote a part: the second builds and adds what is missing, a third adds nothing."""
+    path = f"{_folder(spark)}/rows"
+    plan = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    build = lambda rows: rows.select("event_id", (F.col("value") * 2).alias("twice"), "event_type")
+    for part in (plan.where("event_id % 3 = 0"), plan, plan):
+        writers.append_missing(part, path, ["event_id"], build, ("event_type",))
+    return spark.read.parquet(path).select("event_id", "event_type", "twice")
+
+
+@query("SELECT event_id, value AS rho FROM events WHERE event_type = 'error'")
+def score_scan(spark, sf_dir):
+    """The scores of one dataset from a table of several, whose folder alone is read."""
+    path = _folder(spark)
+    writers.scores(table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset"), "event_id", F.col("value").alias("rho")), path)
+    return readers.scores(spark, path, "error", ("event_id", "rho"))
+
+
+@query(
+    f"""WITH {E}, d AS (SELECT user_id, CAST(floor(us / {DAY}) AS BIGINT) AS epoch, max(value) AS val_auc, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT user_id, epoch, val_auc, n AS first FROM d QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY val_auc DESC, epoch) = 1"""
+)
+def best_checkpoints(spark, sf_dir):
+    """Of each user's days, as epochs with weights, the one with the largest metric, the earliest of equal ones."""
+    days = _events(spark, sf_dir).groupBy("user_id", F.floor(F.col("us") / DAY).alias("epoch")).agg(F.max("value").alias("val_auc"), F.array(F.count("*")).alias("weights"))
+    return writers.best_checkpoint(days, ["user_id"]).select("user_id", "epoch", "val_auc", F.col("weights")[0].alias("first"))
+
+
+@query(
+    f"""WITH {E}, b AS (SELECT * FROM e WHERE event_type <> 'error'), w AS (SELECT (max(us) // 1000 - 600000) * 1000 AS passed FROM b)
+SELECT us // {HOUR} * {HOUR} AS start, event_type AS detector, count(*) AS n, CAST(sum(CASE WHEN value > 200 THEN 1 ELSE 0 END) AS BIGINT) AS alarms FROM b, w GROUP BY us // {HOUR}, event_type, passed HAVING (us // {HOUR} + 1) * {HOUR} <= passed"""
+)
+def streamed_alarms(spark, sf_dir):
+    """False alarms by hour and class as a stream: the hours that the watermark has passed."""
+    scores = lambda e: e.select("ts", F.col("event_type").alias("detector"), F.col("value").alias("score"), (F.col("event_type") == "error").alias("is_signal"))
+    out = _streamed(spark, sf_dir, lambda e: alarms.windowed_alarms(scores(e), 200.0, late=LATE), ["start", "detector"])
+    return out.select(F.unix_micros("start").alias("start"), "detector", "n", "alarms")
