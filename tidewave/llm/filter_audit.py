@@ -13,7 +13,7 @@ copy of another of the same id. A null doc_id is above all others and has no lab
 with each other. A document whose label rows disagree has a label if any row gives it. Other columns are ignored; an
 empty table gives no row.
 
-Only DataFrame functions: documents are shuffled once as (id, hash, bits), never with their text.
+Only DataFrame functions: documents are shuffled as (id, hash, bits), never with their text.
 """
 
 from __future__ import annotations
