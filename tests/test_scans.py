@@ -48,6 +48,13 @@ def test_running_values_do_not_depend_on_the_files(spark, rows, width):
                 assert got[i][0] == pytest.approx(want[0]) and got[i][1:] == want[1:]
 
 
+def test_places_do_not_depend_on_the_files(spark, rows):
+    df = spark.createDataFrame([(k, t, i) for i, (k, t, _) in enumerate(rows)], "k int, t long, i long")
+    want = {i: (n, len(own)) for own in by_key([(k, t, i) for i, (k, t, _) in enumerate(rows)]).values() for n, (_, i) in enumerate(own)}
+    for width in (3, 90.5, 10_000):
+        assert {r.i: (r.place, r.n) for r in scans.placed(df, ["k"], "t", width, ["t", "i"]).collect()} == want
+
+
 @pytest.mark.parametrize("least,width", [(1, 3), (5, 3), (5, 100), (60, 7), (2000, 50)])
 def test_greedy_choices_do_not_depend_on_the_files(spark, rows, least, width):
     df = spark.createDataFrame([*rows, (1, None, 1.0)], "k int, t long, v double")

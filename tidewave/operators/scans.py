@@ -23,7 +23,7 @@ def _combined(how: str, value: Column) -> Column:
     return {"sum": F.sum, "max": F.max, "min": F.min}[how](value) if how != "last" else F.last(value, ignorenulls=True)
 
 
-def running(df: DataFrame, keys: list[str], at: str, width: int, order: list[str], values: Mapping[str, tuple[Column, str]], inclusive: bool = False) -> DataFrame:
+def running(df: DataFrame, keys: list[str], at: str, width: float, order: list[str], values: Mapping[str, tuple[Column, str]], inclusive: bool = False) -> DataFrame:
     """df with running values by key in the order of `order` (which begins with `at`): each is (value, sum | max | min | last).
 
     Only rows before count, or the row itself too if `inclusive`. Nulls are passed over: `last` is the last value that
@@ -56,6 +56,13 @@ def running(df: DataFrame, keys: list[str], at: str, width: int, order: list[str
     return met.drop(FILE, *(f"_{name}" for name in values), *(f"_before_{name}" for name in values))
 
 
+def placed(df: DataFrame, keys: list[str], at: str, width: float, order: list[str]) -> DataFrame:
+    """df with place, a row's number from 0 in its key in that order, and n, the key's rows."""
+    numbered = running(df, keys, at, width, order, {"place": (F.lit(1), "sum")})
+    n = df.groupBy(*keys).agg(F.count("*").alias("n")).select(F.struct(*keys).alias("_key"), "n")  # structs, as keys may be null
+    return numbered.withColumn("_key", F.struct(*keys)).join(n, "_key").drop("_key")
+
+
 # The greedy rule: a row is kept if it is far enough from the last one kept.
 
 

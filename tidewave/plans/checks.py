@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import arrays, probability
-from tidewave.operators import evaluate, intervals, signal
+from tidewave.operators import evaluate, intervals, scans, signal
 from tidewave.plans.catalog import query
 from tidewave.plans.crops import REF, X, _crops
 from tidewave.plans.detection import HOUR, _events
@@ -237,8 +237,8 @@ def score_label_join(spark, sf_dir):
 
 @query(f"WITH {E} SELECT user_id, min(d) AS least, min(d) >= 60000000 AS apart FROM (SELECT user_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS d FROM e) WHERE d IS NOT NULL GROUP BY 1")
 def non_overlap(spark, sf_dir):
-    gap = F.col("us") - F.lag("us").over(Window.partitionBy("user_id").orderBy("us"))
-    d = _events(spark, sf_dir).select("user_id", gap.alias("d")).where("d is not null")
+    e = scans.running(_events(spark, sf_dir).select("user_id", "us"), ["user_id"], "us", FILE, ["us"], {"before": (F.col("us"), "last")})
+    d = e.select("user_id", (F.col("us") - F.col("before")).alias("d")).where("d is not null")
     return d.groupBy("user_id").agg(F.min("d").alias("least"), (F.min("d") >= 60_000_000).alias("apart"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewave.operators import evaluate, intervals
+from tidewave.operators import evaluate, intervals, scans
 from tidewave.plans.catalog import query
 from tidewave.plans.detection import DAY, HOUR, SPLIT, _events, _split
 from tidewave.session import table
@@ -40,9 +40,8 @@ def early_stop(spark, sf_dir):
 SELECT event_type, user_id, event_id, value FROM r WHERE i = n // 2 + 1""")
 def median_specimen(spark, sf_dir):
     """The row of middle rank of each class and user."""
-    own = Window.partitionBy("event_type", "user_id")
-    ranked = _events(spark, sf_dir).withColumn("i", F.row_number().over(own.orderBy("value", "us", "event_id"))).withColumn("n", F.count("*").over(own))
-    return ranked.where("i = n div 2 + 1").select("event_type", "user_id", "event_id", "value")
+    ranked = scans.placed(_events(spark, sf_dir), ["event_type", "user_id"], "value", 50.0, ["value", "us", "event_id"])
+    return ranked.where("place = n div 2").select("event_type", "user_id", "event_id", "value")
 
 
 @query(f"""WITH {E}, n AS (SELECT day, value FROM e WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY day ORDER BY us, event_id) <= 120),
@@ -106,9 +105,8 @@ def score_quantiles(spark, sf_dir):
 SELECT DISTINCT user_id, event_id FROM r, unnest(range(5)) AS t(k) WHERE i = k * (n - 1) // 4""")
 def evenly_spaced(spark, sf_dir):
     """Five rows of each user, evenly spaced from first to last (all, if fewer)."""
-    own = Window.partitionBy("user_id")
-    ranked = _events(spark, sf_dir).withColumn("i", F.row_number().over(own.orderBy("us", "event_id")) - 1).withColumn("n", F.count("*").over(own))
-    return ranked.where(F.expr("exists(sequence(0, 4), k -> i = k * (n - 1) div 4)")).select("user_id", "event_id")
+    ranked = scans.placed(_events(spark, sf_dir), ["user_id"], "us", 5 * DAY, ["us", "event_id"])
+    return ranked.where(F.expr("exists(sequence(0, 4), k -> place = k * (n - 1) div 4)")).select("user_id", "event_id")
 
 
 @query("""SELECT 'left only' AS name, 0::BIGINT AS n UNION ALL SELECT 'right only', 0 UNION ALL

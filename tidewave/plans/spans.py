@@ -32,8 +32,8 @@ SELECT user_id, CAST(cluster AS BIGINT) AS cluster, event_id, us, value FROM c Q
 )
 def dedup_gap_cluster(spark, sf_dir):
     c = intervals.gap_clusters(_events(spark, sf_dir), "us", 6 * HOUR, ["user_id"], FILE)
-    best = Window.partitionBy("user_id", "cluster").orderBy(F.desc("value"), "us")
-    return c.withColumn("r", F.row_number().over(best)).where("r = 1").select("user_id", "cluster", "event_id", "us", "value")
+    best = F.max_by(F.struct("event_id", "us", "value"), F.struct("value", -F.col("us")))
+    return c.groupBy("user_id", "cluster").agg(best.alias("b")).select("user_id", "cluster", "b.*")
 
 
 @query(
@@ -64,6 +64,27 @@ def interval_subtract(spark, sf_dir):
     return intervals.subtracted(*_spans(spark, sf_dir), "lo", "hi", ["user_id"], FILE)
 
 
+#: Microseconds: the shortest stretch, what stays free at either end of one, and a block.
+SHORTEST, PAD, BLOCK = 3_600_000_000, 60_000_000, 1_800_000_000
+
+
+@query(
+    f"""WITH {E}, {SPANS}, ms AS {_merge_sql('s')}, mv AS {_merge_sql('v')},
+p AS (SELECT user_id, lo AS t, 1 AS d, 0 AS w FROM ms UNION ALL SELECT user_id, hi, -1, 0 FROM ms UNION ALL SELECT user_id, lo, 0, 1 FROM mv UNION ALL SELECT user_id, hi, 0, -1 FROM mv),
+q AS (SELECT user_id, t, sum(d) AS d, sum(w) AS w FROM p GROUP BY ALL), r AS (SELECT user_id, t AS lo, lead(t) OVER o AS hi, sum(d) OVER o AS d, sum(w) OVER o AS w FROM q WINDOW o AS (PARTITION BY user_id ORDER BY t)),
+z AS (SELECT user_id, lo, hi FROM r WHERE d > 0 AND w = 0 AND hi > lo), y AS (SELECT * FROM {_merge_sql('z')} WHERE hi - lo >= {SHORTEST}),
+b AS (SELECT user_id, lo AS stretch, lo + {PAD} + k * {BLOCK} AS us, CASE WHEN k = 0 THEN 0 ELSE 1 END AS role FROM (SELECT *, unnest(range(0, (hi - lo - {2 * PAD}) // {BLOCK})) AS k FROM y))
+SELECT user_id, stretch, us, role FROM (SELECT *, sum(role) OVER (PARTITION BY user_id ORDER BY us) - role AS done FROM b) WHERE done < 20"""
+)
+def planned_blocks(spark, sf_dir):
+    """Blocks laid into each user's stretches that vetoes leave and that are long enough, the first of a stretch a source of its spectrum, until 20 are data."""
+    left = intervals.subtracted(*_spans(spark, sf_dir), "lo", "hi", ["user_id"], FILE).where(F.col("hi") - F.col("lo") >= SHORTEST)
+    n = F.floor((F.col("hi") - F.col("lo") - 2 * PAD) / BLOCK)
+    k = left.where(n > 0).select("user_id", F.col("lo").alias("stretch"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("k"))
+    b = k.select("user_id", "stretch", (F.col("stretch") + PAD + F.col("k") * BLOCK).alias("us"), F.when(F.col("k") == 0, 0).otherwise(1).alias("role"))
+    return scans.running(b, ["user_id"], "us", FILE, ["us"], {"done": (F.col("role"), "sum")}).where("done < 20").select("user_id", "stretch", "us", "role")
+
+
 @query(f"WITH {E} SELECT event_id FROM e WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM e v WHERE v.event_type = 'error' AND v.user_id = e.user_id AND abs(e.us - v.us) < 14400000000)")
 def veto_anti_join(spark, sf_dir):
     e = _events(spark, sf_dir)
@@ -98,11 +119,11 @@ UNION ALL SELECT l.event_id, r.us - l.us FROM (SELECT * FROM e WHERE event_type
 def nearest_event(spark, sf_dir):
     e = _events(spark, sf_dir)
     error = F.col("event_type") == "error"
-    w = Window.partitionBy("user_id").orderBy("us")
+    e = e.withColumns({"back": -F.col("us"), "later": error.cast("int")})  # others before errors at equal times, either way
     other = F.when(~error, F.col("us"))
-    before = F.last(other, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(other, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    near = e.withColumn("distance", F.least(F.col("us") - before, after - F.col("us")))
+    near = scans.running(e, ["user_id"], "us", FILE, ["us", "later"], {"before": (other, "last")}, inclusive=True)
+    near = scans.running(near, ["user_id"], "back", FILE, ["back", "later"], {"after": (other, "last")}, inclusive=True)
+    near = near.withColumn("distance", F.least(F.col("us") - F.col("before"), F.col("after") - F.col("us")))
     return near.where(error & F.col("distance").isNotNull()).select("event_id", "distance")
 
 
