@@ -58,15 +58,19 @@ def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], Dat
     schema = table(spark, sf_dir, "events").schema
     pattern = f"{sf_dir}/events.parque[t]"  # a stream takes a pattern where it would not take one file
     events = spark.readStream.schema(schema).parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
-    name, store = ordered.STATE_STORE
-    old = spark.conf.get(name)
-    spark.conf.set(name, store)
+    # a stream's state has as many parts as its first run has shuffle partitions: some for each core, not one for each of a large default
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    own = dict([ordered.STATE_STORE, ("spark.sql.shuffle.partitions", str(parts))])
+    old = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         stream = build(events)
         run = stream.writeStream.foreachBatch(writers.keyed_sink(f"{folder}/out", keys)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
-        spark.conf.set(name, old)
+        for name, value in old.items():
+            spark.conf.set(name, value)
     return writers.written(spark, f"{folder}/out", stream.schema).select(*stream.columns)
 
 
