@@ -47,9 +47,19 @@ def _strain(spark, sf_dir):
     return signal.causal(signal.noise_blocks(keys, psd(), int(SECONDS * G.rate)), ["event_type"])
 
 
-@query()
+_W = "list_sum(list_transform(range(1, 9), lambda i: x[4 * g + i] * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 8)) * {f}(2 * pi() * k * (i - 1) / 8)))"
+
+
+@query(
+    f"""WITH s AS (SELECT user_id, CAST(floor(epoch_us(ts) / {5 * DAY}) AS BIGINT) AS block, list(value ORDER BY epoch_us(ts), value) AS x FROM events GROUP BY 1, 2),
+n AS (SELECT *, (len(x) - 8) // 4 + 1 AS all_segments FROM s WHERE len(x) >= 8), m AS (SELECT *, CAST(all_segments - (all_segments + 1) % 2 AS BIGINT) AS n FROM n),
+g AS (SELECT *, unnest(range(0, n)) AS g FROM m), p AS (SELECT user_id, block, n, k, (pow({_W.format(f='cos')}, 2) + pow({_W.format(f='sin')}, 2)) / 3 AS p FROM g, (SELECT unnest(range(0, 5)) AS k))
+SELECT user_id, block, CAST(k AS INTEGER) AS k, round(CASE WHEN k IN (0, 4) THEN 1 ELSE 2 END * quantile_cont(p, 0.5) / list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN i % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END / i)), 4) AS psd FROM p GROUP BY user_id, block, k, n"""
+)
 def psd_welch(spark, sf_dir):
-    return signal.power_spectra(_series(spark, sf_dir), 8, 4).select("user_id", "block", "psd")
+    """The spectrum of each user's five days: Hann windows of eight values, every four, the median over windows with its bias taken out."""
+    spectra = signal.power_spectra(_series(spark, sf_dir), 8, 4)
+    return spectra.select("user_id", "block", F.posexplode("psd").alias("k", "psd")).withColumn("psd", F.round("psd", 4))
 
 
 @query()
