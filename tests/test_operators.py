@@ -147,7 +147,7 @@ def test_normal_distribution(spark):
     out = spark.createDataFrame([(p,) for p in ps], "p double").select(probability.normal_quantile(F.col("p")).alias("x"), probability.ceiling(F.lit(8.0), F.col("p")).alias("c")).collect()
     for p, r in zip(ps[:6], out, strict=False):
         assert r.x == pytest.approx(NormalDist().inv_cdf(p), abs=1e-6) and r.c == pytest.approx(NormalDist().cdf(8 - NormalDist().inv_cdf(1 - p)), abs=1e-9)
-    assert out[6].x is None and out[7].x is None
+    assert out[6].x is None and out[7].x is None and out[7].c is None
 
 
 G = conditioning.Geometry(rate=256.0, length=1024, start=384, size=256, low=20.0, high=100.0, flow=15.0, taps=128, order=64, segment=512)

@@ -7,18 +7,24 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewave.functions.arrays import bound
+
 
 def density(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
 
 def normal_cdf(x: Column) -> Column:
-    """The share of a normal distribution below x: its series about 0, within 1e-12 for |x| up to 8; beyond that 0 or 1."""
-    near = F.greatest(F.least(x, F.lit(8.0)), F.lit(-8.0))
-    start = F.struct(near.alias("t"), near.alias("s"))
-    step = lambda a, k: F.struct((a["t"] * near * near / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * near * near / (2 * k + 1)).alias("s"))
-    inside = 0.5 + density(near) * F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda a: a["s"])
-    return F.when(x >= 8, 1.0).when(x <= -8, 0.0).otherwise(F.greatest(F.least(inside, F.lit(1.0)), F.lit(0.0)))
+    """The share of a normal distribution below x: its series about 0, within 1e-12 for |x| up to 8; beyond that 0 or 1; null of null."""
+
+    def of(x: Column) -> Column:
+        start = F.struct(x.alias("t"), x.alias("s"))
+        step = lambda a, k: F.struct((a["t"] * x * x / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * x * x / (2 * k + 1)).alias("s"))
+        inside = 0.5 + density(x) * F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda a: a["s"])
+        return F.when(x >= 8, 1.0).when(x <= -8, 0.0).otherwise(F.greatest(F.least(inside, F.lit(1.0)), F.lit(0.0)))
+
+    near = lambda x: bound(F.greatest(F.least(x, F.lit(8.0)), F.lit(-8.0)), of)
+    return bound(x, lambda x: F.when(x.isNotNull(), near(x)))  # x may be costly, and the series uses it at every term
 
 
 def normal_quantile(p: Column) -> Column:

@@ -307,7 +307,11 @@ def version_collapse(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(probability.first_part(F.col("p_name"), " ").alias("name")).agg(F.min("p_partkey").alias("first"), F.count("*").alias("versions"))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT DISTINCT CAST(least(floor(value / 25), 12) AS DOUBLE) AS rho FROM events), z AS (SELECT unnest([0.1, 0.01, 0.001])::DOUBLE AS fap, unnest([1.2815515655446004, 2.3263478740408408, 3.090232306167813])::DOUBLE AS z),
+x AS (SELECT rho, fap, greatest(-8, least(8, rho - z)) / 1000 AS h FROM r, z)
+SELECT rho, fap, round(0.5 + h / 3 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 1001), lambda i: CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(i * h, 2) / 2))), 9) AS ceiling FROM x"""
+)
 def efficiency_ceiling(spark, sf_dir):
     """The best share that any detector can find of signals of the SNR of each unit of event value, by false-alarm probability."""
     rho = table(spark, sf_dir, "events").select(F.least(F.floor(F.col("value") / 25), F.lit(12)).cast("double").alias("rho")).distinct()
