@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable
@@ -28,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_unused(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more: it does so when the driver's garbage is collected, which a driver with little work may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: A side of a join that is counted to have at most so many bytes is broadcast.
 BROADCAST_BYTES = 32 << 20

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.llm import _text
-from tidewave.llm._spark import components, cut, map_texts
+from tidewave.llm._spark import components, cut, drop_unused, map_texts
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BLOCK, BLOCK_SHINGLES = 128, 1 << 19
@@ -222,14 +222,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     # cut, so that the members are shuffled to it anew and those of a very large unit can be split
     size = cut(members.groupBy("unit").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("blocks")))
     members = cut(members.join(size, "unit"))
+    drop_unused(docs.sparkSession)
     texts = own.dropDuplicates(["doc_id", "same"]) if _repeats(signed) else own
     none = F.lit(None).cast("long").alias("cluster")
     zero, no = F.lit(0), F.lit(False).alias("first")
     few = members.where("blocks = 1").select("*", zero.alias("i"), zero.alias("j"), zero.alias("block"), none, no)
     links = cut(_compared(texts, few, _confirm(words, percent, m)))
+    drop_unused(docs.sparkSession)
     many = members.where("blocks > 1")
     if not many.isEmpty():
         links = cut(links.unionByName(_large(texts, many, stars, lambda stars: _confirm(words, percent, m, stars))))
+    drop_unused(docs.sparkSession)
     merged = components(links)
     named = classes.join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("component"))
     alone = "key is null or doc_id is null"
@@ -259,6 +262,7 @@ def _large(texts: DataFrame, members: DataFrame, stars: DataFrame, confirm) -> D
         F.col("doc_id").alias("unit"), F.explode(F.expr("sequence(0, parts - 1)")).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("first"), zero, none, "doc_id", "same", "registers", "n_shingles"
     )
     near = cut(_compared(texts, part.unionByName(lead), confirm(True)))
+    drop_unused(texts.sparkSession)
     clusters = components(near).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "cluster")
     own = cut(one.join(clusters, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", "doc_id")))
     sizes = own.groupBy("unit", "cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), _blocks(F.count("*"), F.sum("n_shingles")).alias("blocks"))
@@ -269,6 +273,7 @@ def _large(texts: DataFrame, members: DataFrame, stars: DataFrame, confirm) -> D
     shared = sizes.where(f"not ({large})").groupBy("unit").agg(_blocks(F.sum("n"), F.sum("shingles")).alias("parts"))
     apart = own.join(sizes.where(large).select("cluster", "blocks"), "cluster").withColumn("part", F.expr("pmod(xxhash64(doc_id), blocks)")).withColumn("apart", F.lit(True)).drop("blocks")
     mixed = own.join(sizes.where(f"not ({large})").select("cluster", "unit"), ["cluster", "unit"]).join(shared, "unit").withColumn("part", F.expr("pmod(xxhash64(cluster), parts)")).withColumn("apart", F.lit(False)).drop("parts")
+    drop_unused(texts.sparkSession)
     placed = cut(apart.unionByName(mixed).withColumn("block", F.xxhash64("apart", F.when(F.col("apart"), F.col("cluster")), "part")))
     block = placed.groupBy("unit", "block").agg(F.max(F.when(F.col("apart"), F.col("cluster"))).alias("whole")).alias("p")
     other = block.alias("q")
@@ -286,6 +291,7 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     null doc_id belong to no group and stay.
     """
     result = cut(near_duplicates(docs, **how).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")))
+    drop_unused(docs.sparkSession)
     once = docs.join(result.where("kept and n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     out = once.unionByName(docs.where("doc_id is null"))
     several = result.where("kept and n > 1").select("doc_id")
