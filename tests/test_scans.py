@@ -34,7 +34,7 @@ def by_key(rows):
     return {k: sorted(own) for k, own in out.items()}
 
 
-@pytest.mark.parametrize("width", [1, 7, 40, 5000])
+@pytest.mark.parametrize("width", [7, 5000])
 def test_running_values_do_not_depend_on_the_files(spark, rows, width):
     df = spark.createDataFrame([(k, t, v if i % 5 else None, i) for i, (k, t, v) in enumerate(rows)], "k int, t long, v double, i long")
     values = {"total": (F.col("v"), "sum"), "top": (F.col("v"), "max"), "low": (F.col("v"), "min"), "latest": (F.col("v"), "last")}
@@ -55,7 +55,7 @@ def test_places_do_not_depend_on_the_files(spark, rows):
         assert {r.i: (r.place, r.n) for r in scans.placed(df, ["k"], "t", width, ["t", "i"]).collect()} == want
 
 
-@pytest.mark.parametrize("least,width", [(1, 3), (5, 3), (5, 100), (60, 7), (2000, 50)])
+@pytest.mark.parametrize("least,width", [(5, 3), (60, 7), (2000, 50)])
 def test_greedy_choices_do_not_depend_on_the_files(spark, rows, least, width):
     df = spark.createDataFrame([*rows, (1, None, 1.0)], "k int, t long, v double")
     got = Counter((r.k, r.t) for r in scans.spaced(df, "t", least, ["k"], width).collect())
@@ -77,7 +77,7 @@ def test_a_file_maps_every_entry_state_to_the_state_it_leaves():
             assert scans.chosen(t, least, state).tolist() == want
 
 
-@pytest.mark.parametrize("width", [3, 25, 4000])
+@pytest.mark.parametrize("width", [3, 4000])
 def test_interval_operators_do_not_depend_on_the_files(spark, width):
     rng = np.random.default_rng(9)
     spans = [(int(k) or None, int(a), int(a + d)) for k, a, d in zip(rng.integers(0, 3, 120), rng.integers(0, 400, 120), rng.integers(0, 9, 120), strict=True)]
