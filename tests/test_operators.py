@@ -276,6 +276,48 @@ def test_matches_banks_and_recovered_snr(spark):
     assert conditioning.recovered_snr(np.roll(x, 37), waves[2], psd, 512.0, 30, 200) == pytest.approx(9.0, rel=1e-6)
 
 
+def test_banks_shuffle_and_make_no_more_than_the_blocks_they_try(spark):
+    shapes = np.random.default_rng(4).standard_normal((6, 64))
+    made = spark.sparkContext.accumulator(0)
+
+    def waves(p):
+        made.add(len(p))
+        return shapes[p["kind"]]
+
+    kinds = spark.range(0, 600, 1, 4).select(F.col("id"), (F.col("id") % 6).cast("int").alias("kind"))
+    table = spark.createDataFrame([(k, h.tolist()) for k, h in enumerate(shapes)], "kind int, h array<double>")
+    stored = kinds.join(F.broadcast(table), "kind").select("id", "h")
+    spark.sparkContext.setJobGroup("bank", "")
+    assert signal.stochastic_bank(stored, stop=20, block=16) == [0, 1, 2, 3, 4, 5]
+    spark.sparkContext.setJobGroup("", "")
+    tracker, store = spark.sparkContext.statusTracker(), spark._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("bank") for s in tracker.getJobInfo(j).stageIds}
+    lists = [store.taskList(s, 0, 1000) for s in stages]
+    read = [tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for tasks in lists for i in range(tasks.size())]
+    assert 0 < max(read) <= 16
+    assert signal.stochastic_bank(kinds, stop=20, block=16, waves=waves) == [0, 1, 2, 3, 4, 5]
+    assert made.value == 32
+
+
+def test_banks_with_repeated_and_missing_ids(spark):
+    shapes = np.random.default_rng(5).standard_normal((5, 64))
+    ids = [None, None, 3, 3, 3, 3, 3, 4, 7, 7, 8, 9, 9, 12]
+    kinds = [0, 0, 1, 1, 1, 1, 1, 0, 2, 2, 1, 3, 3, 4]
+    candidates = spark.createDataFrame([(i, shapes[k].tolist()) for i, k in zip(ids, kinds, strict=True)][::-1], "id long, h array<double>")
+    for stop in (3, 4, 5, 9):
+        want, seen, failed = [], set(), 0
+        for i, k in zip(ids, kinds, strict=True):
+            failed = failed + 1 if k in seen else 0
+            if k not in seen:
+                want.append(i)
+                seen.add(k)
+            if failed >= stop:
+                break
+        for block in (1, 3, 512):
+            assert signal.stochastic_bank(candidates, stop=stop, block=block) == want
+    assert signal.stochastic_bank(candidates.where("id > 99")) == []
+
+
 def test_noise_is_a_function_of_the_seed(spark):
     keys = spark.createDataFrame([(i, 7 + i % 3) for i in range(40)], "k long, seed long")
     psd = np.linspace(1, 2, 9)

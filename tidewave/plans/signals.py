@@ -140,13 +140,12 @@ def stratified_split(spark, sf_dir):
 @query()
 def stochastic_bank(spark, sf_dir):
     """Chirps, one for each supplier, accepted while they match none before by 0.97."""
-    def run(parts):
-        for p in parts:
-            yield p.assign(h=[signal.chirp(a, b, 2048, G.rate) for a, b in zip(p["m1"], p["m2"], strict=True)])[["id", "m1", "m2", "h"]]
+    def waves(p):
+        return np.stack([signal.chirp(a, b, 2048, G.rate) for a, b in zip(p["m1"], p["m2"], strict=True)])
 
     mass = lambda seed: 10 + F.pmod(F.xxhash64("s_suppkey", F.lit(seed)), F.lit(4000)) / 100
     masses = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.greatest(mass(1), mass(2)).alias("m1"), F.least(mass(1), mass(2)).alias("m2"))
-    candidates = masses.mapInPandas(run, "id long, m1 double, m2 double, h array<double>")
-    return masses.join(F.broadcast(spark.createDataFrame([(i,) for i in signal.stochastic_bank(candidates)], "id long")), "id")  # as many as a bank has
+    bank = signal.stochastic_bank(masses, waves=waves)
+    return masses.join(F.broadcast(spark.createDataFrame([(i,) for i in bank], "id long")), "id")  # as many as a bank has
 
 
